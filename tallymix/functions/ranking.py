@@ -24,13 +24,13 @@ def with_position(df: DataFrame, order: Sequence[Column], into: str) -> DataFram
         }
     )
     sizes = stored.groupBy("__part").agg(F.count("*").alias("size"))
+    stored = stored.withColumn(
+        "__sizes", sizes.agg(F.collect_list(F.struct("__part", "size"))).scalar()
+    )
     before = F.aggregate(
-        F.filter(
-            sizes.agg(F.collect_list(F.struct("__part", "size"))).scalar(),
-            lambda s: s["__part"] < F.col("__part"),
-        ),
+        F.filter("__sizes", lambda s: s["__part"] < F.col("__part")),
         F.lit(0).cast("long"),
         lambda acc, s: acc + s["size"],
     )
     position = (F.col("__place") + before + 1).cast("int")
-    return stored.withColumn(into, position).drop("__id", "__part", "__place")
+    return stored.withColumn(into, position).drop("__id", "__part", "__place", "__sizes")

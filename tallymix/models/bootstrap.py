@@ -27,14 +27,18 @@ def poisson_edges() -> list[int]:
         k += 1
 
 
-def cluster_weight(cluster: Column, draw: Column) -> Column:
-    """Poisson(1) weight of a cluster in a draw, from a hash of both."""
+def cluster_hash(cluster: Column, draw: Column) -> Column:
+    """Eight hexadecimal digits from a cluster and a draw; they order like a number."""
     key = F.concat(F.coalesce(cluster.cast("string"), F.lit("\\N")), F.lit("|"), draw.cast("string"))
-    h = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+    return F.substring(F.md5(key), 1, 8)
+
+
+def poisson_weight(h: Column) -> Column:
+    """Poisson(1) count of a uniform hash, by inverse distribution function."""
     edges = poisson_edges()
-    out = F.when(h < edges[0], F.lit(0))
+    out = F.when(h < f"{edges[0]:08x}", F.lit(0))
     for k, edge in enumerate(edges[1:], start=1):
-        out = out.when(h < edge, F.lit(k))
+        out = out.when(h < f"{edge:08x}", F.lit(k))
     return out.otherwise(F.lit(len(edges)))
 
 
@@ -45,14 +49,16 @@ def bootstrap_cells(
 
     The rows are collapsed to (cluster, keys) once. Draws are then exploded and summed
     in the same stage: what is shuffled, and returned, is bounded by draws x cells.
+    Zero weights are summed too and empty cells dropped at the end: a filter on the
+    weight would make Spark hash every row twice.
     """
     base = df.groupBy(cluster, *keys).agg(F.count("*").alias("__c"))
     return (
         base.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        .withColumn("__w", cluster_weight(F.col(cluster), F.col("draw")))
-        .filter(F.col("__w") > 0)
+        .withColumn("__h", cluster_hash(F.col(cluster), F.col("draw")))
         .groupBy("draw", *keys)
-        .agg(F.sum(F.col("__c") * F.col("__w")).alias(n))
+        .agg(F.sum(F.col("__c") * poisson_weight(F.col("__h"))).alias(n))
+        .filter(F.col(n) > 0)
     )
 
 

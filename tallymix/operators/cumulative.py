@@ -103,10 +103,10 @@ def cumulative_distinct(
     news = firsts.groupBy(category, order).agg(
         *[F.count_if(F.col("kind") == out).alias(out) for out in values]
     )
-    start = news.groupBy(category).agg(F.min(order).alias("__start"))
+    start = news.groupBy(category).agg(F.min(order).alias("__start")).withColumn("__steps", steps)
     empty = start.select(
         category,
-        F.explode(F.filter(steps, lambda s: s >= F.col("__start"))).alias(order),
+        F.explode(F.filter("__steps", lambda s: s >= F.col("__start"))).alias(order),
         *[F.lit(0).cast("long").alias(out) for out in values],
     )
     full = (

@@ -24,17 +24,20 @@ def match_names(
     are made. A larger crosswalk becomes more arrays.
     """
     blocks = max(1, ceil(crosswalk.count() / PATTERNS_PER_BLOCK))
-    best = []
-    for b in range(blocks):
+    slots = [f"__patterns_{b}" for b in range(blocks)]
+    for b, slot in enumerate(slots):
         part = crosswalk.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b)
-        patterns = part.agg(F.collect_list(F.struct("priority", code, "pattern"))).scalar()
-        hits = F.filter(patterns, lambda p: F.col(name).rlike(p["pattern"]))
-        best.append(F.array_min(hits))
+        names = names.withColumn(
+            slot, part.agg(F.collect_list(F.struct("priority", code, "pattern"))).scalar()
+        )
+    best = [
+        F.array_min(F.filter(slot, lambda p: F.rlike(F.col(name), p["pattern"]))) for slot in slots
+    ]
     first = best[0] if blocks == 1 else F.array_min(F.array_compact(F.array(*best)))
     found = names.withColumn("__hit", first)
     return found.withColumn(
         code, F.coalesce(F.col(f"__hit.{code}"), lookup(F.col(name), overrides))
-    ).drop("__hit")
+    ).drop("__hit", *slots)
 
 
 def standardise_names(

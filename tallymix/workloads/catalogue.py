@@ -673,7 +673,7 @@ def epred_draws_saturated(spark, d):
     rows, design = by_synopsis(spark, d)
     draws = bootstrap.multinomial_draws(rows, "study_id", design, DRAWS, prior_sd=None)
     grid = prep.distinct_values(rows, ["synopsis"])
-    return tidy(predict.epred_draws(grid, materialise(draws), design, DRAWS), 5)
+    return tidy(predict.epred_draws(grid, materialise(draws), design, DRAWS), 8)
 
 
 @query
@@ -696,20 +696,21 @@ def average_slope(spark, d):
 
 @query
 def averaged_probability(spark, d):
-    return tidy(intervals.averaged_probability(V.draws_like(spark, d), "synopsis", "draw", "design"))
+    averaged = intervals.averaged_probability(V.draws_like(spark, d), "synopsis", "draw", "design")
+    return tidy(averaged, 9)
 
 
 @query
 def grand_mean(spark, d):
     averaged = intervals.averaged_probability(V.draws_like(spark, d), "synopsis", "draw", "design")
-    return tidy(intervals.grand_mean(averaged, "draw", "design"))
+    return tidy(intervals.grand_mean(averaged, "draw", "design"), 9)
 
 
 @query
 def group_vs_grand_mean(spark, d):
     averaged = intervals.averaged_probability(V.draws_like(spark, d), "synopsis", "draw", "design")
     return tidy(
-        intervals.group_vs_grand_mean(averaged, "synopsis", "draw", "design", bounded=False)
+        intervals.group_vs_grand_mean(averaged, "synopsis", "draw", "design", bounded=False), 9
     )
 
 

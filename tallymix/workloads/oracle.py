@@ -45,7 +45,7 @@ VIEWS: dict[str, str] = {
                  WHEN '5-LOW' THEN 'RCT' END AS design_raw,
                year_raw, continent, country, lat_raw, long_raw
         FROM placed WHERE o_orderstatus = 'P'""",
-    "both": """
+    "pooled": """
         SELECT study_id, synopsis, try_cast(year_raw AS INTEGER) AS year,
                CASE WHEN design_raw = 'After' THEN 'After'
                     WHEN design_raw = 'Before-After' THEN 'BA'
@@ -56,7 +56,7 @@ VIEWS: dict[str, str] = {
                try_cast(lat_raw AS DOUBLE) AS lat, try_cast(long_raw AS DOUBLE) AS long, src
         FROM (SELECT *, 1 AS src FROM main_raw UNION ALL BY NAME
               SELECT *, 2 AS src FROM second_raw)""",
-    "study": "SELECT * EXCLUDE (src) FROM both",
+    "study": "SELECT * EXCLUDE (src) FROM pooled",
     "located": """
         SELECT * FROM study WHERE lat IS NOT NULL AND long IS NOT NULL AND continent IS NOT NULL""",
     "placed_study": "SELECT * FROM study WHERE continent IS NOT NULL",
@@ -124,18 +124,12 @@ VIEWS: dict[str, str] = {
                round_even(long / 6, 0) * 6 + 0.0 AS long_bin FROM located""",
     "all_years": "SELECT DISTINCT year FROM placed_study WHERE year IS NOT NULL",
     "cum_places": """
-        SELECT design, year,
-               (SELECT count(DISTINCT coalesce(s.country, '?')) FROM placed_study s
-                WHERE s.design = t.design AND s.year <= t.year) AS cum_countries,
-               (SELECT count(DISTINCT coalesce(s.continent, '?')) FROM placed_study s
-                WHERE s.design = t.design AND s.year <= t.year) AS cum_continents
-        FROM (SELECT design, min(year) AS start FROM placed_study WHERE design IS NOT NULL
-              AND year IS NOT NULL GROUP BY design)
-        JOIN (SELECT year FROM all_years) y ON y.year >= start
-        CROSS JOIN (SELECT 1) AS one(x)
-        , LATERAL (SELECT design, y.year) AS t(design, year)""",
+        SELECT t.design, t.year, count(DISTINCT coalesce(s.country, '?')) AS cum_countries,
+               count(DISTINCT coalesce(s.continent, '?')) AS cum_continents
+        FROM (SELECT DISTINCT d.design, y.year FROM placed_study d CROSS JOIN all_years y) t
+        JOIN placed_study s ON s.design = t.design AND s.year <= t.year GROUP BY ALL""",
     "design_year": """
-        SELECT year, design, count(s.study_id) AS n
+        SELECT y.year, levels.design, count(s.study_id) AS n
         FROM (SELECT DISTINCT year FROM study) y CROSS JOIN levels
         LEFT JOIN study s ON s.year IS NOT DISTINCT FROM y.year AND s.design = levels.design
         GROUP BY ALL""",
@@ -415,7 +409,7 @@ QUERIES: dict[str, str] = {
         for x in ("After", "BA", "CI", "BACI", "Rand.exp.")
     ) + " FROM study GROUP BY study_id",
     "complete_grid": """
-        WITH n2 AS (SELECT year, country, count(*) AS n FROM both WHERE src = 2 GROUP BY ALL),
+        WITH n2 AS (SELECT year, country, count(*) AS n FROM pooled WHERE src = 2 GROUP BY ALL),
         lv AS (SELECT 'NATION_' || i AS country FROM range(26) t(i)
                UNION ALL SELECT NULL WHERE EXISTS (SELECT 1 FROM n2 WHERE country IS NULL))
         SELECT y.year, lv.country, coalesce(n, 0) AS n
@@ -476,15 +470,15 @@ QUERIES: dict[str, str] = {
         FROM boot_logit a JOIN boot_logit b
         ON a.draw = b.draw AND a.design = b.design AND b.synopsis = 'AUTOMOBILE'""",
     "epred_draws_saturated": f"""
-        SELECT synopsis, draw, design, {r('n / sum(n) OVER (PARTITION BY draw, synopsis)', 5)} AS epred
+        SELECT synopsis, draw, design, {r('n / sum(n) OVER (PARTITION BY draw, synopsis)', 8)} AS epred
         FROM boot_syn""",
-    "averaged_probability": f"SELECT synopsis, draw, design, {r('epred')} AS epred FROM averaged",
-    "grand_mean": f"SELECT draw, design, {r('g')} AS grand_mean_epred FROM grand",
+    "averaged_probability": f"SELECT synopsis, draw, design, {r('epred', 9)} AS epred FROM averaged",
+    "grand_mean": f"SELECT draw, design, {r('g', 9)} AS grand_mean_epred FROM grand",
     "group_vs_grand_mean": f"""
-        SELECT o.design, synopsis, {r('op')} AS point_group, {r('ol')} AS lower_group,
-               {r('ou')} AS upper_group, 0.95::DOUBLE AS width_group, 'median' AS point_type_group,
-               'qi' AS interval_type_group, {r('gp')} AS point_grand_mean, {r('gl')} AS lower_grand_mean,
-               {r('gu')} AS upper_grand_mean, 0.95::DOUBLE AS width_grand_mean,
+        SELECT o.design, synopsis, {r('op', 9)} AS point_group, {r('ol', 9)} AS lower_group,
+               {r('ou', 9)} AS upper_group, 0.95::DOUBLE AS width_group, 'median' AS point_type_group,
+               'qi' AS interval_type_group, {r('gp', 9)} AS point_grand_mean, {r('gl', 9)} AS lower_grand_mean,
+               {r('gu', 9)} AS upper_grand_mean, 0.95::DOUBLE AS width_grand_mean,
                'median' AS point_type_grand_mean, 'qi' AS interval_type_grand_mean,
                ol > gu OR ou < gl AS is_significant,
                CASE WHEN ol > gu THEN 'Higher than average' WHEN ou < gl THEN 'Lower than average'
