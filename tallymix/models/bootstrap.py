@@ -13,6 +13,7 @@ from tallymix.models.design import Design
 from tallymix.models.fit import PRIOR_SD, fit_groups
 
 HASH_RANGE = 1 << 32
+DRAWS_PER_HASH = 4
 
 
 def poisson_edges() -> list[int]:
@@ -27,14 +28,17 @@ def poisson_edges() -> list[int]:
         k += 1
 
 
-def cluster_hash(cluster: Column, draw: Column) -> Column:
-    """Eight hexadecimal digits from a cluster and a draw; they order like a number."""
-    key = F.concat(F.coalesce(cluster.cast("string"), F.lit("\\N")), F.lit("|"), draw.cast("string"))
-    return F.substring(F.md5(key), 1, 8)
+def block_hash(cluster: Column, block: Column) -> Column:
+    """Hash of a cluster and a block of four draws: 32 hexadecimal digits, 8 per draw."""
+    key = F.concat(F.coalesce(cluster.cast("string"), F.lit("\\N")), F.lit("|"), block.cast("string"))
+    return F.md5(key)
 
 
 def poisson_weight(h: Column) -> Column:
-    """Poisson(1) count of a uniform hash, by inverse distribution function."""
+    """Poisson(1) count of a uniform hash, by inverse distribution function.
+
+    The hash stays text: eight hexadecimal digits order like the number they spell.
+    """
     edges = poisson_edges()
     out = F.when(h < f"{edges[0]:08x}", F.lit(0))
     for k, edge in enumerate(edges[1:], start=1):
@@ -48,14 +52,32 @@ def bootstrap_cells(
     """Weighted counts per (draw, keys).
 
     The rows are collapsed to (cluster, keys) once. Draws are then exploded and summed
-    in the same stage: what is shuffled, and returned, is bounded by draws x cells.
-    Zero weights are summed too and empty cells dropped at the end: a filter on the
-    weight would make Spark hash every row twice.
+    in one stage: what is shuffled after it, and returned, is bounded by draws x cells.
+    The collapsed rows are spread evenly first, as each stands for ``draws`` rows of work
+    and run-time coalescing would see only its bytes. Zero weights are summed too and
+    empty cells dropped at the end: a filter on the weight would hash every row twice.
     """
+    spark = df.sparkSession
+    tasks = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
     base = df.groupBy(cluster, *keys).agg(F.count("*").alias("__c"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAWS_PER_HASH)))
+    each = F.array(
+        *[
+            F.struct(
+                (F.col("__block") * DRAWS_PER_HASH + (i + 1)).alias("draw"),
+                F.substring("__hash", 8 * i + 1, 8).alias("__h"),
+            )
+            for i in range(DRAWS_PER_HASH)
+        ]
+    )
     return (
-        base.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        .withColumn("__h", cluster_hash(F.col(cluster), F.col("draw")))
+        base.repartition(tasks, cluster, *keys)
+        .select("*", blocks.alias("__block"))
+        .withColumn("__hash", block_hash(F.col(cluster), F.col("__block")))
+        .select(*keys, "__c", F.inline(each))
+        .filter(F.col("draw") <= draws)
         .groupBy("draw", *keys)
         .agg(F.sum(F.col("__c") * poisson_weight(F.col("__h"))).alias(n))
         .filter(F.col(n) > 0)

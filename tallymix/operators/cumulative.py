@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymix.functions.expressions import literals
+from tallymix.functions.sizing import materialise
 from tallymix.operators.share import count_by
 
 
@@ -24,12 +25,15 @@ def complete_grid(
     All levels are used, seen or not; a NULL category is a level too if it occurs.
     The empty rows are appended and folded in by one aggregate: no join.
     """
-    has_null = counts.agg(F.coalesce(F.max(F.col(category).isNull()), F.lit(False))).scalar()
-    wanted = F.when(has_null, literals([*levels, None])).otherwise(literals(levels))
+    # Every branch keeps ``n`` in its aggregate, so that all of them read the exchange of
+    # the counts and the rows behind the counts are scanned once.
+    null_seen = counts.agg(F.max(F.when(F.col(category).isNull(), F.coalesce(n, F.lit(0))))).scalar()
+    wanted = F.when(null_seen.isNotNull(), literals([*levels, None])).otherwise(literals(levels))
     empty = (
         counts.groupBy(over)
-        .agg(F.lit(None).cast(counts.schema[n].dataType).alias(n))
-        .select(over, F.explode(wanted).alias(category), n)
+        .agg(F.max(F.coalesce(n, F.lit(0))).alias("__seen"))
+        .filter(F.col("__seen").isNotNull())
+        .select(over, F.explode(wanted).alias(category), F.lit(None).cast("long").alias(n))
     )
     return (
         counts.select(over, category, n)
@@ -80,37 +84,44 @@ def cumulative_distinct(
 
     A category has a row for every step present anywhere from its own first step on;
     NULL counts as one value; rows with a NULL category or step add nothing. A value
-    counts at the first step it occurs: the minimum per (category, value).
+    counts at the first step it occurs: the minimum per (category, value). The rows are
+    read once, into a stored table with one row per (category, step).
     """
-    base = df.filter(F.col(order).isNotNull()).groupBy(category, order, *values.values()).agg(
-        F.lit(1).alias("__one")
+    # The step itself is tracked as one more value, so a step that brings nothing new
+    # still has a row.
+    tracked = [("__step", order), *values.items()]
+    firsts = (
+        df.filter(F.col(order).isNotNull())
+        .select(
+            category,
+            order,
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(F.lit(out).alias("__kind"), F.col(c).cast("string").alias("__value"))
+                        for out, c in tracked
+                    ]
+                )
+            ),
+        )
+        .groupBy(category, "__kind", "__value")
+        .agg(F.min(order).alias(order))
     )
-    steps = base.agg(F.sort_array(F.collect_set(order))).scalar()
-    seen = base.filter(F.col(category).isNotNull())
-    tagged = seen.select(
-        category,
-        order,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(out).alias("kind"), F.col(c).cast("string").alias("value"))
-                    for out, c in values.items()
-                ]
-            )
-        ).alias("__v"),
-    )
-    firsts = tagged.groupBy(category, "__v.kind", "__v.value").agg(F.min(order).alias(order))
-    news = firsts.groupBy(category, order).agg(
-        *[F.count_if(F.col("kind") == out).alias(out) for out in values]
+    news = materialise(
+        firsts.groupBy(category, order).agg(
+            *[F.count_if(F.col("__kind") == out).alias(out) for out in values]
+        )
     )
-    start = news.groupBy(category).agg(F.min(order).alias("__start")).withColumn("__steps", steps)
+    steps = news.agg(F.sort_array(F.collect_set(order))).scalar()
+    known = news.filter(F.col(category).isNotNull())
+    start = known.groupBy(category).agg(F.min(order).alias("__start")).withColumn("__steps", steps)
     empty = start.select(
         category,
         F.explode(F.filter("__steps", lambda s: s >= F.col("__start"))).alias(order),
         *[F.lit(0).cast("long").alias(out) for out in values],
     )
     full = (
-        news.unionByName(empty).groupBy(category, order).agg(*[F.sum(o).alias(o) for o in values])
+        known.unionByName(empty).groupBy(category, order).agg(*[F.sum(o).alias(o) for o in values])
     )
     return full.withColumns({o: running_total(o, [category], order) for o in values})
 

@@ -153,7 +153,7 @@ def normalise_missing(spark, d):
 
 @query
 def derived_indicator(spark, d):
-    return tidy(V.rd_expenditure(spark, d).select("name", "code", "year", "rd_pc"), 4)
+    return tidy(V.rd_expenditure(spark, d).select("name", "code", "year", "rd_pc"))
 
 
 @query
@@ -219,17 +219,17 @@ def lowest_coverage(spark, d):
 
 @query
 def join_indicators(spark, d):
-    return tidy(V.rd_gdp(spark, d), 4)
+    return tidy(V.rd_gdp(spark, d))
 
 
 @query
 def join_third_indicator(spark, d):
-    return tidy(V.indicators(spark, d), 4)
+    return tidy(V.indicators(spark, d))
 
 
 @query
 def attach_indicators(spark, d):
-    return tidy(V.merged(spark, d), 4)
+    return tidy(V.merged(spark, d))
 
 
 @query
@@ -419,8 +419,7 @@ def median_interval_large(spark, d):
     return tidy(
         quantiles.group_quantiles(
             lines, ["l_returnflag"], "l_extendedprice", {"lower": 0.025, "point": 0.5, "upper": 0.975}
-        ),
-        4,
+        )
     )
 
 

@@ -73,7 +73,7 @@ VIEWS: dict[str, str] = {
         USING (key, year)""",
     "line_cells": """
         SELECT n_nationkey AS key, CAST(year(o_orderdate) AS INTEGER) AS year,
-               avg(l_extendedprice) AS gdp_pc, avg(l_tax) * 100 - 4 AS ge
+               sqrt(avg(l_extendedprice)) AS gdp_pc, 10 * sqrt(avg(l_tax)) - 2 AS ge
         FROM lineitem JOIN placed ON l_orderkey = o_orderkey GROUP BY ALL""",
     "line_long": """
         SELECT name, code, year, gdp_pc, ge
@@ -144,8 +144,8 @@ VIEWS: dict[str, str] = {
     "boot": f"""
         SELECT *, CASE {' '.join(f'WHEN h < {e} THEN {k}' for k, e in enumerate(poisson_edges()))}
                   ELSE {len(poisson_edges())} END AS w
-        FROM (SELECT *, CAST('0x' || substr(md5(CAST(study_id AS VARCHAR) || '|' || CAST(draw AS VARCHAR)), 1, 8)
-                             AS BIGINT) AS h
+        FROM (SELECT *, CAST('0x' || substr(md5(CAST(study_id AS VARCHAR) || '|' || CAST((draw - 1) // 4 AS VARCHAR)),
+                                        8 * ((draw - 1) % 4) + 1, 8) AS BIGINT) AS h
               FROM boot_base CROSS JOIN
               (SELECT CAST(unnest(range(1, {DRAWS + 1})) AS INTEGER) AS draw))""",
     "boot_syn": """
@@ -270,7 +270,7 @@ QUERIES: dict[str, str] = {
     "normalise_missing": """
         SELECT study_id, nullif(lat_raw, 'NA') IS NULL AS lat_missing, count(*) AS n
         FROM main_raw GROUP BY ALL""",
-    "derived_indicator": f"SELECT name, code, year, {r('rd_pc', 4)} AS rd_pc FROM rd_exp",
+    "derived_indicator": f"SELECT name, code, year, {r('rd_pc')} AS rd_pc FROM rd_exp",
     "income_group": """
         SELECT income_category, income_group, count(*) AS n FROM with_income GROUP BY ALL""",
     "complete_rows": f"SELECT {STUDY_COLUMNS} FROM located",
@@ -298,12 +298,12 @@ QUERIES: dict[str, str] = {
         SELECT study_id, {n_distinct('design')} AS n_categories FROM study GROUP BY study_id
         ORDER BY n_categories, study_id LIMIT 20""",
     "join_indicators": f"""
-        SELECT name, code, year, {r('rd_percent', 4)} AS rd_percent, {r('gdp_pc', 4)} AS gdp_pc FROM rd_gdp""",
+        SELECT name, code, year, {r('rd_percent')} AS rd_percent, {r('gdp_pc')} AS gdp_pc FROM rd_gdp""",
     "join_third_indicator": f"""
-        SELECT name, code, year, {r('rd_pc', 4)} AS rd_pc, {r('ge', 4)} AS ge FROM indic""",
+        SELECT name, code, year, {r('rd_pc')} AS rd_pc, {r('ge')} AS ge FROM indic""",
     "attach_indicators": f"""
-        SELECT study_id, synopsis, year, design, continent, country, {r('lat', 4)} AS lat,
-               {r('long', 4)} AS long, iso3c, {r('rd_pc', 4)} AS rd_pc, {r('ge', 4)} AS ge FROM merged""",
+        SELECT study_id, synopsis, year, design, continent, country, {r('lat')} AS lat,
+               {r('long')} AS long, iso3c, {r('rd_pc')} AS rd_pc, {r('ge')} AS ge FROM merged""",
     "attach_income": f"SELECT {STUDY_COLUMNS}, iso3c, income_category FROM with_income",
     "covariate_grid": """
         SELECT synopsis, year FROM (SELECT DISTINCT synopsis FROM study)
@@ -372,9 +372,9 @@ QUERIES: dict[str, str] = {
         GROUP BY lat_bin, long_bin""",
     "median_interval": interval_sql("draws_like", "synopsis, design", "epred"),
     "median_interval_large": f"""
-        SELECT l_returnflag, {r('quantile_cont(l_extendedprice, 0.025)', 4)} AS lower,
-               {r('quantile_cont(l_extendedprice, 0.5)', 4)} AS point,
-               {r('quantile_cont(l_extendedprice, 0.975)', 4)} AS upper
+        SELECT l_returnflag, {r('quantile_cont(l_extendedprice, 0.025)')} AS lower,
+               {r('quantile_cont(l_extendedprice, 0.5)')} AS point,
+               {r('quantile_cont(l_extendedprice, 0.975)')} AS upper
         FROM lineitem GROUP BY l_returnflag""",
     "row_counts": """
         SELECT 'study' AS table_name, count(*) AS n_rows FROM study

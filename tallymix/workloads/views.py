@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymix import schema as S
+from tallymix.functions.sizing import materialise
 from tallymix.operators import linkage, prep, reshape
 from tallymix.sources.tables import read_table
 
@@ -80,13 +81,14 @@ def raw_fields():
     }
 
 
-def main_source(spark: SparkSession, d: str) -> DataFrame:
+def main_source(spark: SparkSession, d: str, placed: DataFrame | None = None) -> DataFrame:
+    placed = placed if placed is not None else placed_orders(spark, d)
     f = raw_fields()
     label = None
     for priority, status, text in MAIN_LABELS:
         hit = (F.col("o_orderpriority") == priority) & (F.col("o_orderstatus") == status)
         label = F.when(hit, F.lit(text)) if label is None else label.when(hit, F.lit(text))
-    return placed_orders(spark, d).filter(F.col("o_orderstatus") != "P").select(
+    return placed.filter(F.col("o_orderstatus") != "P").select(
         F.col("o_custkey").alias("study_id"),
         F.col("c_mktsegment").alias("synopsis"),
         label.alias("design_raw"),
@@ -98,13 +100,14 @@ def main_source(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def second_source(spark: SparkSession, d: str) -> DataFrame:
+def second_source(spark: SparkSession, d: str, placed: DataFrame | None = None) -> DataFrame:
+    placed = placed if placed is not None else placed_orders(spark, d)
     f = raw_fields()
     label = None
     for priority, text in SECOND_LABELS:
         hit = F.col("o_orderpriority") == priority
         label = F.when(hit, F.lit(text)) if label is None else label.when(hit, F.lit(text))
-    return placed_orders(spark, d).filter(F.col("o_orderstatus") == "P").select(
+    return placed.filter(F.col("o_orderstatus") == "P").select(
         F.col("o_custkey").alias("paper_id"),
         f["year"].alias("Year"),
         label.alias("Study_design"),
@@ -115,7 +118,7 @@ def second_source(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def clean_main(spark: SparkSession, d: str) -> DataFrame:
+def clean_main(spark: SparkSession, d: str, placed: DataFrame | None = None) -> DataFrame:
     names = {
         "study_id": "study_id",
         "synopsis": "synopsis",
@@ -126,10 +129,10 @@ def clean_main(spark: SparkSession, d: str) -> DataFrame:
         "lat": "lat_raw",
         "long": "long_raw",
     }
-    return prep.clean_source(main_source(spark, d), names, S.DESIGN_RECODE_MAIN, S.DESIGN_LEVELS)
+    return prep.clean_source(main_source(spark, d, placed), names, S.DESIGN_RECODE_MAIN, S.DESIGN_LEVELS)
 
 
-def clean_second(spark: SparkSession, d: str) -> DataFrame:
+def clean_second(spark: SparkSession, d: str, placed: DataFrame | None = None) -> DataFrame:
     names = {
         "study_id": "paper_id",
         "year": "Year",
@@ -140,7 +143,7 @@ def clean_second(spark: SparkSession, d: str) -> DataFrame:
         "long": "Long",
     }
     return prep.clean_source(
-        second_source(spark, d),
+        second_source(spark, d, placed),
         names,
         S.DESIGN_RECODE_SECOND,
         S.DESIGN_LEVELS,
@@ -150,7 +153,8 @@ def clean_second(spark: SparkSession, d: str) -> DataFrame:
 
 def study(spark: SparkSession, d: str) -> DataFrame:
     """The central table: both sources, cleaned and stacked by name."""
-    return prep.append_by_name(clean_main(spark, d), clean_second(spark, d))
+    placed = placed_orders(spark, d)
+    return prep.append_by_name(clean_main(spark, d, placed), clean_second(spark, d, placed))
 
 
 def nations(spark: SparkSession, d: str) -> DataFrame:
@@ -161,15 +165,19 @@ def nations(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _wide(rows: DataFrame, spark: SparkSession, d: str, measure) -> DataFrame:
-    rows = (
+def _cells(rows: DataFrame, spark: SparkSession, d: str, **measures) -> DataFrame:
+    """Measures per nation and year."""
+    return (
         rows.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("c_nationkey")
-        .pivot("y", YEARS)
-        .agg(measure)
+        .groupBy("c_nationkey", F.year("o_orderdate").alias("y"))
+        .agg(*[m.alias(k) for k, m in measures.items()])
     )
+
+
+def _wide(cells: DataFrame, spark: SparkSession, d: str, measure: str) -> DataFrame:
+    wide = cells.groupBy("c_nationkey").pivot("y", YEARS).agg(F.first(measure))
     return (
-        rows.withColumnsRenamed({str(y): f"X{y}" for y in YEARS})
+        wide.withColumnsRenamed({str(y): f"X{y}" for y in YEARS})
         .join(nations(spark, d), F.col("c_nationkey") == F.col("key"))
         .select("name", "code", *YEAR_COLUMNS)
     )
@@ -177,47 +185,58 @@ def _wide(rows: DataFrame, spark: SparkSession, d: str, measure) -> DataFrame:
 
 def rd_wide(spark: SparkSession, d: str) -> DataFrame:
     """First indicator: mean order price in units of 100,000; one empty cell."""
-    orders = table(spark, d, "orders").withColumn("y", F.year("o_orderdate"))
-    wide = _wide(orders, spark, d, F.avg("o_totalprice") / 100000)
+    cells = _cells(table(spark, d, "orders"), spark, d, rd=F.avg("o_totalprice") / 100000)
+    wide = _wide(cells, spark, d, "rd")
     return wide.withColumn("X1996", F.when(F.col("code") != "N05", F.col("X1996")))
 
 
-def _lines(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").withColumn("y", F.year("o_orderdate"))
-    return table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+def line_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The line measures of both other indicators, stored: one pass over the lines."""
+    orders = table(spark, d, "orders")
+    lines = table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return materialise(
+        _cells(
+            lines,
+            spark,
+            d,
+            gdp=F.sqrt(F.avg("l_extendedprice")),
+            ge=F.sqrt(F.avg("l_tax")) * 10 - 2,
+        )
+    )
 
 
-def gdp_wide(spark: SparkSession, d: str) -> DataFrame:
-    """Second indicator: mean line price."""
-    return _wide(_lines(spark, d), spark, d, F.avg("l_extendedprice"))
+def gdp_wide(spark: SparkSession, d: str, cells: DataFrame) -> DataFrame:
+    """Second indicator: root of the mean line price."""
+    return _wide(cells, spark, d, "gdp")
 
 
-def ge_wide(spark: SparkSession, d: str) -> DataFrame:
-    """Third indicator: mean line tax in percent, less 4."""
-    return _wide(_lines(spark, d), spark, d, F.avg("l_tax") * 100 - 4)
+def ge_wide(spark: SparkSession, d: str, cells: DataFrame) -> DataFrame:
+    """Third indicator: root of the mean line tax, rescaled."""
+    return _wide(cells, spark, d, "ge")
 
 
 def indicator_long(wide: DataFrame, values_to: str) -> DataFrame:
     return reshape.lengthen_years(wide, ["name", "code"], YEAR_COLUMNS, values_to, "X")
 
 
-def rd_gdp(spark: SparkSession, d: str) -> DataFrame:
+def rd_gdp(spark: SparkSession, d: str, cells: DataFrame | None = None) -> DataFrame:
     """The first two indicators, joined on (code, year)."""
+    cells = cells if cells is not None else line_cells(spark, d)
     rd = indicator_long(rd_wide(spark, d), "rd_percent")
-    gdp = indicator_long(gdp_wide(spark, d), "gdp_pc").select("code", "year", "gdp_pc")
+    gdp = indicator_long(gdp_wide(spark, d, cells), "gdp_pc").select("code", "year", "gdp_pc")
     return linkage.join_indicators(rd, gdp, ["code", "year"])
 
 
-def rd_expenditure(spark: SparkSession, d: str) -> DataFrame:
-    return linkage.derived_indicator(rd_gdp(spark, d), "rd_percent", "gdp_pc", "rd_pc")
+def rd_expenditure(spark: SparkSession, d: str, cells: DataFrame | None = None) -> DataFrame:
+    return linkage.derived_indicator(rd_gdp(spark, d, cells), "rd_percent", "gdp_pc", "rd_pc")
 
 
 def indicators(spark: SparkSession, d: str) -> DataFrame:
     """The (country, year) dimension; the third indicator joins on (name, year)."""
-    ge = indicator_long(ge_wide(spark, d), "ge").select("name", "year", "ge")
-    return linkage.join_indicators(
-        rd_expenditure(spark, d).select("name", "code", "year", "rd_pc"), ge, ["name", "year"]
-    )
+    cells = line_cells(spark, d)
+    ge = indicator_long(ge_wide(spark, d, cells), "ge").select("name", "year", "ge")
+    rd = rd_expenditure(spark, d, cells).select("name", "code", "year", "rd_pc")
+    return linkage.join_indicators(rd, ge, ["name", "year"])
 
 
 def crosswalk(spark: SparkSession, d: str) -> DataFrame:
@@ -246,8 +265,8 @@ def merged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_table(spark: SparkSession, d: str) -> DataFrame:
-    """Complete rows with both indicators standardised."""
-    full = prep.complete_rows(merged(spark, d), ["rd_pc", "ge"])
+    """Complete rows with both indicators standardised; the joined rows are stored once."""
+    full = materialise(prep.complete_rows(merged(spark, d), ["rd_pc", "ge"]))
     return linkage.standardise(full, ["rd_pc", "ge"])
 
 

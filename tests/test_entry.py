@@ -13,14 +13,17 @@ import check  # noqa: E402
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
-@pytest.fixture(scope="module")
-def con():
-    return check.duck(SF)
+# At the smallest scale a draw can leave a (subfield, design) cell empty, and an
+# unpenalised log ratio is then infinite.
+LARGER = "/root/testdata/sf0.01"
+NEEDS_FULL_CELLS = {"multinomial_draws_saturated"}
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
-def test_matches_sql(spark, con, name):
-    assert check.compare(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) == ""
+def test_matches_sql(spark, name):
+    d = LARGER if name in NEEDS_FULL_CELLS else SF
+    got = entry.queries()[name](spark, d)
+    assert check.compare(got, check.duck(d), entry.oracle_sql()[name]) == ""
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
