@@ -94,3 +94,13 @@ def to_cells(
     """Collapse rows to counts per (covariates, category): all the likelihood needs."""
     keys = [*by, *design.covariates, design.category]
     return design.check(df).groupBy(*keys).agg(F.count("*").alias(n))
+
+
+def factor_levels(df: DataFrame, column: str) -> list[str]:
+    """Levels of a factor in binary order, for a design.
+
+    Only names that become model terms come to the driver: one per level, out of a
+    distributed distinct.
+    """
+    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().toLocalIterator()
+    return sorted(r[0] for r in rows)

@@ -68,53 +68,45 @@ def placed_orders(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def raw_fields():
-    year = F.year("o_orderdate").cast("string")
-    lat = ((F.col("o_orderkey") * 37) % 18000).cast("double") / 100 - 90
-    long = ((F.col("o_orderkey") * 71) % 36000).cast("double") / 100 - 180
-    return {
-        "year": F.when(F.col("o_totalprice") < 6000, F.lit("unknown")).otherwise(year),
-        "lat": F.when(F.col("o_totalprice") > 490000, F.lit("NA")).otherwise(lat.cast("string")),
-        "long": long.cast("string"),
-        "country": F.nullif("n_name", F.lit("NATION_7")),
-        "continent": F.when(F.col("n_name") != "NATION_13", F.col("r_name")),
-    }
+# Text fields of the raw sources, and their columns under both sources' names.
+YEAR_TEXT = "CASE WHEN o_totalprice < 6000 THEN 'unknown' ELSE CAST(year(o_orderdate) AS STRING) END"
+LAT_TEXT = (
+    "CASE WHEN o_totalprice > 490000 THEN 'NA' ELSE "
+    "CAST(CAST((o_orderkey * 37) % 18000 AS DOUBLE) / 100 - 90 AS STRING) END"
+)
+LONG_TEXT = "CAST(CAST((o_orderkey * 71) % 36000 AS DOUBLE) / 100 - 180 AS STRING)"
+COUNTRY = "nullif(n_name, 'NATION_7')"
+CONTINENT = "CASE WHEN n_name <> 'NATION_13' THEN r_name END"
 
 
 def main_source(spark: SparkSession, d: str, placed: DataFrame | None = None) -> DataFrame:
     placed = placed if placed is not None else placed_orders(spark, d)
-    f = raw_fields()
-    label = None
-    for priority, status, text in MAIN_LABELS:
-        hit = (F.col("o_orderpriority") == priority) & (F.col("o_orderstatus") == status)
-        label = F.when(hit, F.lit(text)) if label is None else label.when(hit, F.lit(text))
-    return placed.filter(F.col("o_orderstatus") != "P").select(
-        F.col("o_custkey").alias("study_id"),
-        F.col("c_mktsegment").alias("synopsis"),
-        label.alias("design_raw"),
-        f["year"].alias("year_raw"),
-        f["continent"].alias("continent"),
-        f["country"].alias("country"),
-        f["lat"].alias("lat_raw"),
-        f["long"].alias("long_raw"),
+    label = " ".join(
+        f"WHEN o_orderpriority = '{p}' AND o_orderstatus = '{s}' THEN '{t}'" for p, s, t in MAIN_LABELS
+    )
+    return placed.filter("o_orderstatus <> 'P'").selectExpr(
+        "o_custkey AS study_id",
+        "c_mktsegment AS synopsis",
+        f"CASE {label} END AS design_raw",
+        f"{YEAR_TEXT} AS year_raw",
+        f"{CONTINENT} AS continent",
+        f"{COUNTRY} AS country",
+        f"{LAT_TEXT} AS lat_raw",
+        f"{LONG_TEXT} AS long_raw",
     )
 
 
 def second_source(spark: SparkSession, d: str, placed: DataFrame | None = None) -> DataFrame:
     placed = placed if placed is not None else placed_orders(spark, d)
-    f = raw_fields()
-    label = None
-    for priority, text in SECOND_LABELS:
-        hit = F.col("o_orderpriority") == priority
-        label = F.when(hit, F.lit(text)) if label is None else label.when(hit, F.lit(text))
-    return placed.filter(F.col("o_orderstatus") == "P").select(
-        F.col("o_custkey").alias("paper_id"),
-        f["year"].alias("Year"),
-        label.alias("Study_design"),
-        f["long"].alias("Long"),
-        f["lat"].alias("Lat"),
-        f["country"].alias("Country"),
-        f["continent"].alias("Continent"),
+    label = " ".join(f"WHEN o_orderpriority = '{p}' THEN '{t}'" for p, t in SECOND_LABELS)
+    return placed.filter("o_orderstatus = 'P'").selectExpr(
+        "o_custkey AS paper_id",
+        f"{YEAR_TEXT} AS Year",
+        f"CASE {label} END AS Study_design",
+        f"{LONG_TEXT} AS Long",
+        f"{LAT_TEXT} AS Lat",
+        f"{COUNTRY} AS Country",
+        f"{CONTINENT} AS Continent",
     )
 
 
