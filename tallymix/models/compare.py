@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymix.functions.sizing import materialise, null_safe_join
@@ -11,9 +11,11 @@ from tallymix.models.fit import PRIOR_SD, fit_groups
 from tallymix.models.predict import by_category, over_draws, probabilities
 
 
-def fold_of(cluster: str, folds: int):
+def fold_of(cluster: str, folds: int) -> Column:
     """Fold 1..folds of a cluster; all its rows are held out together."""
-    return (F.pmod(F.xxhash64(F.col(cluster).cast("string")), F.lit(folds)) + 1).cast("int")
+    key = F.coalesce(F.col(cluster).cast("string"), F.lit("\\N"))
+    h = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+    return (h % folds + 1).cast("int")
 
 
 def fold_cells(df: DataFrame, cluster: str, models: list[Design], folds: int) -> DataFrame:

@@ -606,12 +606,12 @@ def by_synopsis(spark, d) -> tuple[DataFrame, Design]:
     return V.study(spark, d), Design("design", LEVELS, [], {"synopsis": V.SYNOPSES})
 
 
-def fitted(spark, d, model=temporal):
+def fitted(spark, d, model=temporal, prior_sd=fit.PRIOR_SD):
     """Cells, draws and design of a model; the draws are stored once for their readers."""
     rows, design = model(spark, d)
     rows = materialise(rows.select("study_id", *design.covariates, design.category))
     cells = materialise(to_cells(rows, design))
-    draws = bootstrap.multinomial_draws(rows, "study_id", design, DRAWS)
+    draws = bootstrap.multinomial_draws(rows, "study_id", design, DRAWS, prior_sd)
     return cells, materialise(draws), design
 
 
@@ -675,6 +675,25 @@ def epred_draws_saturated(spark, d):
     return tidy(predict.epred_draws(grid, materialise(draws), design, DRAWS), 8)
 
 
+@query
+def coefficient_summary_saturated(spark, d):
+    _, draws, _ = fitted(spark, d, by_synopsis, prior_sd=None)
+    return tidy(predict.coefficient_summary(draws), 5)
+
+
+@query
+def predictive_check_saturated(spark, d):
+    cells, draws, design = fitted(spark, d, by_synopsis, prior_sd=None)
+    return tidy(predict.predictive_check(cells, draws, design, DRAWS), 5)
+
+
+@query
+def elpd_compare_saturated(spark, d):
+    rows, by_group = by_synopsis(spark, d)
+    models = {"by_group": by_group, "overall": Design("design", LEVELS)}
+    return tidy(compare.elpd_compare(materialise(rows), "study_id", models, FOLDS, prior_sd=None), 4)
+
+
 @query
 def conditional_curve(spark, d):
     cells, draws, design = fitted(spark, d)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tallymix.models.bootstrap import poisson_edges
-from tallymix.workloads.catalogue import DRAWS
+from tallymix.workloads.catalogue import DRAWS, FOLDS
 from tallymix.workloads.views import YEARS
 
 
@@ -154,6 +154,35 @@ VIEWS: dict[str, str] = {
         SELECT a.draw, a.synopsis, a.design, ln(a.n / b.n) AS v
         FROM boot_syn a JOIN boot_syn b ON a.draw = b.draw AND a.synopsis = b.synopsis
         WHERE b.design = 'After' AND a.design <> 'After'""",
+    "boot_terms": """
+        SELECT a.draw, a.design AS category, CASE WHEN a.synopsis = 'AUTOMOBILE' THEN '(Intercept)'
+               ELSE 'synopsis=' || a.synopsis END AS term,
+               CASE WHEN a.synopsis = 'AUTOMOBILE' THEN a.v ELSE a.v - b.v END AS estimate
+        FROM boot_logit a JOIN boot_logit b
+        ON a.draw = b.draw AND a.design = b.design AND b.synopsis = 'AUTOMOBILE'""",
+    "boot_expected": """
+        SELECT draw, design, sum(rows_seen * p) AS expected
+        FROM (SELECT draw, synopsis, design, n / sum(n) OVER (PARTITION BY draw, synopsis) AS p
+              FROM boot_syn)
+        JOIN (SELECT synopsis, count(*) AS rows_seen FROM study GROUP BY ALL) USING (synopsis)
+        GROUP BY ALL""",
+    "folds": f"""
+        SELECT synopsis, design, CAST('0x' || substr(md5(CAST(study_id AS VARCHAR)), 1, 8) AS BIGINT)
+               % {FOLDS} AS fold FROM study""",
+    "fold_sums": "SELECT fold, synopsis, design, count(*) AS n FROM folds GROUP BY ALL",
+    "fold_scores": """
+        SELECT h.n,
+               ln((SELECT sum(n) FROM fold_sums t WHERE t.fold <> h.fold AND t.synopsis = h.synopsis
+                   AND t.design = h.design) /
+                  (SELECT sum(n) FROM fold_sums t WHERE t.fold <> h.fold AND t.synopsis = h.synopsis))
+               AS by_group,
+               ln((SELECT sum(n) FROM fold_sums t WHERE t.fold <> h.fold AND t.design = h.design) /
+                  (SELECT sum(n) FROM fold_sums t WHERE t.fold <> h.fold)) AS overall
+        FROM fold_sums h""",
+    "fold_totals": """
+        SELECT sum(n) AS n, sum(n * by_group) AS a, sum(n * overall) AS b,
+               sum(n * (by_group - overall)) AS d, sum(n * (by_group - overall) ** 2) AS q
+        FROM fold_scores""",
     "point_logit": """
         SELECT a.synopsis, a.design, ln(a.n / b.n) AS v
         FROM (SELECT synopsis, design, count(*) AS n FROM study GROUP BY ALL) a
@@ -464,11 +493,27 @@ QUERIES: dict[str, str] = {
         SELECT draw, year, synopsis, design, CAST(sum(c * w) AS BIGINT) AS n FROM boot
         WHERE w > 0 AND year IS NOT NULL GROUP BY ALL""",
     "multinomial_draws_saturated": f"""
-        SELECT a.draw, a.design AS category, CASE WHEN a.synopsis = 'AUTOMOBILE' THEN '(Intercept)'
-               ELSE 'synopsis=' || a.synopsis END AS term,
-               {r("CASE WHEN a.synopsis = 'AUTOMOBILE' THEN a.v ELSE a.v - b.v END", 5)} AS estimate
-        FROM boot_logit a JOIN boot_logit b
-        ON a.draw = b.draw AND a.design = b.design AND b.synopsis = 'AUTOMOBILE'""",
+        SELECT draw, category, term, {r('estimate', 5)} AS estimate FROM boot_terms""",
+    "coefficient_summary_saturated": f"""
+        SELECT category, term, {r('avg(estimate)', 5)} AS estimate,
+               {r('stddev_samp(estimate)', 5)} AS std_error,
+               {r('quantile_cont(estimate, 0.025)', 5)} AS conf_low,
+               {r('quantile_cont(estimate, 0.975)', 5)} AS conf_high
+        FROM boot_terms GROUP BY category, term""",
+    "predictive_check_saturated": f"""
+        SELECT e.design, {r('point', 5)} AS point, {r('lower', 5)} AS lower, {r('upper', 5)} AS upper,
+               0.95::DOUBLE AS width, 'median' AS point_type, 'qi' AS interval_type, observed
+        FROM (SELECT design, quantile_cont(expected, 0.5) AS point, quantile_cont(expected, 0.025) AS lower,
+                     quantile_cont(expected, 0.975) AS upper FROM boot_expected GROUP BY design) e
+        JOIN (SELECT design, count(*) AS observed FROM study GROUP BY design) o ON e.design = o.design""",
+    "elpd_compare_saturated": f"""
+        SELECT 'by_group' AS model, {r('a', 4)} AS elpd, {r('least(a - b, 0)', 4)} AS elpd_diff,
+               CASE WHEN a >= b THEN 0.0::DOUBLE ELSE {r('sqrt(n * (q - d * d / n) / (n - 1))', 4)} END AS se_diff
+        FROM fold_totals
+        UNION ALL
+        SELECT 'overall', {r('b', 4)}, {r('least(b - a, 0)', 4)},
+               CASE WHEN b > a THEN 0.0::DOUBLE ELSE {r('sqrt(n * (q - d * d / n) / (n - 1))', 4)} END
+        FROM fold_totals""",
     "epred_draws_saturated": f"""
         SELECT synopsis, draw, design, {r('n / sum(n) OVER (PARTITION BY draw, synopsis)', 8)} AS epred
         FROM boot_syn""",
