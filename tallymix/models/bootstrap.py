@@ -73,7 +73,7 @@ def bootstrap_cells(
         ]
     )
     return (
-        base.repartition(tasks, cluster, *keys)
+        base.repartition(tasks, F.xxhash64(cluster, *keys))
         .select("*", blocks.alias("__block"))
         .withColumn("__hash", block_hash(F.col(cluster), F.col("__block")))
         .select(*keys, "__c", F.inline(each))

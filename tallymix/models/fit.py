@@ -167,7 +167,10 @@ def fit_groups(
             out.insert(0, by, int(pdf[by].iloc[0]))
             return out
 
-        return cells.groupBy(by).applyInPandas(fit, schema)
+        # An explicit number of tasks: by their bytes alone all groups would be put into one.
+        spark = cells.sparkSession
+        tasks = min(groups, max(1, spark.sparkContext.defaultParallelism))
+        return cells.repartition(tasks, by).groupBy(by).applyInPandas(fit, schema)
     out = None
     for g in range(1, groups + 1):
         one = multinomial_fit(cells.filter(F.col(by) == g), design, n, prior_sd)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymix.functions import expressions as X
+from tallymix.functions.ranking import with_position
 
 
 def project(df: DataFrame, columns: Mapping[str, str] | Sequence[str]) -> DataFrame:
@@ -52,6 +53,12 @@ def relevel(
     return df.withColumn(rank, X.level_rank(F.col(column), X.move_last(levels, last)))
 
 
+def reversed_labels(df: DataFrame, column: str, into: str = "position") -> DataFrame:
+    """Distinct labels in descending (binary) order with their position."""
+    labels = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    return with_position(labels, [F.col(column).desc()], into)
+
+
 def normalise_missing(df: DataFrame, columns: Sequence[str], token: str = "NA") -> DataFrame:
     """Text tokens that stand for a missing value become NULL."""
     return df.withColumns({c: X.text_na_as_null(F.col(c), token) for c in columns})

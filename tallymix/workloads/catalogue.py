@@ -19,7 +19,6 @@ from tallymix.operators import (
     binning,
     cumulative,
     intervals,
-    linkage,
     prep,
     quality,
     quantiles,
@@ -143,6 +142,11 @@ def relevel(spark, d):
     return share.count_by(out, ["design", "level_rank"])
 
 
+@query
+def reversed_labels(spark, d):
+    return prep.reversed_labels(V.study(spark, d), "synopsis")
+
+
 @query
 def normalise_missing(spark, d):
     out = prep.normalise_missing(V.main_source(spark, d), ["lat_raw"])
@@ -192,6 +196,13 @@ def keep_listed(spark, d):
     return tidy(quality.keep_listed(rows, ids, ["study_id"]))
 
 
+@query
+def drop_listed(spark, d):
+    rows = V.study(spark, d)
+    thin = quality.diversity(rows, "country", "study_id").filter(F.col("n_categories") < 60)
+    return share.count_by(quality.drop_listed(rows, thin, ["country"]), ["country"])
+
+
 @query
 def coverage_filter(spark, d):
     return tidy(quality.coverage_filter(V.study(spark, d), "study_id", "design", 5))

@@ -296,6 +296,9 @@ QUERIES: dict[str, str] = {
         SELECT design, CAST(CASE design WHEN 'After' THEN 1 WHEN 'BA' THEN 2 WHEN 'CI' THEN 3
                WHEN 'Rand.exp.' THEN 4 WHEN 'BACI' THEN 5 END AS INTEGER) AS level_rank, count(*) AS n
         FROM study GROUP BY ALL""",
+    "reversed_labels": """
+        SELECT synopsis, CAST(row_number() OVER (ORDER BY synopsis DESC) AS INTEGER) AS position
+        FROM (SELECT DISTINCT synopsis FROM study WHERE synopsis IS NOT NULL)""",
     "normalise_missing": """
         SELECT study_id, nullif(lat_raw, 'NA') IS NULL AS lat_missing, count(*) AS n
         FROM main_raw GROUP BY ALL""",
@@ -314,6 +317,9 @@ QUERIES: dict[str, str] = {
     "keep_listed": f"""
         SELECT {STUDY_COLUMNS} FROM study WHERE study_id IN
         (SELECT study_id FROM study GROUP BY study_id HAVING {n_distinct('synopsis')} >= 2)""",
+    "drop_listed": f"""
+        SELECT country, count(*) AS n FROM study GROUP BY country
+        HAVING NOT ({n_distinct('study_id')} < 60)""",
     "coverage_filter": f"""
         SELECT {STUDY_COLUMNS} FROM study WHERE study_id IN
         (SELECT study_id FROM study GROUP BY study_id HAVING {n_distinct('design')} >= 5)""",
