@@ -683,7 +683,8 @@ def epred_draws_saturated(spark, d):
     rows, design = by_synopsis(spark, d)
     draws = bootstrap.multinomial_draws(rows, "study_id", design, DRAWS, prior_sd=None)
     grid = prep.distinct_values(rows, ["synopsis"])
-    return tidy(predict.epred_draws(grid, materialise(draws), design, DRAWS), 8)
+    epred = predict.epred_draws(grid, materialise(draws), design, DRAWS)
+    return tidy(epred.select("synopsis", "draw", "design", F.ln("epred").alias("log_epred")))
 
 
 @query

@@ -521,7 +521,7 @@ QUERIES: dict[str, str] = {
                CASE WHEN b > a THEN 0.0::DOUBLE ELSE {r('sqrt(n * (q - d * d / n) / (n - 1))', 4)} END
         FROM fold_totals""",
     "epred_draws_saturated": f"""
-        SELECT synopsis, draw, design, {r('n / sum(n) OVER (PARTITION BY draw, synopsis)', 8)} AS epred
+        SELECT synopsis, draw, design, {r('ln(n / sum(n) OVER (PARTITION BY draw, synopsis))')} AS log_epred
         FROM boot_syn""",
     "averaged_probability": f"SELECT synopsis, draw, design, {r('epred', 9)} AS epred FROM averaged",
     "grand_mean": f"SELECT draw, design, {r('g', 9)} AS grand_mean_epred FROM grand",
