@@ -20,6 +20,7 @@ NEEDS_FULL_CELLS = {
     "multinomial_draws_saturated",
     "coefficient_summary_saturated",
     "elpd_compare_saturated",
+    "epred_draws_saturated",
 }
 
 
