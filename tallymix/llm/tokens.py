@@ -17,9 +17,10 @@ import numpy as np
 import regex
 
 #: White space beyond ASCII: a run of it may cross a chunk's end. NUL marks a text's start.
-WHOLE = re.compile("[\x00\x1c-\x1f\x85\xa0  -     　]|<\\|")
+WHOLE = re.compile("[\x00\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+MARKERS = re.compile("[\x00\x1c-\x1f]")
 #: White space other than single spaces and single line ends between words.
-UNEVEN = re.compile(rb"[ \n]{2}|[\t\x0b-\r]|\A[ \n]|[ \n]\Z")
+UNEVEN = (b"  ", b"\n\n", b" \n", b"\n ", b"\t", b"\x0b", b"\x0c", b"\r")
 CHUNK = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: Characters whose classes no version of Unicode changes; other chunks go the long way.
 PLAIN = re.compile("[ \n!-~À-įı-ɏ]+")
@@ -57,6 +58,7 @@ class Encoder(dict):
         self.model = self.tokenizer.model
         self.spaced = spaced
         self.letters = byte_letters()
+        self.lead = "\u0120" if spaced else ""
 
     @classmethod
     def get(cls, path: str, spaced: bool) -> Encoder:
@@ -71,15 +73,16 @@ class Encoder(dict):
         return np.array(ids, dtype="<u4").tobytes()
 
     def __missing__(self, key: bytes) -> bytes:
+        if key.isalpha():  # ASCII letters, which stand for themselves: one piece
+            letters = self.lead + key.decode()
+            ids = self[key] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            return ids
         word = key.decode()
-        if word.isalpha() and PLAIN.fullmatch(word):  # one piece
-            if not self.spaced and not key.isascii():
+        if word.isalpha() and PLAIN.fullmatch(word):  # one piece of other letters
+            if not self.spaced:
                 word = unicodedata.normalize("NFC", word).lower()
-            raw = word if key.isascii() else word.encode().decode("latin-1")
-            letters = raw.translate(self.letters)
-            letters = "\u0120" + letters if self.spaced else letters
-            ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-            self[key] = ids
+            letters = self.lead + word.encode().decode("latin-1").translate(self.letters)
+            ids = self[key] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
             return ids
         if key[-1:] in MARKS and word[:-1].isalpha():  # a mark after a letter is its own piece
             ids = self[key[:-1]] + self[b"\x00" + key[-1:] if self.spaced else key[-1:]]
@@ -108,12 +111,12 @@ class Encoder(dict):
 
     def chunks(self, text: str) -> list[bytes] | None:
         """Keys of the dict in order; None if the text has to be encoded whole."""
-        if WHOLE.search(text):
+        if (MARKERS.search(text) if text.isascii() else WHOLE.search(text)) or "<|" in text:
             return None
         raw = text.encode()
         if not self.spaced:
             return raw.lower().split()
-        if UNEVEN.search(raw):
+        if any(map(raw.__contains__, UNEVEN)) or raw[:1] in SPACE or raw[-1:] in SPACE:
             cut = CHUNK.findall(raw)
             first = [] if cut[0][0] in b" \t\n\x0b\x0c\r" else [b"\x00" + cut.pop(0)]
             return first + [c[1:] if c[0] == 32 and c[1:2] not in SPACE else c for c in cut]
