@@ -43,15 +43,19 @@ from tallymix.llm.tokens import slices
 
 WIDTH = 5
 GROUPS = 128
+#: Groups of the finer vectors that candidate pairs are bounded by before their sets.
+FINE = 1024
 PIVOTS = 4
 #: Points of a posting list in a block; longer lists are joined block by block.
 BLOCK = 2_000
+#: Bits of the broadcast bitmap of documents that may link: at most 2**19 rows of 32 bits.
+BITMAP = 1 << 24
 FANOUT = 16
 
 
 def first_shared(n):
     """k of the routing rule; never falls as n grows. Works on ints and columns."""
-    return n // 8 + 1
+    return n // 12 + 1
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -104,22 +108,24 @@ def routing_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def point_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, n, shingles, counts) of each document."""
+    """(class, n, shingles, counts, fine) of each document."""
     for batch in batches:
         for a in range(0, len(batch), 500):
             out = []
             for _, s in _sets(batch.slice(a, 500)):
-                counts = np.bincount((mix(s) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
-                out.append((set_hash(s), len(s), s.view(np.int64), counts.astype("<i4").tobytes()))
+                fine = np.bincount((mix(s) % np.uint64(FINE)).astype(np.int64), minlength=FINE).astype(np.int32)
+                counts = fine.reshape(-1, GROUPS).sum(axis=0, dtype=np.int32)
+                out.append((set_hash(s), len(s), s.view(np.int64), counts, fine))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([x[0] for x in out], pa.int64()),
                         pa.array([x[1] for x in out], pa.int64()),
                         pa.array([x[2] for x in out], pa.list_(pa.int64())),
-                        pa.array([x[3] for x in out], pa.binary()),
+                        pa.array([x[3] for x in out], pa.list_(pa.int32())),
+                        pa.array([x[4] for x in out], pa.list_(pa.int32())),
                     ],
-                    ["class", "n", "shingles", "counts"],
+                    ["class", "n", "shingles", "counts", "fine"],
                 )
 
 
@@ -204,7 +210,7 @@ def tree_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each block; rows come sorted by (shingle, i, j)."""
 
     def join(rows: pa.Table) -> pa.RecordBatch:
-        counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), "<i4").reshape(-1, GROUPS)
+        counts = pa.concat_arrays(rows["counts"].chunks).flatten().to_numpy().reshape(-1, GROUPS)
         n, comp, cls, part, i, j, key = (
             rows[c].to_numpy() for c in ("n", "component", "class", "part", "i", "j", "shingle")
         )
@@ -253,11 +259,44 @@ def tree_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the similarity."""
-    left = points.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = points.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").filter("4 * na >= 3 * nb and 4 * nb >= 3 * na")
-    return both.filter(7 * F.size(F.array_intersect("sa", "sb")) >= 3 * (F.col("na") + F.col("nb"))).select("a", "b")
+    """The pairs (a, b) of classes whose sets reach the similarity.
+
+    Sizes and count vectors are compared first, so that sets travel only for pairs within
+    the bound.
+    """
+
+    def sides(*names: str) -> list[DataFrame]:
+        own = points.select("class", *names)
+        return [own.select(*[F.col(c).alias(f"{c}_{x}") for c in own.columns]).withColumnRenamed(f"class_{x}", x) for x in "ab"]
+
+    enough = lambda overlap: 7 * overlap >= 3 * (F.col("n_a") + F.col("n_b"))
+    near, own = pairs, ["n"]
+    for counts in ("counts", "fine"):
+        left, right = sides(*own, counts)
+        near = near.join(left, "a").join(right, "b")
+        if own:
+            near = near.filter("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
+        minima = F.zip_with(f"{counts}_a", f"{counts}_b", lambda x, y: F.least(x, y))
+        near = near.filter(enough(F.aggregate(minima, F.lit(0), lambda total, x: total + x)))
+        near, own = near.select("a", "b", "n_a", "n_b"), []
+    left, right = sides("shingles")
+    both = near.join(left, "a").join(right, "b")
+    return both.filter(enough(F.size(F.array_intersect("shingles_a", "shingles_b")))).select("a", "b")
+
+
+def likely_rows(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose ``doc_id`` may be among ``ids``: all of those and few others.
+
+    A bitmap of a fixed number of hashed ids is broadcast; its size has no part in the data's.
+    With more ids than bits it lets every row pass, and the join after it does all the work.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
+    word, bit = F.floor(slot / 32).alias("word"), F.expr("1L").alias("one")
+    marks = ids.select(word, F.call_function("shiftleft", bit, (slot % 32).cast("int")).alias("mark"))
+    marks = marks.groupBy("word").agg(F.bit_or("mark").alias("marks"))
+    held = rows.withColumn("word", word).join(F.broadcast(marks), "word")
+    is_set = F.call_function("shiftright", F.col("marks"), (slot % 32).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return held.filter(is_set).select(*rows.columns)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -269,20 +308,24 @@ def near_copies(docs: DataFrame) -> DataFrame:
     routed = docs.select("text").mapInArrow(routing_rows, "shingle bigint, class bigint, n bigint")
 
     # Routing shingles that at least two classes have, then the classes with enough of them.
-    shared = routed.groupBy("shingle").agg(F.min("class").alias("x"), F.max("class").alias("y"))
+    # Half a class's hash tells two classes apart well enough to see that there are two.
+    half = routed.select("shingle", (F.shiftright("class", 32)).cast("int").alias("half"))
+    shared = half.groupBy("shingle").agg(F.min("half").alias("x"), F.max("half").alias("y"))
     shared = shared.filter("x <> y").select("shingle")
     posted = routed.join(shared, "shingle").groupBy("class", "shingle").agg(F.first("n").alias("n"))
     posted = stored(posted, "posted")
     smallest = F.ceil(F.col("n") * 3 / 4).cast("long")
     likely = posted.groupBy("class", "n").agg(F.count("*").alias("found"))
-    likely = likely.filter(F.col("found") >= F.floor(smallest / 8) + 1).select("class")
+    likely = likely.filter(F.col("found") >= F.floor(smallest / 12) + 1).select("class")
     posted = posted.join(likely, "class")
 
     # Points of those classes, from the text of one document each.
     first = classes.join(likely, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    chosen = docs.join(first.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    first = stored(first.select("doc_id").distinct(), "likely")
+    chosen = likely_rows(docs, first).join(first, "doc_id", "left_semi")
+    chosen = chosen.union(docs.filter("doc_id is null")).select("text")  # those have no id to be found by
     points = chosen.mapInArrow(
-        point_rows, "class bigint, n bigint, shingles array<bigint>, counts binary"
+        point_rows, "class bigint, n bigint, shingles array<bigint>, counts array<int>, fine array<int>"
     )
     points = stored(points.dropDuplicates(["class"]), "points")
 
