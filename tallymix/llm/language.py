@@ -110,6 +110,8 @@ class Model:
 
     def __init__(self, langs: list[str], buckets: np.ndarray, scripts: np.ndarray):
         self.langs = langs
+        if not langs:  # nothing was learned; no text is scored
+            return
         logs = np.log((buckets + 0.5) / (buckets.sum(axis=1, keepdims=True) + 0.5 * BUCKETS))
         self.logs = np.ascontiguousarray((logs - logs.mean(axis=0)).T.astype(np.float32))
         used = scripts >= SHARE * np.maximum(scripts.sum(axis=1, keepdims=True), 1)

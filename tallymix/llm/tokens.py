@@ -84,7 +84,7 @@ class Encoder(dict):
             letters = self.lead + word.encode().decode("latin-1").translate(self.letters)
             ids = self[key] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
             return ids
-        if key[-1:] in MARKS and word[:-1].isalpha():  # a mark after a letter is its own piece
+        if key[-1:] in MARKS and word[:-1].isalpha() and PLAIN.fullmatch(word):  # a mark after a letter is its own piece
             ids = self[key[:-1]] + self[b"\x00" + key[-1:] if self.spaced else key[-1:]]
             self[key] = ids
             return ids
