@@ -66,3 +66,10 @@ def log_ratio(a: Column, b: Column) -> Column:
 
 def no_negative_zero(column: Column) -> Column:
     return column + F.lit(0.0)
+
+
+def only_levels(column: str, levels: Sequence[str]) -> Column:
+    """The column, raising on a value outside the list. NULL is not outside."""
+    c = F.col(column)
+    text = F.concat(F.lit(f"{column} outside the given levels: "), c.cast("string"))
+    return F.when(c.isNull() | c.isin(list(levels)), c).otherwise(F.raise_error(text))

@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tallymix.functions.expressions import only_levels
 from tallymix.operators.share import count_by
 
 
 def contingency(df: DataFrame, rows: str, cols: str, col_levels: Sequence[str]) -> DataFrame:
-    """Two-way table of counts, zero cells kept, missing values dropped."""
-    some = df.filter(F.col(rows).isNotNull() & F.col(cols).isin(list(col_levels)))
+    """Two-way table of counts, zero cells kept, missing values dropped.
+
+    A column value outside the levels raises.
+    """
+    df = df.withColumn(cols, only_levels(cols, col_levels))
+    some = df.filter(F.col(rows).isNotNull() & F.col(cols).isNotNull())
     return some.groupBy(rows).agg(
         *[F.count_if(F.col(cols) == c).alias(c) for c in col_levels]
     )

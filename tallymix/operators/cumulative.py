@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymix.functions.expressions import literals
+from tallymix.functions.expressions import literals, only_levels
 from tallymix.functions.sizing import materialise
 from tallymix.operators.share import count_by
 
@@ -22,9 +22,11 @@ def complete_grid(
 ) -> DataFrame:
     """A row for every (value of ``over`` present, level), absent ones filled.
 
-    All levels are used, seen or not; a NULL category is a level too if it occurs.
+    All levels are used, seen or not; a NULL category is a level too if it occurs. A value
+    outside the levels raises: it would have no row where it is absent.
     The empty rows are appended and folded in by one aggregate: no join.
     """
+    counts = counts.withColumn(category, only_levels(category, levels))
     # Every branch keeps ``n`` in its aggregate, so that all of them read the exchange of
     # the counts and the rows behind the counts are scanned once.
     null_seen = counts.agg(F.max(F.when(F.col(category).isNull(), F.coalesce(n, F.lit(0))))).scalar()

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymix.functions.sizing import null_safe_join
 from tallymix.operators.quantiles import bounded_quantiles, group_quantiles
 
 
@@ -69,7 +70,7 @@ def group_vs_grand_mean(
     higher = F.col("lower_group") > F.col("upper_grand_mean")
     lower = F.col("upper_group") < F.col("lower_grand_mean")
     return (
-        own.join(overall, category, "left")
+        null_safe_join(own, overall, [category], "left")
         .withColumn("is_significant", higher | lower)
         .withColumn(
             "direction",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymix.functions.expressions import log_ratio, to_number
+from tallymix.functions.expressions import log_ratio, only_levels, to_number
 
 
 def lengthen(
@@ -33,7 +33,11 @@ def lengthen_years(
 def widen(
     counts: DataFrame, key: str, category: str, levels: Sequence[str], n: str = "n", fill=None
 ) -> DataFrame:
-    """Long to wide, one column per level; absent cells take the fill value."""
+    """Long to wide, one column per level; absent cells take the fill value.
+
+    A value outside the levels raises rather than vanish.
+    """
+    counts = counts.withColumn(category, only_levels(category, levels))
     wide = counts.groupBy(key).pivot(category, list(levels)).agg(F.first(n))
     if fill is None:
         return wide

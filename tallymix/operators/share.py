@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymix.functions.expressions import n_distinct
+from tallymix.functions.expressions import n_distinct, only_levels
 from tallymix.functions.ranking import with_position
 
 
@@ -53,6 +53,10 @@ def composition(
     return out
 
 
+#: Levels that fit into a 64-bit mask beside NULL.
+MASK_LEVELS = 62
+
+
 def share_of_distinct(
     df: DataFrame,
     category: str,
@@ -63,11 +67,14 @@ def share_of_distinct(
 ) -> DataFrame:
     """Distinct entities per category over all distinct entities; may sum above 1.
 
-    With closed ``levels`` (62 at most) each entity is folded to one bit mask of the
-    levels it was seen with: one scan and one shuffle of entities give all counts and
-    the total. Without levels the total is a second, single-column distinct count.
+    With closed ``levels`` a value outside them raises, however many they are. Up to
+    ``MASK_LEVELS`` of them each entity is folded to one bit mask of the levels it was seen
+    with: one scan and one shuffle of entities give all counts and the total. Otherwise
+    the total is a second, single-column distinct count.
     """
-    if levels is None or len(levels) > 62:
+    if levels is not None and len(levels) > MASK_LEVELS:
+        df, levels = df.withColumn(category, only_levels(category, levels)), None
+    if levels is None:
         per = df.groupBy(category).agg(n_distinct(entity).alias(n))
         return per.withColumn(name, F.col(n) / df.agg(n_distinct(entity)).scalar())
     slots = [*levels, None]

@@ -30,7 +30,8 @@ def local_session(cpus: int = 8, memory: str = "8g", app: str = "tallymix") -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) is a fresh folder made.
+    Where that setting is absent a local session (tests on one machine) gets a fresh
+    folder; on a cluster, whose executors could not see it, this raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -38,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return os.path.dirname(current)
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="tallymix-")
 
 
