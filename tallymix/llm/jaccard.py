@@ -15,13 +15,16 @@ How a link is found
    and counted. The sum of coordinate minima of two points bounds the overlap of the sets
    from above; the minima with a node's largest coordinates bound it for all of its points.
 4. First round: within the posting list of a routing shingle, each class is checked
-   against few pivots of the list. A group of thousands of near copies collapses here
-   without forming its pairs.
+   against the list's pivot, the class most of whose routing shingles others have too:
+   the copy edited least. A group of thousands of near copies collapses here without
+   forming its pairs. Pairs that meet under one pivot in fewer lists than a link needs
+   are left to the second round, which finds every link.
 5. Second round: each posting list that still has several components gets a packed R-tree
    over its points, joined with itself; node pairs below the bound, out of the size range
-   or within one component are pruned. Long lists are cut into blocks of bounded size and
-   all pairs of blocks are joined; lists of the same members, as the shingles of one
-   shared passage have, are joined once.
+   or within one component are pruned. Pairs of points are bounded once more by the
+   ``FINE`` counts that the groups are sums of. Long lists are cut into blocks of bounded
+   size and all pairs of blocks are joined; lists of the same members, as the shingles of
+   one shared passage have, are joined once.
 6. Survivors of both rounds are verified on the full sets.
 
 Nulls: a null or wordless text has an empty set and no links. Rows with a null or repeated
@@ -43,9 +46,10 @@ from tallymix.llm.tokens import slices
 
 WIDTH = 5
 GROUPS = 128
-#: Groups of the finer vectors that candidate pairs are bounded by before their sets.
-FINE = 1024
-PIVOTS = 4
+#: Counts that travel with a point, a byte each; a group of the tree is a sum of them.
+FINE = 512
+#: What the largest byte stands for: any count from 255 on, so that bounds stay bounds.
+MANY = 1 << 20
 #: Points of a posting list in a block; longer lists are joined block by block.
 BLOCK = 2_000
 #: Bits of the broadcast bitmap of documents that may link: at most 2**19 rows of 32 bits.
@@ -108,27 +112,41 @@ def routing_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def point_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, n, shingles, counts, fine) of each document."""
+    """(class, n, shingles, counts) of each document."""
     for batch in batches:
         for a in range(0, len(batch), 500):
             out = []
             for _, s in _sets(batch.slice(a, 500)):
-                fine = np.bincount((mix(s) % np.uint64(FINE)).astype(np.int64), minlength=FINE).astype(np.int32)
-                counts = fine.reshape(-1, GROUPS).sum(axis=0, dtype=np.int32)
-                out.append((set_hash(s), len(s), s.view(np.int64), counts, fine))
+                counts = np.bincount((mix(s) % np.uint64(FINE)).astype(np.int64), minlength=FINE)
+                counts = np.minimum(counts, 255).astype(np.uint8).tobytes()
+                out.append((set_hash(s), len(s), s.view(np.int64), counts))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([x[0] for x in out], pa.int64()),
                         pa.array([x[1] for x in out], pa.int64()),
                         pa.array([x[2] for x in out], pa.list_(pa.int64())),
-                        pa.array([x[3] for x in out], pa.list_(pa.int32())),
-                        pa.array([x[4] for x in out], pa.list_(pa.int32())),
+                        pa.array([x[3] for x in out], pa.binary()),
                     ],
-                    ["class", "n", "shingles", "counts", "fine"],
+                    ["class", "n", "shingles", "counts"],
                 )
 
 
+def fine_counts(column) -> np.ndarray:
+    """The counts of a column of points, a row each."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, FINE)
+    return np.where(raw == 255, MANY, raw).astype(np.int32)
+
+
+def may_link(fine_a, fine_b, n_a, n_b, step: int = 4_000) -> np.ndarray:
+    """Whether the sums of coordinate minima of pairs of points allow for a link."""
+    out = np.zeros(len(n_a), dtype=bool)
+    for i in range(0, len(n_a), step):
+        k = slice(i, i + step)
+        out[k] = 7 * np.minimum(fine_a(k), fine_b(k)).sum(axis=1, dtype=np.int64) >= 3 * (n_a[k] + n_b[k])
+    return out
+
+
 class Tree:
     """A packed R-tree: points sorted by component and size, ``FANOUT`` to a node.
 
@@ -165,7 +183,7 @@ class Tree:
             tb, lo_b, hi_b, cb = (x[b] for x in other.levels[lb])
             keep = (4 * hi_a >= 3 * lo_b) & (4 * hi_b >= 3 * lo_a) & ((ca != cb) | (ca == -1))
             a, b, ta, tb, low = a[keep], b[keep], ta[keep], tb[keep], (lo_a + lo_b)[keep]
-            keep = 7 * np.minimum(ta, tb).sum(axis=1) >= 3 * low
+            keep = 7 * np.minimum(ta, tb).sum(axis=1, dtype=np.int64) >= 3 * low
             a, b = a[keep], b[keep]
             if not len(a):
                 continue
@@ -202,7 +220,7 @@ def small_joins(counts, n, comp, list_of) -> tuple[np.ndarray, np.ndarray]:
     good = np.zeros(len(a), dtype=bool)
     for i in range(0, len(a), 20_000):
         x, y = a[i : i + 20_000], b[i : i + 20_000]
-        good[i : i + 20_000] = 7 * np.minimum(counts[x], counts[y]).sum(axis=1) >= 3 * (n[x] + n[y])
+        good[i : i + 20_000] = 7 * np.minimum(counts[x], counts[y]).sum(axis=1, dtype=np.int64) >= 3 * (n[x] + n[y])
     return a[good], b[good]
 
 
@@ -210,7 +228,8 @@ def tree_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each block; rows come sorted by (shingle, i, j)."""
 
     def join(rows: pa.Table) -> pa.RecordBatch:
-        counts = pa.concat_arrays(rows["counts"].chunks).flatten().to_numpy().reshape(-1, GROUPS)
+        fine = fine_counts(rows["counts"])
+        counts = fine.reshape(len(fine), -1, GROUPS).sum(axis=1, dtype=np.int32)
         n, comp, cls, part, i, j, key = (
             rows[c].to_numpy() for c in ("n", "component", "class", "part", "i", "j", "shingle")
         )
@@ -234,6 +253,8 @@ def tree_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             two = one if i[own[0]] == j[own[0]] else Tree(counts[right], n[right], comp[right])
             found += [(left[a], right[b]) for a, b in one.join(two)]
         a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, int) for k in (0, 1))
+        keep = may_link(lambda k: fine[a[k]], lambda k: fine[b[k]], n[a], n[b])
+        a, b = a[keep], b[keep]
         pairs = np.stack([np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])], axis=1)
         pairs = np.unique(pairs, axis=0) if len(pairs) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -258,30 +279,33 @@ def tree_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield join(pa.Table.from_batches(kept))
 
 
-def verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the similarity.
+def sides(points: DataFrame, *names: str) -> list[DataFrame]:
+    own = points.select("class", *names)
+    return [own.select(F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in names]) for x in "ab"]
 
-    Sizes and count vectors are compared first, so that sets travel only for pairs within
-    the bound.
-    """
 
-    def sides(*names: str) -> list[DataFrame]:
-        own = points.select("class", *names)
-        return [own.select(*[F.col(c).alias(f"{c}_{x}") for c in own.columns]).withColumnRenamed(f"class_{x}", x) for x in "ab"]
-
-    enough = lambda overlap: 7 * overlap >= 3 * (F.col("n_a") + F.col("n_b"))
-    near, own = pairs, ["n"]
-    for counts in ("counts", "fine"):
-        left, right = sides(*own, counts)
-        near = near.join(left, "a").join(right, "b")
-        if own:
-            near = near.filter("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
-        minima = F.zip_with(f"{counts}_a", f"{counts}_b", lambda x, y: F.least(x, y))
-        near = near.filter(enough(F.aggregate(minima, F.lit(0), lambda total, x: total + x)))
-        near, own = near.select("a", "b", "n_a", "n_b"), []
-    left, right = sides("shingles")
-    both = near.join(left, "a").join(right, "b")
-    return both.filter(enough(F.size(F.array_intersect("shingles_a", "shingles_b")))).select("a", "b")
+def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sizes and count vectors allow for a link."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            one, two = (batch.column(c) for c in ("counts_a", "counts_b"))
+            side = lambda col: lambda k: fine_counts(col.slice(k.start, k.stop - k.start))
+            keep = may_link(side(one), side(two), n_a, n_b)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    left, right = sides(points, "n", "counts")
+    near = pairs.join(left, "a").join(right, "b").filter("4 * n_a >= 3 * n_b and 4 * n_b >= 3 * n_a")
+    return near.select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(rows, "a bigint, b bigint")
+
+
+def verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sets reach the similarity."""
+    left, right = sides(points, "shingles")
+    both = pairs.join(left, "a").join(right, "b")
+    overlap = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    return both.filter(7 * overlap >= 3 * (F.size("shingles_a") + F.size("shingles_b"))).select("a", "b")
 
 
 def likely_rows(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -316,8 +340,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     posted = stored(posted, "posted")
     smallest = F.ceil(F.col("n") * 3 / 4).cast("long")
     likely = posted.groupBy("class", "n").agg(F.count("*").alias("found"))
-    likely = likely.filter(F.col("found") >= F.floor(smallest / 12) + 1).select("class")
-    posted = posted.join(likely, "class")
+    likely = likely.filter(F.col("found") >= F.floor(smallest / 12) + 1)
+    likely = likely.select("class", (F.col("found") / F.col("n")).alias("shared"))
+    posted = stored(posted.join(likely, "class"), "likely-posted")
 
     # Points of those classes, from the text of one document each.
     first = classes.join(likely, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
@@ -325,17 +350,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     chosen = likely_rows(docs, first).join(first, "doc_id", "left_semi")
     chosen = chosen.union(docs.filter("doc_id is null")).select("text")  # those have no id to be found by
     points = chosen.mapInArrow(
-        point_rows, "class bigint, n bigint, shingles array<bigint>, counts array<int>, fine array<int>"
+        point_rows, "class bigint, n bigint, shingles array<bigint>, counts binary"
     )
     points = stored(points.dropDuplicates(["class"]), "points")
 
     # First round: pivots.
-    flavour = F.pmod(F.xxhash64("shingle"), F.lit(PIVOTS))
-    rank = F.struct(F.xxhash64("class", flavour).alias("r"), F.col("class").alias("pivot"))
-    pivots = posted.groupBy("shingle").agg(F.min(rank)["pivot"].alias("pivot"))
-    pairs = posted.join(pivots, "shingle").filter("class <> pivot")
+    pivots = posted.groupBy("shingle").agg(F.max(F.struct("shared", "class"))["class"].alias("pivot"))
+    pairs = posted.join(pivots, "shingle").filter("class <> pivot").groupBy("class", "pivot")
+    pairs = pairs.agg(F.count("*").alias("lists"), F.first("n").alias("n"))
+    pairs = pairs.filter(F.col("lists") >= F.floor(F.ceil(F.col("n") * 3 / 4) / 12) + 1)
     pairs = pairs.select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b"))
-    links = stored(verified(pairs.distinct(), points), "links")
+    links = stored(verified(bounded(pairs.distinct(), points), points), "links")
     own = points.select(F.col("class").alias("a"), F.col("class").alias("b"))
     merged = components(links.union(own)).select(F.col("node").alias("class"), "component")
 
