@@ -24,7 +24,8 @@ How a link is found
    or within one component are pruned. Pairs of points are bounded once more by the
    ``FINE`` counts that the groups are sums of. Long lists are cut into blocks of bounded
    size and all pairs of blocks are joined; lists of the same members, as the shingles of
-   one shared passage have, are joined once.
+   one shared passage have, are joined once. Each class carries its first lists, and a
+   list passes over pairs that meet in one of them before it.
 6. Survivors of both rounds are verified on the full sets.
 
 Nulls: a null or wordless text has an empty set and no links. Rows with a null or repeated
@@ -55,6 +56,9 @@ BLOCK = 2_000
 #: Bits of the broadcast bitmap of documents that may link: at most 2**19 rows of 32 bits.
 BITMAP = 1 << 24
 FANOUT = 16
+#: Lists of a class, lowest first, that travel with it: a pair that meets in one of them is
+#: not given again by a later list. Pairs that meet in none of them may be given twice.
+FIRSTS = 8
 
 
 def first_shared(n):
@@ -224,12 +228,23 @@ def small_joins(counts, n, comp, list_of) -> tuple[np.ndarray, np.ndarray]:
     return a[good], b[good]
 
 
+def met_before(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the first lists (rows of ``a`` and ``b``) have one below ``key`` in common."""
+    out = np.zeros(len(key), dtype=bool)
+    for i in range(0, len(key), 50_000):
+        x, y, k = a[i : i + 50_000], b[i : i + 50_000], key[i : i + 50_000]
+        same = (x[:, :, None] == y[:, None, :]).any(axis=2)
+        out[i : i + 50_000] = (same & (x < k[:, None])).any(axis=1)
+    return out
+
+
 def tree_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each block; rows come sorted by (shingle, i, j)."""
 
     def join(rows: pa.Table) -> pa.RecordBatch:
         fine = fine_counts(rows["counts"])
         counts = fine.reshape(len(fine), -1, GROUPS).sum(axis=1, dtype=np.int32)
+        firsts = pa.concat_arrays(rows["firsts"].chunks).flatten().to_numpy().reshape(-1, FIRSTS)
         n, comp, cls, part, i, j, key = (
             rows[c].to_numpy() for c in ("n", "component", "class", "part", "i", "j", "shingle")
         )
@@ -253,6 +268,8 @@ def tree_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             two = one if i[own[0]] == j[own[0]] else Tree(counts[right], n[right], comp[right])
             found += [(left[a], right[b]) for a, b in one.join(two)]
         a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, int) for k in (0, 1))
+        keep = ~met_before(key[a], firsts[a], firsts[b])
+        a, b = a[keep], b[keep]
         keep = may_link(lambda k: fine[a[k]], lambda k: fine[b[k]], n[a], n[b])
         a, b = a[keep], b[keep]
         pairs = np.stack([np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])], axis=1)
@@ -374,13 +391,15 @@ def near_copies(docs: DataFrame) -> DataFrame:
     )
     open_ = open_.filter("x <> y").groupBy("x", "y", "size", "members").agg(F.min("shingle").alias("shingle"))
     open_ = open_.select("shingle", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
-    rows = rows.join(open_, "shingle").withColumn(
-        "part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
-    )
+    rows = stored(rows.join(open_, "shingle"), "open-lists")
+    last = F.array_repeat(F.lit(2**63 - 1), FIRSTS)
+    lists = F.concat(F.sort_array(F.collect_list("shingle")), last)
+    firsts = rows.groupBy("class").agg(F.slice(lists, 1, FIRSTS).alias("firsts"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-    rows = rows.join(points.select("class", "n", "counts"), "class")
-    rows = rows.select("shingle", "i", "j", "part", "class", "component", "n", "counts")
+    rows = rows.join(points.select("class", "n", "counts").join(firsts, "class"), "class")
+    rows = rows.select("shingle", "i", "j", "part", "class", "component", "n", "counts", "firsts")
     blocks = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
     found = blocks.mapInArrow(tree_join, "a bigint, b bigint").distinct()
     links = links.union(stored(verified(found, points), "links"))
