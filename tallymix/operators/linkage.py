@@ -60,9 +60,10 @@ def join_indicators(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Dat
 def attach(facts: DataFrame, dim: DataFrame, on: Sequence[str]) -> DataFrame:
     """Left join of a dimension; unmatched facts keep NULLs, duplicate keys fan out.
 
-    A dimension of checked size is broadcast and the facts stay where they are.
+    A dimension that adaptive execution finds small is broadcast and the facts stay where
+    they are; beyond that the join is shuffled and hot keys are split.
     """
-    return null_safe_join(facts, small_side(dim), on, "left")
+    return null_safe_join(facts, dim, on, "left")
 
 
 def derived_indicator(df: DataFrame, percent: str, amount: str, into: str) -> DataFrame:

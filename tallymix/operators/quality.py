@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymix.functions.expressions import n_distinct
-from tallymix.functions.sizing import null_safe_join, small_side
+from tallymix.functions.sizing import null_safe_join
 from tallymix.operators.quantiles import group_quantiles
 
 
@@ -44,13 +44,17 @@ def consistent_multi_group(df: DataFrame, entity: str, group: str, category: str
 
 
 def keep_listed(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows whose key is in a computed set."""
-    return null_safe_join(df, small_side(keys.select(*on).distinct()), on, "left_semi")
+    """Rows whose key is in a computed set.
+
+    The set is left lazy: its aggregate is already dealt by the key, and adaptive execution
+    broadcasts it if it turns out small.
+    """
+    return null_safe_join(df, keys.select(*on).distinct(), on, "left_semi")
 
 
 def drop_listed(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is not in a computed set; a NULL key is matched like any other."""
-    return null_safe_join(df, small_side(keys.select(*on).distinct()), on, "left_anti")
+    return null_safe_join(df, keys.select(*on).distinct(), on, "left_anti")
 
 
 def coverage_filter(df: DataFrame, group: str, category: str, at_least: int) -> DataFrame:
