@@ -11,8 +11,9 @@ Vectors link if their cosine, in double precision, is at least ``0.9``.
 4. Pairs of a bucket (one lies in it, the other lies in it or probes it) are verified by
    their cosine. A pair that meets in several buckets counts in the smallest one only, which
    both vectors' bucket lists tell, so no pairs are shuffled to be made distinct. A bucket
-   gives each vector its number of links and one edge to a neighbour of lower id; pairs
-   are never written out. Buckets above ``BLOCK`` rows are cut into blocks of pairs.
+   gives each vector its number of links and one edge to the lowest id it is connected with
+   there, which together span the bucket's components; pairs are never written out. Buckets
+   above ``BLOCK`` rows are cut into blocks of pairs.
 
 Nothing is capped: every vector is in every table. What the index can miss is a pair that
 meets in no table; measured recall is in the README.
@@ -121,8 +122,22 @@ def met(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return table, hit[np.arange(len(hit)), table]
 
 
+def merge(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Join the trees of each pair; ``root`` holds the lowest member of each one's tree."""
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = low < high
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
 def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group, links, neighbour) of each group with links in a block."""
+    """(group, links, neighbour) of each group with links in a block.
+
+    ``neighbour`` is the lowest group of its component within the block.
+    """
 
     def block(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         d = rows["dims"][0].as_py()
@@ -131,7 +146,8 @@ def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, size, own, part = (rows[c].to_numpy(zero_copy_only=False) for c in ("group", "size", "own", "part"))
         table, bucket, i, j = (rows[c][0].as_py() for c in ("table", "bucket", "i", "j"))
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        links, low = np.zeros(len(unit), np.int64), group.copy()
+        links, order = np.zeros(len(unit), np.int64), group.argsort()
+        root, place = np.arange(len(unit)), order.argsort()
         for s in range(0, len(left), 500):
             a = left[s : s + 500]
             x, y = np.nonzero(unit[a] @ unit[right].T >= COSINE - 1e-9)
@@ -146,12 +162,12 @@ def pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, y = x[keep], y[keep]
                 np.add.at(links, x, size[y])
                 np.add.at(links, y, size[x])
-                np.minimum.at(low, x, group[y])
-                np.minimum.at(low, y, group[x])
+                merge(root, place[x], place[y])
         at = np.flatnonzero(links)
         if len(at):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(group[at]), pa.array(links[at]), pa.array(low[at])], ["group", "links", "neighbour"]
+                [pa.array(group[at]), pa.array(links[at]), pa.array(group[order[root[place[at]]]])],
+                ["group", "links", "neighbour"],
             )
 
     kept, last, key_columns = [], None, ("dims", "table", "bucket", "i", "j")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -58,6 +59,54 @@ def test_vectors_against_all_pairs(spark):
     assert all(got[i]["component_id"] <= i for i in range(len(x)))
 
 
+def test_chains_of_a_bucket_stay_whole():
+    """All pairs meet in one bucket; its edges must span the components of its links."""
+    rng, angle = np.random.default_rng(8), 0.4  # neighbours link (0.92), others do not (0.70)
+    for n in (3, 40, 1200):
+        steps = np.where(np.arange(n) % 20 < 19, angle, 1.2).cumsum()  # chains of 20, apart
+        planes = np.arange(n) // 20
+        unit = np.zeros((n, 2 * (planes[-1] + 1)))
+        unit[np.arange(n), 2 * planes], unit[np.arange(n), 2 * planes + 1] = np.cos(steps), np.sin(steps)
+        group = rng.permutation(n).astype(np.int64) * 7
+        batch = pa.RecordBatch.from_pydict(
+            {
+                "dims": np.full(n, unit.shape[1]), "table": np.zeros(n, np.int64), "bucket": np.zeros(n, np.int64),
+                "i": np.zeros(n, np.int64), "j": np.zeros(n, np.int64), "part": np.zeros(n, np.int64),
+                "group": group, "size": np.ones(n, np.int64), "own": np.ones(n, bool),
+                "unit": [v.tobytes() for v in unit],
+                "codes": [np.zeros(embeddings.TABLES * (1 + embeddings.PROBES), np.int64)] * n,
+            }
+        )
+        found = pa.Table.from_batches(embeddings.pair_rows(iter([batch]))).to_pydict()
+        near = (unit @ unit.T >= 0.9) & ~np.eye(n, dtype=bool)
+        want = group.copy()
+        while ((low := np.minimum(want, np.where(near, want, want.max()).min(axis=1))) != want).any():
+            want = low
+        links, low = dict(zip(found["group"], found["links"])), dict(zip(found["group"], found["neighbour"]))
+        assert [links.get(g, 0) for g in group.tolist()] == near.sum(axis=1).tolist()
+        assert [low.get(g, g) for g in group.tolist()] == want.tolist()
+
+
+def test_components_of_noisy_chains(spark):
+    steps = np.arange(15) * 0.3
+    rng = np.random.default_rng(9)
+    rows, at = [], 0
+    for _ in range(12):  # chains in planes of their own; ends are far apart
+        p, q = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+        for a in rng.permutation(steps):
+            rows.append((at, (np.cos(a) * p + np.sin(a) * q).tolist()))
+            at += 1
+    got = {r["vec_id"]: r for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    x = np.array([v for _, v in rows])
+    near = x @ x.T >= 0.9
+    want = np.arange(at)
+    while ((low := np.where(near, want, at).min(axis=1)) != want).any():
+        want = low
+    assert [got[i]["n_links"] for i in range(at)] == (near.sum(axis=1) - 1).tolist()  # the index finds all links here
+    assert [got[i]["component_id"] for i in range(at)] == want.tolist()
+    assert [got[i]["kept"] for i in range(at)] == (want == np.arange(at)).tolist()
+
+
 # 2 Mixing
 
 
