@@ -1,15 +1,15 @@
-"""Penalised multinomial fits: one distributed point fit, many small ones in tasks."""
+"""Penalised multinomial fits: Newton steps of many groups at once, summed by Spark."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymix.functions.expressions import level_rank
+from tallymix.functions.sizing import materialise
 from tallymix.models.design import Design
 
 PRIOR_SD = 2.5
@@ -21,43 +21,104 @@ def contrasts(beta: np.ndarray) -> np.ndarray:
     return beta - beta[:1]
 
 
-def fit_distributed(
-    cells: DataFrame, design: Design, n: str = "n", prior_sd: float | None = PRIOR_SD
-) -> np.ndarray:
-    """MLlib fit on weighted cells of any number; returns (categories, terms)."""
-    assembled = cells.withColumns(
-        {f"__x{i}": c for i, c in enumerate(design.columns())}
-    ).withColumn("label", (level_rank(F.col(design.category), design.levels) - 1).cast("double"))
-    size = len(design.terms) - 1
-    stats = assembled.agg(
-        F.sum(n).alias("w"),
-        *[
-            (F.sum(F.col(n) * F.col(f"__x{i}")) / F.sum(n)).alias(f"m{i}")
-            for i in range(len(design.numeric))
-        ],
-    ).first()
-    # Numeric columns are centred for the optimiser; the intercept is moved back below.
-    centre = np.zeros(size)
-    for i in range(len(design.numeric)):
-        centre[i] = stats[f"m{i}"]
-        assembled = assembled.withColumn(f"__x{i}", F.col(f"__x{i}") - F.lit(float(centre[i])))
-    data = (
-        VectorAssembler(inputCols=[f"__x{i}" for i in range(size)], outputCol="features")
-        .transform(assembled)
-        .select("features", "label", F.col(n).cast("double").alias("w"))
+def folded(cells: DataFrame, by: str, design: Design, n: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """One row per (``by``, covariates) with the weight of each category, stored.
+
+    Numeric covariates are centred and scaled for the optimiser, by the same numbers in
+    every group; these are returned per term.
+    """
+    of = [F.coalesce(F.sum(F.when(F.col(design.category) == v, F.col(n).cast("double"))), F.lit(0.0)) for v in design.levels]
+    rows = cells.groupBy(by, *design.covariates).agg(*[y.alias(f"__y{k}") for k, y in enumerate(of)])
+    spark = cells.sparkSession
+    # An explicit number of tasks: by their bytes alone all rows would be put into one.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(tasks, F.xxhash64(by, *design.covariates))
+    rows = materialise(design.with_positions(rows))
+    weight = sum((F.col(f"__y{k}") for k in range(len(design.levels))), F.lit(0.0))
+    centre, scale = np.zeros(len(design.terms)), np.ones(len(design.terms))
+    for i, c in enumerate(design.numeric, start=1):
+        x = F.col(c).cast("double")
+        centre[i] = rows.agg(F.sum(weight * x) / F.sum(weight)).first()[0] or 0.0
+        spread = F.sum(weight * (x - F.lit(float(centre[i]))) ** 2) / F.sum(weight)
+        scale[i] = np.sqrt(rows.agg(spread).first()[0] or 0.0) or 1.0
+        rows = rows.withColumn(c, (x - F.lit(float(centre[i]))) / F.lit(float(scale[i])))
+    return rows, centre, scale
+
+
+def derivatives(rows: DataFrame, by: str, design: Design) -> DataFrame:
+    """Log-likelihood, gradient and Hessian of each group at its coefficients ``trial``.
+
+    One row per (``by``, i, j) of terms i <= j that occur together. ``h`` holds the
+    upper triangle over category pairs. Row (0, j) has the gradient of term j in ``g``
+    and (0, 0) the log-likelihood in ``ll``. A cell takes part only in the terms it has.
+    """
+    k = len(design.levels)
+    terms = [F.struct(F.lit(0).alias("t"), F.lit(1.0).alias("z"))]
+    terms += [F.struct(F.lit(i).alias("t"), F.col(c).alias("z")) for i, c in enumerate(design.numeric, start=1)]
+    at = 1 + len(design.numeric)
+    for f, vs in design.factors.items():
+        position = F.col(f"__f_{f}")
+        index = F.when(position > 0, position + (at - 1)).cast("int")
+        terms.append(F.struct(index.alias("t"), F.lit(1.0).alias("z")))
+        at += len(vs) - 1
+    ys = [f"__y{a}" for a in range(k)]
+    rows = rows.select(
+        by,
+        F.filter(F.array(*terms), lambda s: s["t"].isNotNull()).alias("__terms"),
+        *ys,
+        *[design.score(F.col("trial"), a).alias(f"__s{a}") for a in range(k)],
     )
-    model = LogisticRegression(
-        family="multinomial",
-        weightCol="w",
-        regParam=0.0 if prior_sd is None else 1.0 / (prior_sd**2 * float(stats["w"])),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=500,
-        tol=1e-12,
-    ).fit(data)
-    slopes = model.coefficientMatrix.toArray()
-    intercept = model.interceptVector.toArray() - slopes @ centre
-    return contrasts(np.column_stack([intercept, slopes]))
+    scores = [F.col(f"__s{a}") for a in range(k)]
+    rows = rows.withColumn("__top", F.greatest(*scores) if k > 1 else scores[0])
+    rows = rows.withColumn("__norm", sum((F.exp(s - F.col("__top")) for s in scores), F.lit(0.0)))
+    rows = rows.withColumn("__w", sum((F.col(y) for y in ys), F.lit(0.0)))
+    ll = sum((F.col(y) * (s - F.col("__top") - F.log("__norm")) for y, s in zip(ys, scores)), F.lit(0.0))
+    rows = rows.select(
+        by, "__terms", "__w", *ys, ll.alias("__ll"),
+        *[(F.exp(s - F.col("__top")) / F.col("__norm")).alias(f"__p{a}") for a, s in enumerate(scores)],
+    )
+    pairs = rows.withColumn("__u", F.explode("__terms")).withColumn("__v", F.explode("__terms"))
+    pairs = pairs.filter("__u.t <= __v.t").withColumn("__zz", F.col("__u.z") * F.col("__v.z"))
+    prob = [F.col(f"__p{a}") for a in range(k)]
+    h = [
+        F.sum(F.col("__zz") * F.col("__w") * prob[a] * (F.lit(float(a == b)) - prob[b]))
+        for a in range(k)
+        for b in range(a, k)
+    ]
+    g = [F.sum(F.col("__zz") * (F.col(y) - F.col("__w") * p)) for y, p in zip(ys, prob)]
+    return pairs.groupBy(by, F.col("__u.t").alias("i"), F.col("__v.t").alias("j")).agg(
+        F.array(*h).alias("h"), F.array(*g).alias("g"), F.sum("__ll").alias("ll"), F.sum("__w").alias("w")
+    )
+
+
+def advanced(sums: pd.DataFrame, last: pd.Series, k: int, p: int, ridge: np.ndarray) -> tuple:
+    """The next (trial, base, step, rate, value, state) of a group from its derivatives.
+
+    A trial that lowers the objective halves the step from ``base``; any other becomes
+    the base of a new Newton step. The group is done when the Newton decrement and the
+    gradient vanish.
+    """
+    trial, base, step = (np.asarray(last[c], dtype=float).reshape(k, p) for c in ("trial", "base", "step"))
+    origin = sums[(sums["i"] == 0) & (sums["j"] == 0)].iloc[0]
+    value = float(origin["ll"]) - 0.5 * float((trial * trial * ridge).sum())
+    if not value >= last["value"] - 1e-12 * abs(last["value"]):
+        rate = last["rate"] / 2
+        state = "open" if rate > 1e-9 else "stuck"
+        return base + rate * step, base, step, rate, last["value"], state
+    grad, hess = -trial * ridge, np.zeros((k, p, k, p))
+    upper = np.triu_indices(k)
+    for i, j, h, g in zip(sums["i"], sums["j"], sums["h"], sums["g"]):
+        block = np.zeros((k, k))
+        block[upper] = h
+        block = np.triu(block) + np.triu(block, 1).T
+        hess[:, i, :, j] = hess[:, j, :, i] = block
+        if i == 0:
+            grad[:, j] += g
+    for a in range(k):
+        hess[a, np.arange(p), a, np.arange(p)] += ridge
+    step = np.linalg.lstsq(hess.reshape(k * p, k * p), grad.ravel(), rcond=1e-13)[0].reshape(k, p)
+    flat = (grad * step).sum() <= 1e-12 and np.abs(grad).max() <= 1e-8 * max(1.0, float(origin["w"]))
+    return trial + step, trial, step, 1.0, value, "done" if flat else "open"
 
 
 def multinomial_fit(
@@ -69,20 +130,13 @@ def multinomial_fit(
     scale; intercepts are free. These are population-averaged coefficients, not those of
     a study with zero random effect.
     """
-    beta = fit_distributed(cells, design, n, prior_sd)
-    rows = [
-        (category, term, float(beta[k, j]))
-        for k, category in enumerate(design.levels)
-        if k > 0
-        for j, term in enumerate(design.terms)
-    ]
-    return cells.sparkSession.createDataFrame(rows, COEFFICIENT_SCHEMA)
+    return fit_groups(cells.withColumn("__all", F.lit(1)), "__all", 1, design, n, prior_sd).drop("__all")
 
 
 def newton(
     x: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, prior_sd: float | None, steps: int = 60
 ) -> np.ndarray:
-    """The same objective by Newton steps, for cells that fit in a task."""
+    """The same objective in one process, for comparison with ``fit_groups``."""
     p = x.shape[1]
     ridge = np.zeros(p) if prior_sd is None else np.r_[0.0, np.full(p - 1, 1.0 / prior_sd**2)]
     shift = np.zeros(p)
@@ -151,29 +205,65 @@ def fit_groups(
     n: str = "n",
     prior_sd: float | None = PRIOR_SD,
     max_cells: int = 200_000,
+    steps: int = 100,
 ) -> DataFrame:
-    """One fit per value 1..groups of ``by`` (a draw or a fold).
+    """One fit per value 1..groups of ``by`` (a draw or a fold), by one method at any size.
 
-    A task fits one group, so the cells of a group are counted first. Their number comes
-    from the distinct covariate values, not from the rows. Beyond ``max_cells`` each
-    group is fitted by MLlib over the cluster instead.
+    Newton steps: an iteration is one job, in which Spark sums the derivatives of all
+    groups over their cells; a task then solves for the step of a group, whose size is
+    that of its coefficients. Groups leave when they have converged. If one has not after
+    ``steps`` iterations this raises, naming it. Where a category does not occur beside a
+    free coefficient, that coefficient has no finite optimum and stays where its
+    gradient vanishes. ``max_cells`` no longer has an effect.
     """
-    largest = cells.groupBy(by).agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
-    if largest <= max_cells:
-        schema = f"{by} int, {COEFFICIENT_SCHEMA}"
-
-        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = fit_frame(pdf, design, n, prior_sd)
-            out.insert(0, by, int(pdf[by].iloc[0]))
-            return out
-
-        # An explicit number of tasks: by their bytes alone all groups would be put into one.
-        spark = cells.sparkSession
-        tasks = min(groups, max(1, spark.sparkContext.defaultParallelism))
-        return cells.repartition(tasks, by).groupBy(by).applyInPandas(fit, schema)
-    out = None
-    for g in range(1, groups + 1):
-        one = multinomial_fit(cells.filter(F.col(by) == g), design, n, prior_sd)
-        one = one.select(F.lit(g).alias(by), *one.columns)
-        out = one if out is None else out.unionByName(one)
-    return out
+    spark, k, terms = cells.sparkSession, len(design.levels), design.terms
+    p = len(terms)
+    rows, centre, scale = folded(cells.filter(F.col(by).between(1, groups)), by, design, n)
+    ridge = np.zeros(p) if prior_sd is None else np.r_[0.0, 1.0 / (prior_sd * scale[1:]) ** 2]
+    tasks = min(groups, max(1, spark.sparkContext.defaultParallelism))
+    fields = "trial array<double>, base array<double>, step array<double>, rate double, value double, state string"
+    schema = f"{by} int, {fields}"
+
+    def advance(sums: pd.DataFrame, last: pd.DataFrame) -> pd.DataFrame:
+        trial, base, step, *rest = advanced(sums, last.iloc[0], k, p, ridge)
+        now = [int(last[by].iloc[0]), *(x.ravel().tolist() for x in (trial, base, step)), *rest]
+        return pd.DataFrame([now], columns=last.columns)
+
+    zeros = F.array_repeat(F.lit(0.0), k * p)
+    state = rows.select(F.col(by).cast("int").alias(by)).distinct().select(
+        by, zeros.alias("trial"), zeros.alias("base"), zeros.alias("step"),
+        F.lit(1.0).alias("rate"), F.lit(float("-inf")).alias("value"), F.lit("open").alias("state"),
+    )
+    state, done = materialise(state), []
+    for _ in range(steps):
+        if state.isEmpty():
+            break
+        sums = derivatives(rows.join(state.select(by, "trial"), by), by, design)
+        sums, last = sums.repartition(tasks, by), state.repartition(tasks, by)
+        new = materialise(sums.groupBy(by).cogroup(last.groupBy(by)).applyInPandas(advance, schema))
+        done.append(new.filter("state = 'done'"))
+        state = new.filter("state <> 'done'")
+        if not state.filter("state = 'stuck'").isEmpty():
+            break
+    left = [r[0] for r in state.select(by).orderBy(by).limit(5).collect()]
+    if left:
+        raise ValueError(f"no convergence for {by} {left}")
+    if not done:
+        return spark.createDataFrame([], f"{by} int, {COEFFICIENT_SCHEMA}")
+
+    def estimates(batches):
+        for pdf in batches:
+            for g, trial in zip(pdf[by], pdf["trial"]):
+                beta = contrasts(np.asarray(trial, dtype=float).reshape(k, p)) / scale
+                beta[:, 0] -= beta[:, 1:] @ centre[1:]
+                yield pd.DataFrame(
+                    {
+                        by: int(g),
+                        "category": np.repeat(list(design.levels)[1:], p),
+                        "term": terms * (k - 1),
+                        "estimate": beta[1:].ravel(),
+                    }
+                )
+
+    every = reduce(DataFrame.union, done).select(by, "trial")
+    return every.mapInPandas(estimates, f"{by} int, {COEFFICIENT_SCHEMA}")

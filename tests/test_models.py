@@ -115,6 +115,25 @@ def test_cells_beyond_the_limit_are_fitted_by_the_cluster(spark, data):
     assert a == pytest.approx(b, abs=1e-3)
 
 
+def test_one_estimator_at_every_size(spark, data):
+    """No gap on the intercept at year 0 either, whatever the size of a draw."""
+    cells = to_cells(data, FULL).withColumn("draw", F.explode(F.array(F.lit(1), F.lit(2))))
+    cells = cells.withColumn("n", F.col("n") * F.col("draw"))
+    near = fit.fit_groups(cells, "draw", 2, FULL).collect()
+    far = fit.fit_groups(cells, "draw", 2, FULL, max_cells=1).collect()
+    for draw in (1, 2):
+        pdf = cells.filter(F.col("draw") == draw).toPandas()
+        want = as_matrix(fit.fit_frame(pdf, FULL, "n", fit.PRIOR_SD).to_dict("records"), FULL)
+        for got in (near, far):
+            assert as_matrix([r for r in got if r["draw"] == draw], FULL) == pytest.approx(want, rel=1e-6, abs=1e-8)
+
+
+def test_a_fit_that_has_not_converged_raises(spark, data):
+    cells = to_cells(data, FULL).withColumn("draw", F.lit(1))
+    with pytest.raises(ValueError, match="draw \\[1\\]"):
+        fit.fit_groups(cells, "draw", 1, FULL, steps=1)
+
+
 @pytest.fixture(scope="module")
 def fitted(spark, data):
     cells = to_cells(data, FULL).cache()
