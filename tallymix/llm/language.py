@@ -33,6 +33,8 @@ from tallymix.llm.tokens import slices
 BUCKETS = 1 << 16
 SWITCH = 20.0
 STRETCH = 128
+#: Entries of a table of words x languages x languages.
+ROOM = 1 << 24
 #: A language is a candidate for a script from this share of its letters on.
 SHARE = 0.001
 UND = "und"
@@ -135,7 +137,45 @@ def learn(docs: DataFrame) -> Model:
 
 
 def best_path(scores: np.ndarray, of: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """State of each word on the best path of its text; ``of`` bounds the texts' words."""
+    """State of each word on the best path of its text; ``of`` bounds the texts' words.
+
+    Texts go side by side while their words times languages squared stay below ``ROOM``;
+    a longer one goes by itself in one pass, which needs words times languages.
+    """
+    k, path, start = scores.shape[1], np.zeros(len(scores), dtype=np.int64), 0
+    ends = of.tolist()
+    while start < len(ends) - 1:
+        end = start + 1
+        while end < len(ends) - 1 and (ends[end + 1] - ends[start]) * k * k <= ROOM:
+            end += 1
+        part = slice(ends[start], ends[end])
+        if (ends[end] - ends[start]) * k * k <= ROOM:
+            path[part] = paths_abreast(scores[part], of[start : end + 1] - of[start], switch)
+        else:
+            path[part] = path_of_one(scores[part], switch)
+        start = end
+    return path
+
+
+def path_of_one(scores: np.ndarray, switch: float) -> np.ndarray:
+    """Best path of one text, word by word."""
+    n, k = scores.shape
+    states = np.arange(k, dtype=np.min_scalar_type(max(k - 1, 0)))
+    back, value = np.zeros((n, k), dtype=states.dtype), scores[0].astype(np.float64)
+    for t in range(1, n):
+        top = value.argmax()
+        stay = value >= value[top] - switch
+        back[t] = np.where(stay, states, states[top])
+        value = np.where(stay, value, value[top] - switch) + scores[t]
+    path = np.zeros(n, dtype=np.int64)
+    path[-1] = value.argmax()
+    for t in range(n - 1, 0, -1):
+        path[t - 1] = back[t, path[t]]
+    return path
+
+
+def paths_abreast(scores: np.ndarray, of: np.ndarray, switch: float) -> np.ndarray:
+    """The same of several texts, by stretches of ``STRETCH`` words side by side."""
     n, k = scores.shape
     count = np.diff(of)
     pieces = -(-count // STRETCH)
@@ -148,8 +188,9 @@ def best_path(scores: np.ndarray, of: np.ndarray, switch: float = SWITCH) -> np.
     order = np.argsort(-length, kind="stable")
     s, active = start[order], np.searchsorted(-length[order], -np.arange(STRETCH), side="left")
     best = scores[s][:, None, :] - switch * (1 - np.eye(k, dtype=np.float32))
-    back = np.zeros((n, k, k), dtype=np.int8)
-    states = np.arange(k, dtype=np.int8)
+    small = np.min_scalar_type(max(k - 1, 0))
+    back = np.zeros((n, k, k), dtype=small)
+    states = np.arange(k, dtype=small)
     for t in range(1, STRETCH):
         m = active[t]
         if not m:
@@ -165,7 +206,7 @@ def best_path(scores: np.ndarray, of: np.ndarray, switch: float = SWITCH) -> np.
 
     # Chain the stretches of each text, then walk back.
     first = np.cumsum(pieces) - pieces
-    value, came = np.zeros((len(count), k)), np.zeros((len(text), k), dtype=np.int8)
+    value, came = np.zeros((len(count), k)), np.zeros((len(text), k), dtype=small)
     for t in range(int(pieces.max(initial=0))):
         live = np.flatnonzero(pieces > t)
         total = value[live][:, :, None] + within[first[live] + t]
@@ -190,7 +231,13 @@ def best_path(scores: np.ndarray, of: np.ndarray, switch: float = SWITCH) -> np.
 def word_scores(model: Model, words: Words) -> np.ndarray:
     if not len(words.first):
         return np.zeros((0, len(model.langs)), dtype=np.float32)
-    return np.add.reduceat(model.logs[words.buckets], words.first, axis=0) + model.barred[words.script]
+    ends, out, a = np.append(words.first[1:], len(words.buckets)), [], 0
+    while a < len(ends):  # letters by languages, some words at a time
+        b = max(int(np.searchsorted(ends, words.first[a] + ROOM // len(model.langs), side="right")), a + 1)
+        logs = model.logs[words.buckets[words.first[a] : ends[b - 1]]]
+        out.append(np.add.reduceat(logs, words.first[a:b] - words.first[a], axis=0) + model.barred[words.script[a:b]])
+        a = b
+    return np.concatenate(out)
 
 
 def judged(model: Model, texts: Sequence[str | None]) -> Iterator[tuple[str, float, list[tuple[str, int, int]]]]:

@@ -316,6 +316,18 @@ def test_best_path_is_that_of_one_pass():
         assert b == a or math.isclose(got, value.max(), rel_tol=1e-4)
 
 
+@pytest.mark.parametrize("k,room", [(130, 1 << 26), (300, 1 << 26), (130, 1 << 20), (3, 100)])
+def test_best_path_of_many_languages(monkeypatch, k, room):
+    """Each stretch of 60 words speaks one language, also those numbered past 127 and 255."""
+    monkeypatch.setattr(language, "ROOM", room, raising=False)
+    rng = np.random.default_rng(10)
+    want = np.repeat(np.append(rng.integers(0, k, 6), [k - 1, 0, k - 2]), 60)
+    scores = rng.normal(size=(len(want), k)).astype(np.float32)
+    scores[np.arange(len(want)), want] += 6
+    of = np.array([0, 0, 130, 131, len(want)])
+    assert (language.best_path(scores, of, 20.0) == want).all()
+
+
 def test_languages_of_odd_rows(docs, empty):
     model = language.learn(language.training(docs))
     rows = language.identified(docs, model).collect()
