@@ -16,9 +16,11 @@ from tallymix.llm import (
     jaccard,
     language,
     licenses,
+    middle,
     mixing,
     packing,
     quality_rules,
+    whitening,
 )
 from tallymix.llm.common import fresh_path, stored, table
 
@@ -72,6 +74,14 @@ def op10_chat_format(spark: SparkSession, d: str) -> DataFrame:
     return chat.chats(table(spark, d, "conversations"))
 
 
+def op12_embedding_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whitened(table(spark, d, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, d: str) -> DataFrame:
+    return middle.middle_report(table(spark, d, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_embedding_near_dedup,
@@ -84,9 +94,11 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_rules,
         op9_quality_classifier,
         op10_chat_format,
+        op12_embedding_whitening,
+        op13_fill_in_middle,
     ]
     return {f.__name__: f for f in found}
 
 
 def all_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.SQL, "op10_chat_format": chat.SQL}
+    return {"op2_source_mixing": mixing.SQL, "op10_chat_format": chat.SQL, "op13_fill_in_middle": middle.SQL}
