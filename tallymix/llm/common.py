@@ -84,21 +84,23 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Words:
-    """Words of several texts, cut at ASCII white space, as 64-bit hashes.
+    """Words of several texts, cut at ASCII white space or other ``gaps``, as 64-bit hashes.
 
     A word's hash is a polynomial in its bytes, taken as a difference of running sums, so
     that no word is handled by itself. ``of[i]:of[i + 1]`` are the words of text ``i``;
     ``starts`` and ``ends`` are byte offsets into the joined texts.
     """
 
+    #: Powers that a worker keeps; a longer slice makes its own and drops them.
+    MOST = 1 << 21
     _up = _powers(ODD, 1 << 16)
     _down = _powers(pow(ODD, -1, 1 << 64), 1 << 16)
 
-    def __init__(self, texts: Sequence[str | None], lower: bool = True):
+    def __init__(self, texts: Sequence[str | None], lower: bool = True, gaps: np.ndarray = SPACE):
         raws = [t.encode() if t else b"" for t in texts]
         joined = b"\n".join([*raws, b""])
         self.bytes = np.frombuffer(joined.lower() if lower else joined, dtype=np.uint8)
-        gap = SPACE[self.bytes]
+        gap = gaps[self.bytes]
         edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).view(np.int8)))
         self.starts, self.ends = edge[0::2], edge[1::2]
         at = np.cumsum([0, *(len(r) + 1 for r in raws)])
@@ -107,12 +109,15 @@ class Words:
 
     def sums(self) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.bytes) + 1
-        if n > len(Words._up):
-            Words._up = _powers(ODD, 2 * n)
-            Words._down = _powers(pow(ODD, -1, 1 << 64), 2 * n)
+        up, down = Words._up, Words._down
+        if n > len(up):
+            size = n if n > Words.MOST else min(2 * n, Words.MOST)
+            up, down = _powers(ODD, size), _powers(pow(ODD, -1, 1 << 64), size)
+            if size <= Words.MOST:
+                Words._up, Words._down = up, down
         total = np.zeros(n, dtype=np.uint64)
-        np.cumsum(BYTE_VALUES[self.bytes] * Words._up[: n - 1], out=total[1:])
-        return total, Words._down
+        np.cumsum(BYTE_VALUES[self.bytes] * up[: n - 1], out=total[1:])
+        return total, down
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         total, down = self.sums()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallymix.llm import (
     chat,
     classifier,
+    contamination,
     embeddings,
     huffman,
     jaccard,
@@ -74,6 +75,10 @@ def op10_chat_format(spark: SparkSession, d: str) -> DataFrame:
     return chat.chats(table(spark, d, "conversations"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.contaminated(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def op12_embedding_whitening(spark: SparkSession, d: str) -> DataFrame:
     return whitening.whitened(table(spark, d, "embeddings"))
 
@@ -94,6 +99,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_rules,
         op9_quality_classifier,
         op10_chat_format,
+        op11_benchmark_decontamination,
         op12_embedding_whitening,
         op13_fill_in_middle,
     ]
@@ -101,4 +107,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.SQL, "op10_chat_format": chat.SQL, "op13_fill_in_middle": middle.SQL}
+    return {
+        "op2_source_mixing": mixing.SQL,
+        "op10_chat_format": chat.SQL,
+        "op11_benchmark_decontamination": contamination.SQL,
+        "op13_fill_in_middle": middle.SQL,
+    }
