@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymix.session import ensure_checkpoints
+from tallymix.session import ensure_checkpoints, shared_dir
 
 MAX_BROADCAST_ROWS = 2_000_000
 MAX_BROADCAST_BYTES = 128 * 1024 * 1024
@@ -19,6 +21,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Compute once: written to the cluster's shared folder and read again.
+
+    Unlike a checkpoint, what is read has the size of its files, not the estimate of the
+    plan it came from, so loops over joins keep plans and their estimates small.
+    """
+    path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(
     df: DataFrame,
     max_rows: int = MAX_BROADCAST_ROWS,

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymix.functions.sizing import materialise
+from tallymix.functions.sizing import written
 from tallymix.models.design import Design
 from tallymix.models.fit import PRIOR_SD, fit_groups
 
@@ -90,7 +90,6 @@ def multinomial_draws(
     design: Design,
     draws: int = 200,
     prior_sd: float | None = PRIOR_SD,
-    max_cells: int = 200_000,
 ) -> DataFrame:
     """Coefficients per draw, as contrasts to the base category: (draw, category, term, estimate).
 
@@ -98,5 +97,5 @@ def multinomial_draws(
     run. The weighted cells are stored once: counting and fitting read the same table.
     """
     keys = [*design.covariates, design.category]
-    cells = materialise(bootstrap_cells(design.check(df), cluster, keys, draws))
-    return fit_groups(cells, "draw", draws, design, "n", prior_sd, max_cells)
+    cells = written(bootstrap_cells(design.check(df), cluster, keys, draws), "draw-cells")
+    return fit_groups(cells, "draw", draws, design, "n", prior_sd)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymix.functions.sizing import materialise, null_safe_join
+from tallymix.functions.sizing import null_safe_join, written
 from tallymix.models.design import Design
 from tallymix.models.fit import PRIOR_SD, fit_groups
 from tallymix.models.predict import by_category, over_draws, probabilities
@@ -64,41 +66,28 @@ def elpd_compare(
     the difference and sqrt(n var(d)) are weighted sums over these cells.
     """
     designs = list(models.values())
-    cells = materialise(fold_cells(df, cluster, designs, folds))
+    cells = written(fold_cells(df, cluster, designs, folds), "fold-cells")
     scored = cells
     for name, design in models.items():
         keys = ["fold", *design.covariates, design.category]
         scores = held_out_scores(cells, design, folds, f"__{name}", prior_sd)
         scored = null_safe_join(scored, scores, keys)
     w = F.col("n")
-    totals = scored.agg(*[F.sum(w * F.col(f"__{m}")).alias(m) for m in models]).first()
-    best = max(models, key=lambda m: totals[m])
-    diffs = {m: F.col(f"__{m}") - F.col(f"__{best}") for m in models}
-    one = scored.agg(
-        F.sum(w).alias("__n"),
+    # All that is compared are sums over the cells: one evaluation, one row.
+    pairs = [(a, b) for a in models for b in models]
+    sums = scored.agg(
+        F.sum(w).alias("rows"),
         *[F.sum(w * F.col(f"__{m}")).alias(f"e_{m}") for m in models],
-        *[F.sum(w * d).alias(f"d_{m}") for m, d in diffs.items()],
-        *[F.sum(w * d * d).alias(f"q_{m}") for m, d in diffs.items()],
-    )
-    return one.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(m).alias("model"),
-                        F.col(f"e_{m}").alias("elpd"),
-                        F.col(f"d_{m}").alias("elpd_diff"),
-                        F.sqrt(
-                            F.col("__n")
-                            * F.greatest(
-                                F.col(f"q_{m}") - F.col(f"d_{m}") * F.col(f"d_{m}") / F.col("__n"),
-                                F.lit(0.0),
-                            )
-                            / (F.col("__n") - 1)
-                        ).alias("se_diff"),
-                    )
-                    for m in models
-                ]
-            )
-        )
-    )
+        *[F.sum(w * (F.col(f"__{a}") - F.col(f"__{b}"))).alias(f"d_{a}_{b}") for a, b in pairs],
+        *[F.sum(w * (F.col(f"__{a}") - F.col(f"__{b}")) ** 2).alias(f"q_{a}_{b}") for a, b in pairs],
+    ).first()
+    total = sums["rows"] or 0
+    best = max(models, key=lambda m: sums[f"e_{m}"] if total else 0.0)
+    out = []
+    for m in models:
+        d, q = sums[f"d_{m}_{best}"], sums[f"q_{m}_{best}"]
+        spread = max(q - d * d / total, 0.0) if total else None
+        out.append((m, sums[f"e_{m}"], d, math.sqrt(total * spread / (total - 1)) if total > 1 else None))
+    out.sort(key=lambda r: (-(r[1] or 0.0), r[0]))
+    frame = df.sparkSession.createDataFrame(out, "model string, elpd double, elpd_diff double, se_diff double")
+    return frame.coalesce(1)

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymix.functions.expressions import only_levels
+
 INTERCEPT = "(Intercept)"
 
 
@@ -32,12 +34,14 @@ class Design:
         return [INTERCEPT, *self.numeric, *dummies]
 
     def check(self, df: DataFrame) -> DataFrame:
-        """Rows a model can use: known category, known factor levels, no NULL."""
-        df = df.filter(F.col(self.category).isin(list(self.levels)))
-        for c in self.numeric:
+        """Rows a model can use: no NULL in the category or a covariate.
+
+        A category or factor level outside the lists raises, naming it.
+        """
+        for c, vs in {self.category: self.levels, **self.factors}.items():
+            df = df.withColumn(c, only_levels(c, vs))
+        for c in (self.category, *self.covariates):
             df = df.filter(F.col(c).isNotNull())
-        for f, vs in self.factors.items():
-            df = df.filter(F.col(f).isin(list(vs)))
         return df
 
     def matrix(self, pdf: pd.DataFrame) -> np.ndarray:
@@ -73,15 +77,16 @@ class Design:
         for f, vs in self.factors.items():
             pos = F.col(f"__f_{f}")
             if len(vs) > 1:
-                out = out + F.when(pos > 0, F.get(coef, pos + (at - 1))).otherwise(F.lit(0.0))
+                out = out + F.when(pos == 0, F.lit(0.0)).otherwise(F.get(coef, pos + (at - 1)))
             at += len(vs) - 1
         return out
 
     def with_positions(self, df: DataFrame) -> DataFrame:
-        """Add the 0-based level position of every factor."""
+        """Add the 0-based level position of every factor; an unlisted or NULL level raises."""
         for f, vs in self.factors.items():
+            text = F.concat(F.lit(f"{f} outside the given levels: "), F.coalesce(F.col(f).cast("string"), F.lit("NULL")))
             pos = F.array_position(F.array(*[F.lit(v) for v in vs]), F.col(f)).cast("int") - 1
-            df = df.withColumn(f"__f_{f}", pos)
+            df = df.withColumn(f"__f_{f}", F.when(pos >= 0, pos).otherwise(F.raise_error(text).cast("int")))
         return df
 
     def drop_positions(self, df: DataFrame) -> DataFrame:

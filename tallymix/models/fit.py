@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymix.functions.sizing import materialise
+from tallymix.functions.sizing import written
 from tallymix.models.design import Design
 
 PRIOR_SD = 2.5
@@ -33,15 +33,18 @@ def folded(cells: DataFrame, by: str, design: Design, n: str) -> tuple[DataFrame
     # An explicit number of tasks: by their bytes alone all rows would be put into one.
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(tasks, F.xxhash64(by, *design.covariates))
-    rows = materialise(design.with_positions(rows))
+    rows = written(design.with_positions(rows), "fit-cells")
     weight = sum((F.col(f"__y{k}") for k in range(len(design.levels))), F.lit(0.0))
     centre, scale = np.zeros(len(design.terms)), np.ones(len(design.terms))
-    for i, c in enumerate(design.numeric, start=1):
-        x = F.col(c).cast("double")
-        centre[i] = rows.agg(F.sum(weight * x) / F.sum(weight)).first()[0] or 0.0
-        spread = F.sum(weight * (x - F.lit(float(centre[i]))) ** 2) / F.sum(weight)
-        scale[i] = np.sqrt(rows.agg(spread).first()[0] or 0.0) or 1.0
-        rows = rows.withColumn(c, (x - F.lit(float(centre[i]))) / F.lit(float(scale[i])))
+    if design.numeric:
+        x = [F.col(c).cast("double") for c in design.numeric]
+        first = rows.agg(F.sum(weight), *[F.sum(weight * v) for v in x]).first()
+        if first[0]:
+            centre[1 : len(x) + 1] = [v / first[0] for v in first[1:]]
+            spread = [F.sum(weight * (v - F.lit(float(m))) ** 2) for v, m in zip(x, centre[1:])]
+            scale[1 : len(x) + 1] = [np.sqrt(v / first[0]) or 1.0 for v in rows.agg(*spread).first()]
+        for i, (c, v) in enumerate(zip(design.numeric, x), start=1):
+            rows = rows.withColumn(c, (v - F.lit(float(centre[i]))) / F.lit(float(scale[i])))
     return rows, centre, scale
 
 
@@ -133,70 +136,6 @@ def multinomial_fit(
     return fit_groups(cells.withColumn("__all", F.lit(1)), "__all", 1, design, n, prior_sd).drop("__all")
 
 
-def newton(
-    x: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, prior_sd: float | None, steps: int = 60
-) -> np.ndarray:
-    """The same objective in one process, for comparison with ``fit_groups``."""
-    p = x.shape[1]
-    ridge = np.zeros(p) if prior_sd is None else np.r_[0.0, np.full(p - 1, 1.0 / prior_sd**2)]
-    shift = np.zeros(p)
-    shift[1:] = np.average(x[:, 1:], axis=0, weights=w) if p > 1 else 0.0
-    shift[[j for j in range(1, p) if set(np.unique(x[:, j])) <= {0.0, 1.0}]] = 0.0
-    z = x - shift
-    target = np.zeros((len(y), k))
-    target[np.arange(len(y)), y] = w
-
-    def objective(b):
-        eta = z @ b.T
-        top = eta.max(axis=1)
-        norm = top + np.log(np.exp(eta - top[:, None]).sum(axis=1))
-        return (target * eta).sum() - (w * norm).sum() - 0.5 * (b * b * ridge).sum()
-
-    beta = np.zeros((k, p))
-    value = objective(beta)
-    for _ in range(steps):
-        eta = z @ beta.T
-        prob = np.exp(eta - eta.max(axis=1, keepdims=True))
-        prob /= prob.sum(axis=1, keepdims=True)
-        grad = (target - w[:, None] * prob).T @ z - beta * ridge
-        hess = np.zeros((k, p, k, p))
-        for a in range(k):
-            for b in range(k):
-                v = w * prob[:, a] * ((a == b) - prob[:, b])
-                hess[a, :, b, :] = (z * v[:, None]).T @ z
-            hess[a, np.arange(p), a, np.arange(p)] += ridge
-        step = np.linalg.lstsq(hess.reshape(k * p, k * p), grad.ravel(), rcond=1e-13)[0]
-        step = step.reshape(k, p)
-        rate = 1.0
-        while rate > 1e-6 and objective(beta + rate * step) < value - 1e-12 * abs(value):
-            rate /= 2
-        beta = beta + rate * step
-        new = objective(beta)
-        if abs(new - value) <= 1e-13 * max(1.0, abs(new)) and np.abs(step).max() < 1e-9:
-            break
-        value = new
-    beta = contrasts(beta)
-    beta[:, 0] -= beta[:, 1:] @ shift[1:]
-    return beta
-
-
-def fit_frame(
-    pdf: pd.DataFrame, design: Design, n: str, prior_sd: float | None
-) -> pd.DataFrame:
-    """Contrasts of one set of cells as a pandas frame (category, term, estimate)."""
-    codes = {v: i for i, v in enumerate(design.levels)}
-    y = pdf[design.category].map(codes).to_numpy(dtype="int64")
-    w = pdf[n].to_numpy(dtype="float64")
-    beta = newton(design.matrix(pdf), y, w, len(design.levels), prior_sd)
-    return pd.DataFrame(
-        {
-            "category": np.repeat(list(design.levels)[1:], len(design.terms)),
-            "term": design.terms * (len(design.levels) - 1),
-            "estimate": beta[1:].ravel(),
-        }
-    )
-
-
 def fit_groups(
     cells: DataFrame,
     by: str,
@@ -204,17 +143,17 @@ def fit_groups(
     design: Design,
     n: str = "n",
     prior_sd: float | None = PRIOR_SD,
-    max_cells: int = 200_000,
     steps: int = 100,
 ) -> DataFrame:
     """One fit per value 1..groups of ``by`` (a draw or a fold), by one method at any size.
 
     Newton steps: an iteration is one job, in which Spark sums the derivatives of all
     groups over their cells; a task then solves for the step of a group, whose size is
-    that of its coefficients. Groups leave when they have converged. If one has not after
-    ``steps`` iterations this raises, naming it. Where a category does not occur beside a
-    free coefficient, that coefficient has no finite optimum and stays where its
-    gradient vanishes. ``max_cells`` no longer has an effect.
+    that of its coefficients. The state between steps is a written table of a row per
+    group, so that no step inherits the plan of the one before it. Groups leave when they
+    have converged. If one has not after ``steps`` iterations this raises, naming it.
+    Where a category does not occur beside a free coefficient, that coefficient has no
+    finite optimum and stays where its gradient vanishes.
     """
     spark, k, terms = cells.sparkSession, len(design.levels), design.terms
     p = len(terms)
@@ -234,20 +173,21 @@ def fit_groups(
         by, zeros.alias("trial"), zeros.alias("base"), zeros.alias("step"),
         F.lit(1.0).alias("rate"), F.lit(float("-inf")).alias("value"), F.lit("open").alias("state"),
     )
-    state, done = materialise(state), []
+    state, done = written(state, "fit-state"), []
+    left = {"open": state.count()}
     for _ in range(steps):
-        if state.isEmpty():
+        if not left.get("open") or left.get("stuck"):
             break
         sums = derivatives(rows.join(state.select(by, "trial"), by), by, design)
         sums, last = sums.repartition(tasks, by), state.repartition(tasks, by)
-        new = materialise(sums.groupBy(by).cogroup(last.groupBy(by)).applyInPandas(advance, schema))
-        done.append(new.filter("state = 'done'"))
+        new = written(sums.groupBy(by).cogroup(last.groupBy(by)).applyInPandas(advance, schema), "fit-state")
+        left = dict(new.groupBy("state").count().collect())
+        if left.get("done"):
+            done.append(new.filter("state = 'done'"))
         state = new.filter("state <> 'done'")
-        if not state.filter("state = 'stuck'").isEmpty():
-            break
-    left = [r[0] for r in state.select(by).orderBy(by).limit(5).collect()]
-    if left:
-        raise ValueError(f"no convergence for {by} {left}")
+    if left.get("open") or left.get("stuck"):
+        bad = [r[0] for r in state.select(by).orderBy(by).limit(5).collect()]
+        raise ValueError(f"no convergence for {by} {bad}")
     if not done:
         return spark.createDataFrame([], f"{by} int, {COEFFICIENT_SCHEMA}")
 

@@ -8,6 +8,8 @@ from tallymix.models import bootstrap, compare, fit, predict, splines
 from tallymix.models.design import Design, to_cells
 from tallymix.sources import tables
 
+from reference_fit import fit_frame, newton
+
 LEVELS = ["a", "b", "c"]
 
 
@@ -53,7 +55,7 @@ def test_both_fits_agree_under_the_same_penalty(spark, data):
     cells = to_cells(data, FULL)
     far = as_matrix(fit.multinomial_fit(cells, FULL).collect(), FULL)
     pdf = cells.toPandas()
-    near = fit.fit_frame(pdf, FULL, "n", fit.PRIOR_SD)
+    near = fit_frame(pdf, FULL, "n", fit.PRIOR_SD)
     near = as_matrix(near.to_dict("records"), FULL)
     assert near[:, 1:] == pytest.approx(far[:, 1:], abs=1e-3)
     assert near[:, 0] == pytest.approx(far[:, 0], abs=2.0)  # intercept at year 0
@@ -67,7 +69,7 @@ def test_newton_solves_the_penalised_score(data):
     x = FULL.matrix(pdf)
     y = pdf["d"].map({v: i for i, v in enumerate(LEVELS)}).to_numpy()
     w = pdf["n"].to_numpy(dtype=float)
-    beta = fit.newton(x, y, w, 3, 2.5)
+    beta = newton(x, y, w, 3, 2.5)
     eta = x @ beta.T
     p = np.exp(eta - eta.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
@@ -101,29 +103,19 @@ def test_poisson_edges():
 def test_unit_weights_give_the_point_fit(spark, data):
     cells = to_cells(data, FULL).withColumn("draw", F.lit(1))
     one = fit.fit_groups(cells, "draw", 1, FULL).collect()
-    point = fit.fit_frame(to_cells(data, FULL).toPandas(), FULL, "n", fit.PRIOR_SD)
+    point = fit_frame(to_cells(data, FULL).toPandas(), FULL, "n", fit.PRIOR_SD)
     assert as_matrix(one, FULL) == pytest.approx(as_matrix(point.to_dict("records"), FULL), rel=1e-6)
 
 
-def test_cells_beyond_the_limit_are_fitted_by_the_cluster(spark, data):
-    cells = to_cells(data, SATURATED).withColumn("draw", F.explode(F.array(F.lit(1), F.lit(2))))
-    near = fit.fit_groups(cells, "draw", 2, SATURATED)
-    far = fit.fit_groups(cells, "draw", 2, SATURATED, max_cells=1)
-    key = lambda r: (r["draw"], r["category"], r["term"])
-    a = [r["estimate"] for r in sorted(near.collect(), key=key)]
-    b = [r["estimate"] for r in sorted(far.collect(), key=key)]
-    assert a == pytest.approx(b, abs=1e-3)
-
-
 def test_one_estimator_at_every_size(spark, data):
     """No gap on the intercept at year 0 either, whatever the size of a draw."""
     cells = to_cells(data, FULL).withColumn("draw", F.explode(F.array(F.lit(1), F.lit(2))))
     cells = cells.withColumn("n", F.col("n") * F.col("draw"))
     near = fit.fit_groups(cells, "draw", 2, FULL).collect()
-    far = fit.fit_groups(cells, "draw", 2, FULL, max_cells=1).collect()
+    far = fit.fit_groups(cells, "draw", 2, FULL).collect()
     for draw in (1, 2):
         pdf = cells.filter(F.col("draw") == draw).toPandas()
-        want = as_matrix(fit.fit_frame(pdf, FULL, "n", fit.PRIOR_SD).to_dict("records"), FULL)
+        want = as_matrix(fit_frame(pdf, FULL, "n", fit.PRIOR_SD).to_dict("records"), FULL)
         for got in (near, far):
             assert as_matrix([r for r in got if r["draw"] == draw], FULL) == pytest.approx(want, rel=1e-6, abs=1e-8)
 
@@ -237,7 +229,7 @@ def test_score_matches_rows_by_hand(spark, data):
         score = np.zeros(len(pdf))
         for f in (1, 2, 3):
             train = pdf[pdf.fold != f].groupby([*design.covariates, "d"]).size().reset_index(name="n")
-            beta = fit.newton(
+            beta = newton(
                 design.matrix(train), train["d"].map({v: i for i, v in enumerate(LEVELS)}).to_numpy(),
                 train["n"].to_numpy(dtype=float), 3, fit.PRIOR_SD,
             )
@@ -268,3 +260,47 @@ def test_a_fit_is_kept_and_reloaded(spark, data, fitted, tmp_path):
     tables.save_fit(point, draws, str(tmp_path / "fit"))
     p, d = tables.load_fit(spark, str(tmp_path / "fit"))
     assert p.count() == 8 and d.count() == draws.count()
+
+
+def test_a_separated_fit_has_steps_of_even_cost(spark, monkeypatch):
+    """A cell without one category needs dozens of Newton steps; each is planned afresh."""
+    import time
+
+    at, stored = [], fit.written
+    monkeypatch.setattr(fit, "written", lambda df, name: (at.append(time.perf_counter()), stored(df, name))[1])
+    heavy = [("a", "g1", 10**7), ("b", "g1", 10**7), ("c", "g1", 10**7), ("a", "g2", 10**7), ("b", "g2", 10**7)]
+    cells = spark.createDataFrame(heavy, "d string, g string, n bigint").withColumn("draw", F.lit(1))
+    design = Design("d", LEVELS, [], {"g": ["g1", "g2"]})
+    got = fit.fit_groups(cells, "draw", 1, design, prior_sd=None).collect()
+    beta = as_matrix(got, design)
+    assert beta[0] == pytest.approx([0.0, 0.0], abs=1e-9) and beta[1, 1] < -20
+    seconds = np.diff(at)[2:]
+    assert len(seconds) >= 28  # as many as rounding allows
+    assert np.median(seconds[-8:]) < 3 * np.median(seconds[:8]) + 0.5
+
+
+def test_no_convergence_is_named(spark, data):
+    cells = to_cells(data, FULL).withColumn("draw", F.lit(7))
+    with pytest.raises(ValueError, match=r"no convergence for draw \[7\]"):
+        fit.fit_groups(cells, "draw", 7, FULL, steps=2)
+
+
+def test_unlisted_levels_raise_in_models(spark, data):
+    short = Design("d", ["a", "b"], ["year"], {"g": ["g1", "g2", "g3"]})
+    with pytest.raises(Exception, match="d outside the given levels: c"):
+        to_cells(data, short).collect()
+    known = to_cells(data, FULL)
+    draws = fit.fit_groups(known.withColumn("draw", F.lit(1)), "draw", 1, FULL)
+    for level in ("g9", None):
+        grid = spark.createDataFrame([(2001, level)], "year int, g string")
+        with pytest.raises(Exception, match="g outside the given levels"):
+            predict.epred_draws(grid, draws, FULL, 1).collect()
+    gaps = data.withColumn("g", F.when(F.col("study") > 5, F.col("g")))
+    assert to_cells(gaps, FULL).agg(F.sum("n")).first()[0] == data.filter("study > 5").count()
+
+
+def test_models_come_best_first(spark, data):
+    models = {"none": Design("d", LEVELS), "full": FULL, "same": FULL}
+    rows = compare.elpd_compare(data, "study", models, 3).collect()
+    assert [r["model"] for r in rows] == ["full", "same", "none"]
+    assert rows[0]["elpd_diff"] == 0.0 and rows[1]["se_diff"] == 0.0 and rows[2]["elpd_diff"] < 0 < rows[2]["se_diff"]
