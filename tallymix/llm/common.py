@@ -31,6 +31,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the broadcast bitmap of document ids: at most 2**19 rows of 32 bits.
+BITMAP = 1 << 24
+
+
+def likely_rows(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose ``doc_id`` may be among ``ids``: all of those and few others.
+
+    A bitmap of a fixed number of hashed ids is broadcast; its size has no part in the data's.
+    With more ids than bits it lets every row pass, and the join after it does all the work.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
+    word, bit = F.floor(slot / 32).alias("word"), F.expr("1L").alias("one")
+    marks = ids.select(word, F.call_function("shiftleft", bit, (slot % 32).cast("int")).alias("mark"))
+    marks = marks.groupBy("word").agg(F.bit_or("mark").alias("marks"))
+    held = rows.withColumn("word", word).join(F.broadcast(marks), "word")
+    is_set = F.call_function("shiftright", F.col("marks"), (slot % 32).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return held.filter(is_set).select(*rows.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): one row (node, component) per node.
 
@@ -88,40 +107,50 @@ class Words:
 
     A word's hash is a polynomial in its bytes, taken as a difference of running sums, so
     that no word is handled by itself. ``of[i]:of[i + 1]`` are the words of text ``i``;
-    ``starts`` and ``ends`` are byte offsets into the joined texts.
+    ``starts`` and ``ends`` are byte offsets into the joined texts. The sums are made for
+    pieces of about ``PIECE`` bytes that end between words, so that long texts need little
+    more memory than their bytes and hashes.
     """
 
-    #: Powers that a worker keeps; a longer slice makes its own and drops them.
-    MOST = 1 << 21
-    _up = _powers(ODD, 1 << 16)
-    _down = _powers(pow(ODD, -1, 1 << 64), 1 << 16)
+    PIECE = 1 << 19
+    _up = _powers(ODD, 2 * PIECE)
+    _down = _powers(pow(ODD, -1, 1 << 64), 2 * PIECE)
 
     def __init__(self, texts: Sequence[str | None], lower: bool = True, gaps: np.ndarray = SPACE):
         raws = [t.encode() if t else b"" for t in texts]
         joined = b"\n".join([*raws, b""])
         self.bytes = np.frombuffer(joined.lower() if lower else joined, dtype=np.uint8)
-        gap = gaps[self.bytes]
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).view(np.int8)))
-        self.starts, self.ends = edge[0::2], edge[1::2]
+        made, a = [], 0
+        while a < len(self.bytes):
+            b = self.cut(a + Words.PIECE, gaps)
+            made.append(self.piece(a, b, gaps))
+            a = b
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        self.starts, self.ends, self.hashes = (np.concatenate(c) for c in zip(*made)) if made else none
         at = np.cumsum([0, *(len(r) + 1 for r in raws)])
         self.of = np.searchsorted(self.starts, at)
-        self.hashes = self.spans(self.starts, self.ends)
 
-    def sums(self) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.bytes) + 1
+    def cut(self, at: int, gaps: np.ndarray) -> int:
+        """The first gap from ``at`` on, or the end."""
+        step = 256
+        while at < len(self.bytes):
+            hit = np.flatnonzero(gaps[self.bytes[at : at + step]])
+            if len(hit):
+                return at + int(hit[0])
+            at, step = at + step, 2 * step
+        return len(self.bytes)
+
+    def piece(self, a: int, b: int, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = self.bytes[a:b]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], gaps[own], [True]]).view(np.int8)))
+        starts, ends = edge[0::2], edge[1::2]
+        n = len(own) + 1
         up, down = Words._up, Words._down
-        if n > len(up):
-            size = n if n > Words.MOST else min(2 * n, Words.MOST)
-            up, down = _powers(ODD, size), _powers(pow(ODD, -1, 1 << 64), size)
-            if size <= Words.MOST:
-                Words._up, Words._down = up, down
+        if n > len(up):  # a word longer than a piece
+            up, down = _powers(ODD, n), _powers(pow(ODD, -1, 1 << 64), n)
         total = np.zeros(n, dtype=np.uint64)
-        np.cumsum(BYTE_VALUES[self.bytes] * up[: n - 1], out=total[1:])
-        return total, down
-
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        total, down = self.sums()
-        return mix((total[ends] - total[starts]) * down[starts])
+        np.cumsum(BYTE_VALUES[own] * up[: n - 1], out=total[1:])
+        return starts + a, ends + a, mix((total[ends] - total[starts]) * down[starts])
 
 
 def shingles(words: Words, width: int) -> list[np.ndarray]:

@@ -5,9 +5,10 @@ window is ``WINDOW`` consecutive words of a benchmark item; an item of fewer wor
 none, is one window.
 
 1. Index. Texts are cut into segments of whole documents, about ``SEGMENT`` characters each (a
-   longer text is a segment of its own). A segment has a row per term with all the places of
-   the term in it, whatever the benchmark, and a header with its documents. Terms are 64-bit
-   hashes of words. The index is a stored table, which further benchmarks can be sought in.
+   longer text is a segment of its own). A segment lists each of its terms with all places of
+   the term in it, whatever the benchmark. Terms are 64-bit hashes of words; those of a segment
+   that share their upper bits are packed into a row, and a header row has its documents. The
+   index is a stored table, which further benchmarks can be sought in.
 2. Windows. The index gives the number of postings of each test term. A window's terms are
    ordered from the rarest; one with a term that no document has is dropped.
 3. Search. A window goes to the segments that have its rarest term. There the posting lists,
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymix.llm.common import Words, stored
@@ -52,41 +53,56 @@ def gap_table() -> np.ndarray:
 
 
 GAPS = gap_table()
-INDEX_SCHEMA = "segment bigint, term bigint, n bigint, places binary, doc_ids array<{}>"
+#: Rows that a segment's terms are packed into, by their upper bits.
+BUCKET_BITS = 6
+INDEX_SCHEMA = "segment bigint, bucket int, terms binary, counts binary, places binary, doc_ids array<{}>"
 
 
 def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per segment a header (``term`` null: first words of its documents) and a row per term."""
-    names = ["segment", "term", "n", "places", "doc_ids"]
+    """Per segment a header (``bucket`` null: first words of its documents) and rows of terms.
+
+    ``terms`` ascend (8 bytes each), ``counts`` (4) says how many of the ``places`` (4) each has.
+    """
+    names = ["segment", "bucket", "terms", "counts", "places", "doc_ids"]
     segment = TaskContext.get().partitionId() << 32
+    edges = np.arange(1, 1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
     for batch in batches:
         ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
         for a, b in slices(texts, SEGMENT):
             words = Words(texts[a:b], gaps=GAPS)
-            lists = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), ids.slice(a, b - a))
-            first = pa.array([words.of.astype("<u4").tobytes()], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([segment]), pa.nulls(1, pa.int64()), pa.array([len(words.hashes)]), first, lists], names
-            )
-            order = np.argsort(words.hashes, kind="stable")
+            order = np.argsort(words.hashes, kind="stable").astype("<u4")
             terms = words.hashes[order]
             at = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.zeros(0, np.int64)
-            ends = np.append(at, len(terms)).astype(np.int32)
-            body = order.astype("<u4")
-            places = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends * np.int32(4)), pa.py_buffer(body)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(at), segment)),
-                    pa.array(terms[at].view(np.int64)),
-                    pa.array(np.diff(ends).astype(np.int64)),
-                    places,
-                    pa.nulls(len(at), lists.type),
-                ],
-                names,
-            )
+            terms, counts = terms[at], np.diff(np.append(at, len(order))).astype("<u4")
+            cut = [0, *np.searchsorted(terms, edges).tolist(), len(terms)]
+            ends = np.append(at, len(order))
+            rows = [(segment, None, None, None, words.of.astype("<u4").tobytes(), ids.slice(a, b - a).to_pylist())]
+            for k, (x, y) in enumerate(zip(cut[:-1], cut[1:])):
+                if y > x:
+                    rows.append((segment, k, terms[x:y].tobytes(), counts[x:y].tobytes(), order[ends[x] : ends[y]].tobytes(), None))
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(ids.type)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
             segment += 1
 
 
+def bucket_of(term: str) -> Column:
+    """The row of a segment that a term is packed into."""
+    return F.shiftrightunsigned(term, 64 - BUCKET_BITS).cast("int")
+
+
+def packed_terms(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, counts) of row ``i``; terms as signed numbers in unsigned order."""
+    terms, counts = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in (("terms", "<u8"), ("counts", "<u4")))
+    return terms, counts.astype(np.int64)
+
+
+def sought_of(batch: pa.RecordBatch, i: int, terms: np.ndarray, column: str = "wanted") -> np.ndarray:
+    """Where the terms of row ``i`` stand that are in its list ``column``."""
+    want = np.sort(batch.column(column)[i].values.to_numpy().view(np.uint64))
+    at = np.minimum(np.searchsorted(terms, want), len(terms) - 1)
+    return at[terms[at] == want]
+
+
 def build_index(docs: DataFrame) -> DataFrame:
     """The stored index of ``docs`` (doc_id, text, ..)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -121,17 +137,67 @@ def windows_of(benchmark: DataFrame) -> DataFrame:
     return stored(named.distinct(), "test-windows")
 
 
+def count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n) of the wanted terms of each batch of index rows."""
+    for batch in batches:
+        found, n = [], []
+        for i in range(len(batch)):
+            terms, counts = packed_terms(batch, i)
+            at = sought_of(batch, i, terms)
+            found.append(terms[at])
+            n.append(counts[at])
+        if found:
+            term, of = np.unique(np.concatenate(found), return_inverse=True)
+            total = np.zeros(len(term), np.int64)
+            np.add.at(total, of, np.concatenate(n))
+            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(total)], ["term", "n"])
+
+
 def rarest_first(index: DataFrame, windows: DataFrame) -> DataFrame:
     """Stored (window, terms, places): terms from the rarest in the index, with their places."""
     placed = windows.select("window", "terms").distinct()
     placed = placed.select("window", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term"))
-    counts = index.filter("term is not null").select("term", "n").join(placed.select("term").distinct(), "term", "left_semi")
+    wanted = placed.select("term").distinct().groupBy(bucket_of("term").alias("bucket")).agg(F.collect_list("term").alias("wanted"))
+    rows = index.filter("bucket is not null").select("bucket", "terms", "counts").join(wanted, "bucket")
+    counts = rows.select("terms", "counts", "wanted").mapInArrow(count_rows, "term bigint, n bigint")
     counts = counts.groupBy("term").agg(F.sum("n").alias("n"))
     by = F.array_sort(F.collect_list(F.struct("n", "place", "term"))).alias("by")  # at most WINDOW of them
     ordered = placed.join(counts, "term").groupBy("window", "length").agg(by).filter(F.size("by") == F.col("length"))
     return stored(ordered.select("window", F.col("by.term").alias("terms"), F.col("by.place").alias("places")), "rarest-first")
 
 
+def picked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted terms of index rows, packed as they were, and which of them are ``first``."""
+    names = ["segment", "terms", "counts", "places", "first"]
+    for batch in batches:
+        out = []
+        for i in range(len(batch)):
+            terms, counts = packed_terms(batch, i)
+            at = sought_of(batch, i, terms)
+            if not len(at):
+                continue
+            ends = np.cumsum(counts)
+            places = np.frombuffer(batch.column("places")[i].as_buffer(), "<u4")
+            own = [places[e - n : e] for e, n in zip(ends[at].tolist(), counts[at].tolist())]
+            first = terms[sought_of(batch, i, terms, "first")].view(np.int64)
+            packed = (terms[at].tobytes(), counts[at].astype("<u4").tobytes(), np.concatenate(own).tobytes())
+            out.append((batch.column("segment")[i].as_py(), *packed, first))
+        if out:
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+
+def picked(index: DataFrame, ordered: DataFrame) -> DataFrame:
+    """Stored postings of the terms that windows still have."""
+    terms = ordered.select(F.posexplode("terms").alias("rank", "term")).groupBy("term").agg(F.min("rank").alias("rank"))
+    wanted = terms.groupBy(bucket_of("term").alias("bucket")).agg(
+        F.collect_list("term").alias("wanted"), F.collect_list(F.when(F.col("rank") == 0, F.col("term"))).alias("first")
+    )
+    rows = index.filter("bucket is not null").drop("doc_ids").join(wanted, "bucket")
+    schema = "segment bigint, terms binary, counts binary, places binary, first array<bigint>"
+    return stored(rows.mapInArrow(picked_rows, schema), "picked-postings")
+
+
 class Segment:
     """A segment's documents and postings, and what the windows found in it."""
 
@@ -142,9 +208,14 @@ class Segment:
         self.cover = np.zeros(int(self.first[-1]) + 1, dtype=np.int32)
         self.pairs: list[tuple] = []
 
+    def add(self, terms: np.ndarray, counts: np.ndarray, places: np.ndarray) -> None:
+        ends = np.cumsum(counts).tolist()
+        own = (places[a:b] for a, b in zip([0, *ends], ends))
+        self.lists.update(zip(terms.view(np.int64).tolist(), own))
+
     def seek(self, window: int, terms: list[int], places: list[int], slop: int) -> None:
         if not all(map(self.lists.__contains__, terms)):
-            return
+            return  # rarest first, so most windows end at once
         anchor = self.lists[terms[0]].astype(np.int64)
         doc = np.searchsorted(self.first, anchor, side="right") - 1
         low, high = self.first[doc], self.first[doc + 1] - 1
@@ -212,7 +283,6 @@ def search(index: DataFrame, ordered: DataFrame, slop: int = SLOP) -> DataFrame:
         now: Segment | None = None
         for batch in batches:
             kinds, segments = batch.column("kind").to_numpy(), batch.column("segment").to_numpy()
-            keys = batch.column("key").to_pylist()
             cut = np.flatnonzero((np.diff(kinds) != 0) | (np.diff(segments) != 0)) + 1
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(batch)]):
                 if a == b:
@@ -223,29 +293,30 @@ def search(index: DataFrame, ordered: DataFrame, slop: int = SLOP) -> DataFrame:
                         yield from now.found(names)
                     now = Segment(int(segments[a]), part.column("body")[0].as_py(), part.column("doc_ids")[0].values)
                 elif kinds[a] == POSTING:
-                    now.lists.update((k, np.frombuffer(v, "<u4")) for k, v in zip(keys[a:b], part.column("body").to_pylist()))
+                    for i in range(len(part)):
+                        now.add(*packed_terms(part, i), np.frombuffer(part.column("body")[i].as_py(), "<u4"))
                 else:
-                    for k, terms, places in zip(keys[a:b], part.column("terms").to_pylist(), part.column("places").to_pylist()):
+                    for k, terms, places in zip(*(part.column(c).to_pylist() for c in ("window", "by_term", "by_place"))):
                         now.seek(k, terms, places, slop)
         if now:
             yield from now.found(names)
 
-    null = lambda kind: F.lit(None).cast(kind)
-    listed = index.filter("term is not null")
-    header = index.filter("term is null").select(
-        "segment", F.lit(HEADER).alias("kind"), null("bigint").alias("key"), F.col("places").alias("body"), "doc_ids",
-        null("array<bigint>").alias("terms"), null("array<int>").alias("places"),
-    )
-    wanted = ordered.select(F.explode("terms").alias("term")).distinct()
-    postings = listed.join(wanted, "term", "left_semi").select(
-        "segment", F.lit(POSTING).alias("kind"), F.col("term").alias("key"), F.col("places").alias("body"),
-        null(f"array<{id_type}>").alias("doc_ids"), null("array<bigint>").alias("terms"), null("array<int>").alias("places"),
-    )
-    sought = listed.select("segment", "term").join(ordered.withColumn("term", F.col("terms")[0]), "term").select(
-        "segment", F.lit(SOUGHT).alias("kind"), F.col("window").alias("key"), null("binary").alias("body"),
-        null(f"array<{id_type}>").alias("doc_ids"), "terms", F.col("places").cast("array<int>").alias("places"),
-    )
-    both = header.union(postings).union(sought).repartition("segment").sortWithinPartitions("segment", "kind")
+    columns = {
+        "window": "bigint", "terms": "binary", "counts": "binary", "body": "binary", "doc_ids": f"array<{id_type}>",
+        "by_term": "array<bigint>", "by_place": "array<int>",
+    }
+
+    def shaped(df: DataFrame, kind: int, **given: str) -> DataFrame:
+        each = [(F.col(given[c]) if c in given else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]
+        return df.select("segment", F.lit(kind).alias("kind"), *each)
+
+    kept = picked(index, ordered)
+    sought = kept.select("segment", F.explode("first").alias("term"))
+    sought = sought.join(ordered.withColumn("term", F.col("terms")[0]), "term")
+    both = shaped(index.filter("bucket is null"), HEADER, body="places", doc_ids="doc_ids")
+    both = both.union(shaped(kept, POSTING, terms="terms", counts="counts", body="places"))
+    both = both.union(shaped(sought, SOUGHT, window="window", by_term="terms", by_place="places"))
+    both = both.repartition("segment").sortWithinPartitions("segment", "kind")
     return stored(both.mapInArrow(rows, schema), "window-matches")
 
 
