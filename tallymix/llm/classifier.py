@@ -7,7 +7,7 @@ training rows; on the scaled indicators a linear model with hinge loss is fitted
 coordinate descent, and its weights are interpolated with their mean size, which leans on
 the ratios where the fit has seen little. Two numbers turn the margin into a probability.
 
-Counts are one per label and bucket. The fit takes about ``FIT_ROWS`` of the labelled
+Counts are one per label and bucket. A task adds up its own before they are shuffled. The fit takes about ``FIT_ROWS`` of the labelled
 training rows, chosen by hash; that bound is a parameter. Everything else covers all rows.
 
 Null and empty texts have no n-grams and get the score of the intercept. Rows with a null
@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymix.llm.common import ODD, Words, mix, stored
+from tallymix.llm.common import ODD, Words, likely_rows, mix, stored
 from tallymix.llm.tokens import slices
 
 BUCKETS = 1 << 18
 FIT_ROWS = 8_000
-EPOCHS = 10
+#: Most passes over the fitted rows, and the gap of projected gradients at which they end.
+EPOCHS = 1_000
+GAP = 0.1
 COST = 1.0
 BETA = 0.5
 SMOOTH = 1.0
@@ -95,26 +97,49 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def packed(g: np.ndarray) -> bytes:
+    """Sorted buckets as two bytes each: how many lie in each 2**16, then their lower bits."""
+    high = np.searchsorted(g, np.arange(0, BUCKETS + 1, 1 << 16))
+    return np.diff(high).astype("<u4").tobytes() + (g & 0xFFFF).astype("<u2").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    parts = BUCKETS >> 16
+    n = np.frombuffer(raw, "<u4", parts)
+    return (np.repeat(np.arange(parts), n) << 16) + np.frombuffer(raw, "<u2", offset=4 * parts)
+
+
+def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, held_out, grams) of each document; ``grams`` null where the text is."""
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for a, b in slices(texts, 1 << 20):
+            found = [None if t is None else packed(g) for t, g in zip(texts[a:b], ngrams(texts[a:b]))]
+            columns = [batch.column(c).slice(a, b - a) for c in ("doc_id", "held_out")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], ["doc_id", "held_out", "grams"])
+
+
+def with_grams(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, grams) of ``docs`` (doc_id, text, ..), stored: all else is made of them."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", held_out().alias("held_out"))
+    return stored(rows.mapInArrow(gram_rows, f"doc_id {id_type}, held_out boolean, grams binary"), "document-grams")
+
+
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts per label and bucket (``grams`` null), and the chosen rows with their buckets."""
     total, rows = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
     names = ["label", "bucket", "n", "grams"]
     for batch in batches:
-        texts, labels, chosen = (batch.column(c).to_pylist() for c in ("text", "label", "chosen"))
-        for a, b in slices(texts):
-            grams = ngrams(texts[a:b])
-            keep = []
-            for g, label, c in zip(grams, labels[a:b], chosen[a:b]):
-                total[label, g] += 1
-                rows[label] += 1
-                if c:
-                    keep.append((label, g.astype("<i4").tobytes()))
-            m = len(keep)
-            if m:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in keep], pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([k[1] for k in keep], pa.binary())],
-                    names,
-                )
+        labels = batch.column("label").to_numpy()
+        for label, grams in zip(labels.tolist(), batch.column("grams").to_pylist()):
+            total[label, unpacked(grams)] += 1
+            rows[label] += 1
+        keep = batch.column("chosen")
+        m = keep.true_count
+        if m:
+            none = pa.nulls(m, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(labels).filter(keep), none, none, batch.column("grams").filter(keep)], names)
     for label in (0, 1):
         at = np.append(np.flatnonzero(total[label]), -1)  # bucket -1: the number of rows
         counts = np.append(total[label][at[:-1]], rows[label])
@@ -126,23 +151,30 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float = COST, epochs: int = EPOCHS):
     """Hinge-loss weights of scaled indicators by dual coordinate descent; the last is the bias.
 
-    Rows are scaled to unit length, so a long text weighs as much as a short one.
+    Rows are scaled to unit length, so a long text weighs as much as a short one. An epoch
+    visits every row. It ends when no row's projected gradient in an epoch differs from
+    another's by more than ``GAP``, and raises if ``epochs`` do not suffice.
     """
     w, alpha = np.zeros(BUCKETS + 1), np.zeros(len(rows))
     x = [unit(g, ratio) for g in rows]
     q = np.array([v @ v + 1 for v in x])
     rng = np.random.default_rng(0)
     for _ in range(epochs):
+        low, high = 0.0, 0.0
         for i in rng.permutation(len(rows)).tolist():
             g, v = rows[i], x[i]
             slope = y[i] * (w[g] @ v + w[-1]) - 1
-            new = min(max(alpha[i] - slope / q[i], 0.0), cost)
-            if new != alpha[i]:
+            free = min(slope, 0.0) if alpha[i] == 0 else max(slope, 0.0) if alpha[i] == cost else slope
+            low, high = min(low, free), max(high, free)
+            if free:
+                new = min(max(alpha[i] - slope / q[i], 0.0), cost)
                 step = (new - alpha[i]) * y[i]
                 w[g] += step * v
                 w[-1] += step
                 alpha[i] = new
-    return w
+        if high - low <= GAP:
+            return w
+    raise ValueError(f"no convergence in {epochs} epochs: gap {high - low:.3f}")
 
 
 def unit(g: np.ndarray, ratio: np.ndarray) -> np.ndarray:
@@ -162,9 +194,9 @@ def platt(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
         hess = np.array([[(s * margin * margin).sum() + 1e-6, (s * margin).sum()], [(s * margin).sum(), s.sum() + 1e-6]])
         step = np.linalg.solve(hess, np.array([(g * margin).sum(), g.sum()]))
         a, b = a - step[0], b - step[1]
-        if abs(step).max() < 1e-8:
-            break
-    return float(a), float(b)
+        if abs(step).max() < 1e-6 * max(1.0, abs(a), abs(b)):
+            return float(a), float(b)
+    raise ValueError("the curve through the margins did not converge")
 
 
 class Model:
@@ -179,11 +211,11 @@ class Model:
 
 
 def learn(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """The model of (doc_id, text, label) rows, label 0 or 1, none null."""
-    total = rows.select("label").count()
-    share = F.lit(min(1.0, fit_rows / max(total, 1)) * (1 << 30))
+    """The model of (doc_id, grams, label) rows, label 0 or 1, none null."""
+    rows = stored(rows.select("doc_id", "grams", "label"), "labelled-grams")
+    share = F.lit(min(1.0, fit_rows / max(rows.count(), 1)) * (1 << 30))
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share
-    made = rows.select("text", "label", chosen.alias("chosen")).mapInArrow(
+    made = rows.select("grams", "label", chosen.alias("chosen")).mapInArrow(
         gathered, "label int, bucket bigint, n bigint, grams binary"
     )
     made = stored(made, "ngram-counts")
@@ -201,7 +233,7 @@ def learn(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     ratio = np.log(rate[1] / rate[0])
     sample = made.filter("grams is not null").select("label", "grams").toArrow()
     y = sample.column("label").to_numpy().astype(np.int64)
-    grams = [np.frombuffer(g, "<i4").astype(np.int64) for g in sample.column("grams").to_pylist()]
+    grams = [unpacked(g) for g in sample.column("grams").to_pylist()]
     order = np.lexsort(([len(g) for g in grams], [int(g.sum()) for g in grams], y))
     y, grams = y[order], [grams[i] for i in order]  # whatever order the rows came in
     w = descend(grams, 2.0 * y - 1, ratio)
@@ -212,24 +244,30 @@ def learn(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return model
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row of ``docs`` (doc_id, text, ..)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scored(grams: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of each row of ``with_grams``."""
+    shared = grams.sparkSession.sparkContext.broadcast(model)
+    empty = packed(np.zeros(0, np.int64))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            parts = [shared.value.scores(ngrams(texts[a:b])) for a, b in slices(texts)]
-            score = np.concatenate(parts) if parts else np.zeros(0)
+            score = shared.value.scores([unpacked(g or empty) for g in batch.column("grams").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score)], ["doc_id", "held_out", "score"])
 
-    rated = docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(rows, "doc_id bigint, held_out boolean, score double")
+    id_type = grams.schema["doc_id"].dataType.simpleString()
+    rated = grams.mapInArrow(rows, f"doc_id {id_type}, held_out boolean, score double")
     return rated.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Scores of ``docs`` by a model of the ``labels`` (doc_id, quality) outside the held-out part."""
+    """Scores of ``docs`` by a model of the ``labels`` (doc_id, quality) outside the held-out part.
+
+    Texts become packed n-grams once. Only those of documents that may have a label (by a
+    bitmap of fixed size) are shuffled to the labels, by one kind of join at every size.
+    """
+    grams = with_grams(docs)
     known = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("label"))
     known = known.filter(~held_out()).dropDuplicates()
-    rows = docs.filter("text is not null").select("doc_id", "text").filter(~held_out()).join(known, "doc_id")
-    return scored(docs, learn(rows, fit_rows))
+    rows = grams.filter("grams is not null and not held_out").select("doc_id", "grams")
+    rows = likely_rows(rows, known.select("doc_id")).hint("merge").join(known, "doc_id")
+    return scored(grams, learn(rows, fit_rows))

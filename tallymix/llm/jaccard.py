@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymix.llm.common import Words, components, mix, shingles, stored
+from tallymix.llm.common import Words, components, likely_rows, mix, shingles, stored
 from tallymix.llm.tokens import slices
 
 WIDTH = 5
@@ -53,8 +53,6 @@ FINE = 512
 MANY = 1 << 20
 #: Points of a posting list in a block; longer lists are joined block by block.
 BLOCK = 2_000
-#: Bits of the broadcast bitmap of documents that may link: at most 2**19 rows of 32 bits.
-BITMAP = 1 << 24
 FANOUT = 16
 #: Lists of a class, lowest first, that travel with it: a pair that meets in one of them is
 #: not given again by a later list. Pairs that meet in none of them may be given twice.
@@ -325,21 +323,6 @@ def verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return both.filter(7 * overlap >= 3 * (F.size("shingles_a") + F.size("shingles_b"))).select("a", "b")
 
 
-def likely_rows(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` whose ``doc_id`` may be among ``ids``: all of those and few others.
-
-    A bitmap of a fixed number of hashed ids is broadcast; its size has no part in the data's.
-    With more ids than bits it lets every row pass, and the join after it does all the work.
-    """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
-    word, bit = F.floor(slot / 32).alias("word"), F.expr("1L").alias("one")
-    marks = ids.select(word, F.call_function("shiftleft", bit, (slot % 32).cast("int")).alias("mark"))
-    marks = marks.groupBy("word").agg(F.bit_or("mark").alias("marks"))
-    held = rows.withColumn("word", word).join(F.broadcast(marks), "word")
-    is_set = F.call_function("shiftright", F.col("marks"), (slot % 32).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return held.filter(is_set).select(*rows.columns)
-
-
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of ``docs`` (doc_id, text, ..)."""
     docs = docs.select("doc_id", "text")
