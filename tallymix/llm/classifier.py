@@ -98,15 +98,20 @@ def held_out() -> Column:
 
 
 def packed(g: np.ndarray) -> bytes:
-    """Sorted buckets as two bytes each: how many lie in each 2**16, then their lower bits."""
+    """Sorted buckets as two bytes each: how many lie in each 2**16, then steps of their lower bits.
+
+    Steps are taken modulo 2**16; those of a long text are small and compress well.
+    """
     high = np.searchsorted(g, np.arange(0, BUCKETS + 1, 1 << 16))
-    return np.diff(high).astype("<u4").tobytes() + (g & 0xFFFF).astype("<u2").tobytes()
+    low = np.diff((g & 0xFFFF).astype("<u2"), prepend=np.uint16(0))
+    return np.diff(high).astype("<u4").tobytes() + low.tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
     parts = BUCKETS >> 16
     n = np.frombuffer(raw, "<u4", parts)
-    return (np.repeat(np.arange(parts), n) << 16) + np.frombuffer(raw, "<u2", offset=4 * parts)
+    low = np.cumsum(np.frombuffer(raw, "<u2", offset=4 * parts), dtype=np.uint16)
+    return (np.repeat(np.arange(parts), n) << 16) + low
 
 
 def gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +128,7 @@ def with_grams(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, grams) of ``docs`` (doc_id, text, ..), stored: all else is made of them."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", held_out().alias("held_out"))
-    return stored(rows.mapInArrow(gram_rows, f"doc_id {id_type}, held_out boolean, grams binary"), "document-grams")
+    return stored(rows.mapInArrow(gram_rows, f"doc_id {id_type}, held_out boolean, grams binary"), "document-grams", "zstd")
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,10 +215,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(grams) + self.shift, -500, 500)))
 
 
-def learn(rows: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """The model of (doc_id, grams, label) rows, label 0 or 1, none null."""
-    rows = stored(rows.select("doc_id", "grams", "label"), "labelled-grams")
-    share = F.lit(min(1.0, fit_rows / max(rows.count(), 1)) * (1 << 30))
+def learn(rows: DataFrame, total: int, fit_rows: int = FIT_ROWS) -> Model:
+    """The model of (doc_id, grams, label) rows, label 0 or 1, none null; about ``total`` of them."""
+    share = F.lit(min(1.0, fit_rows / max(total, 1)) * (1 << 30))
     chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share
     made = rows.select("grams", "label", chosen.alias("chosen")).mapInArrow(
         gathered, "label int, bucket bigint, n bigint, grams binary"
@@ -270,4 +274,4 @@ def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Dat
     known = known.filter(~held_out()).dropDuplicates()
     rows = grams.filter("grams is not null and not held_out").select("doc_id", "grams")
     rows = likely_rows(rows, known.select("doc_id")).hint("merge").join(known, "doc_id")
-    return scored(grams, learn(rows, fit_rows))
+    return scored(grams, learn(rows, known.count(), fit_rows))

@@ -107,7 +107,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     """The stored index of ``docs`` (doc_id, text, ..)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(index_rows, INDEX_SCHEMA.format(id_type))
-    return stored(rows, "positional-index")
+    return stored(rows, "positional-index", "zstd")
 
 
 def item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +195,7 @@ def picked(index: DataFrame, ordered: DataFrame) -> DataFrame:
     )
     rows = index.filter("bucket is not null").drop("doc_ids").join(wanted, "bucket")
     schema = "segment bigint, terms binary, counts binary, places binary, first array<bigint>"
-    return stored(rows.mapInArrow(picked_rows, schema), "picked-postings")
+    return stored(rows.mapInArrow(picked_rows, schema), "picked-postings", "zstd")
 
 
 class Segment:

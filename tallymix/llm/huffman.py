@@ -9,7 +9,8 @@ Format of a file (a folder readable by any Spark reader)
   anywhere and decode the stretches between them side by side.
 
 Encoding
-1. Documents are range-partitioned by ``doc_id``, tokenized once, and the ids stored.
+1. Documents are range-partitioned by ``doc_id`` and a row number, so that a hot id is spread
+   too, tokenized once, and the ids stored.
 2. Global counts come from the stored ids; there is a count per vocabulary entry, so code
    lengths are made on the driver (package-merge, at most ``MAX_BITS``).
 3. Blocks are encoded where the stored ids lie.
@@ -33,12 +34,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymix.llm.common import fresh_path
-from tallymix.llm.tokens import Encoder
+from tallymix.llm.tokens import WordIds, slices
 
 END = 1
 MAX_BITS = 18
 STRIDE = 512
 BLOCK_TOKENS = 1 << 16
+#: Blocks that are decoded together.
+BLOCKS_AT_ONCE = 8
 
 
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
@@ -110,51 +113,63 @@ class Code:
         size = (int(at[-1] + n[-1]) + 7) // 8
         return words.astype(">u8").tobytes()[:size], at[::STRIDE]
 
-    def decode(self, bits: bytes, offsets: np.ndarray, total: int) -> np.ndarray:
-        """The ids: all stretches between checkpoints advance together."""
+    def decode(self, bits: bytes, offsets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The ids of stretches of ``counts`` ids from bit ``offsets``; all advance together."""
         raw = np.frombuffer(bits + b"\0" * 8, dtype=np.uint8).astype(np.uint32)
         window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
-        at, out = offsets.astype(np.int64), np.zeros((len(offsets), STRIDE), dtype=np.uint32)
-        last = total - (len(offsets) - 1) * STRIDE
+        order = np.argsort(-counts, kind="stable")  # those that end first come last
+        at, left = offsets[order].astype(np.int64), counts[order]
+        out = np.zeros((len(at), STRIDE), dtype=np.uint32)
         shift = np.uint32(32 - self.bits)
-        for k in range(min(STRIDE, total)):
-            live = len(at) if k < last else len(at) - 1
+        for k in range(int(left[0]) if len(left) else 0):
+            live = int(np.searchsorted(-left, -k))
             pos = at[:live]
             look = (window[pos >> 3] << (pos & 7).astype(np.uint32)) >> shift
             out[:live, k] = self.symbols[look]
             at[:live] += self.widths[look]
-        return out.ravel()[:total]
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return out[back].ravel()[(np.arange(STRIDE) < counts[:, None]).ravel()]
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """(part, place, doc_id, ids) in ascending order of doc_id; ids as 16- or 32-bit bytes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.get(path, False)
-        small = encoder.tokenizer.get_vocab_size() <= 1 << 16
-        last, part, place = np.array([END], "<u4").tobytes(), TaskContext.get().partitionId(), 0
+        words = WordIds.get(path)
+        kind = np.dtype("<u2" if words.encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for start in range(0, len(batch), 1000):
-                piece = batch.slice(start, 1000)
-                ids = [encoder.encode(t.as_py()) + last for t in piece.column("text")]
-                if small:
-                    ids = [np.frombuffer(i, "<u4").astype("<u2").tobytes() for i in ids]
-                n = len(ids)
+            texts = batch.column("text").to_pylist()
+            for a, b in slices(texts, 1 << 20):
+                ids, n = words.encode(texts[a:b])
+                ends = np.cumsum(n + 1)
+                made = np.full(int(ends[-1]), END, kind)
+                body = np.ones(len(made), dtype=bool)
+                body[ends - 1] = False
+                made[body] = ids
+                offsets = np.concatenate([[0], ends * kind.itemsize]).astype(np.int32)
+                m = b - a
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(n, part, np.int64)),
-                        pa.array(np.arange(place, place + n)),
-                        piece.column("doc_id"),
-                        pa.array(ids, pa.binary()),
-                        pa.array(np.full(n, 2 if small else 4, np.int32)),
+                        pa.array(np.full(m, part, np.int64)),
+                        pa.array(np.arange(place, place + m)),
+                        batch.column("doc_id").slice(a, m),
+                        pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(offsets), pa.py_buffer(made)]),
+                        pa.array(np.full(m, kind.itemsize, np.int32)),
                     ],
                     ["part", "place", "doc_id", "ids", "width"],
                 )
-                place += n
-
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return ordered.mapInArrow(rows, "part bigint, place bigint, doc_id bigint, ids binary, width int")
+                place += m
+
+    # A row number beside the id: rows of one hot id are spread over ranges too.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("row")]
+    ordered = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return ordered.select("doc_id", "text").mapInArrow(
+        rows, f"part bigint, place bigint, doc_id {id_type}, ids binary, width int"
+    )
 
 
 def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -225,6 +240,36 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
     spark.createDataFrame(book, "id bigint, length int").coalesce(1).write.parquet(f"{path}/codebook")
 
 
+def decoded(code: Code, blocks: pa.RecordBatch, with_ids: bool) -> pa.RecordBatch:
+    """The documents of some blocks, whose stretches are decoded side by side."""
+    columns = {c: blocks.column(c).to_pylist() for c in ("part", "first", "n_tokens", "offsets", "bits")}
+    sizes, starts, counts, base = [], [], [], 0
+    for n, offsets, bits in zip(columns["n_tokens"], columns["offsets"], columns["bits"]):
+        sizes.append(np.frombuffer(n, "<u4").astype(np.int64))
+        starts.append(np.frombuffer(offsets, "<u4" if len(bits) < 1 << 29 else "<u8").astype(np.int64) + 8 * base)
+        total = int(sizes[-1].sum())
+        counts.append(np.minimum(STRIDE, total - STRIDE * np.arange(len(starts[-1]))))
+        base += len(bits)
+    ids = code.decode(b"".join(columns["bits"]), np.concatenate(starts), np.concatenate(counts)).astype("<u4")
+    n = np.concatenate(sizes)
+    raw, ends = memoryview(ids).cast("B"), np.cumsum(n)
+    crc = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), n.tolist())]
+    docs = [len(s) for s in sizes]
+    place = np.concatenate([f + np.arange(m) for f, m in zip(columns["first"], docs)])
+    out = [
+        pa.array(np.repeat(np.array(columns["part"], dtype=np.int64), docs)),
+        pa.array(place.astype(np.int64)),
+        blocks.column("doc_ids").flatten(),
+        pa.array(n),
+        pa.array(crc, pa.int64()),
+    ]
+    names = ["part", "place", "doc_id", "n_tokens", "ids_crc32"]
+    if with_ids:
+        edges = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+        out, names = [*out, pa.ListArray.from_arrays(edges, pa.array(ids.astype(np.int64)))], [*names, "ids"]
+    return pa.RecordBatch.from_arrays(out, names)
+
+
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """(part, place, doc_id, n_tokens, ids_crc32, ids) of the documents in the files."""
     book = sorted((r["id"], r["length"]) for r in spark.read.parquet(f"{path}/codebook").collect())
@@ -233,27 +278,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(book.value[:, 0], book.value[:, 1])
         for batch in batches:
-            for k in range(len(batch)):
-                part, first, doc_ids, n, offsets, bits = (batch.column(c)[k].as_py() for c in range(6))
-                n = np.frombuffer(n, "<u4").astype(np.int64)
-                kind = "<u4" if len(bits) < 1 << 29 else "<u8"
-                ids = code.decode(bits, np.frombuffer(offsets, kind), int(n.sum())).astype("<u4")
-                raw, ends = ids.tobytes(), np.cumsum(n)
-                own = [raw[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), n.tolist())]
-                columns = [
-                    pa.array(np.full(len(n), part)),
-                    pa.array(np.arange(first, first + len(n))),
-                    pa.array(doc_ids, pa.int64()),
-                    pa.array(n),
-                    pa.array([zlib.crc32(o) for o in own], pa.int64()),
-                ]
-                names = ["part", "place", "doc_id", "n_tokens", "ids_crc32"]
-                if with_ids:
-                    lists = pa.ListArray.from_arrays(
-                        pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int64))
-                    )
-                    columns, names = [*columns, lists], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+            for a in range(0, len(batch), BLOCKS_AT_ONCE):
+                yield decoded(code, batch.slice(a, BLOCKS_AT_ONCE), with_ids)
 
     schema = "part bigint, place bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint"
     blocks = spark.read.parquet(f"{path}/blocks")

@@ -3,11 +3,13 @@
 A text is cut where ASCII white space follows something else. Neither kind of vocabulary
 used here has a token across such a place, so the ids of a text are the ids of its chunks
 in order, and a chunk that a worker has met before need not be encoded again. Texts for
-which that does not hold (other white space, special tokens) are encoded whole.
+which that does not hold (other white space, special tokens) are encoded whole, and so are
+all texts of a tokenizer file whose normaliser and cutter are not those known here.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from array import array
@@ -16,6 +18,8 @@ from collections.abc import Sequence
 import numpy as np
 import regex
 
+from tallymix.llm.common import Words
+
 #: White space beyond ASCII: a run of it may cross a chunk's end. NUL marks a text's start.
 WHOLE = re.compile("[\x00\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 MARKERS = re.compile("[\x00\x1c-\x1f]")
@@ -29,6 +33,32 @@ SPACED_PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 LOWER_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: What the two kinds of files say of their normaliser and cutter.
+KNOWN = {
+    True: (
+        None,
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+        None,
+    ),
+    False: (
+        {
+            "type": "Sequence",
+            "normalizers": [
+                {"type": "NFC"},
+                {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+                {"type": "Lowercase"},
+            ],
+        },
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": LOWER_PIECES.pattern}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+        "</w>",
+    ),
+}
 #: Chunks a worker keeps; it starts afresh when full, so its memory is bounded.
 MAX_CHUNKS = 1_000_000
 
@@ -59,6 +89,11 @@ class Encoder(dict):
         self.spaced = spaced
         self.letters = byte_letters()
         self.lead = "\u0120" if spaced else ""
+        made = json.loads(self.tokenizer.to_str())
+        form = (made["normalizer"], made["pre_tokenizer"], made["model"].get("end_of_word_suffix"))
+        # Special tokens are looked for by their first characters.
+        marked = all(t["content"].startswith("<|") for t in made["added_tokens"])
+        self.known = form == KNOWN[spaced] and made["model"]["type"] == "BPE" and marked
 
     @classmethod
     def get(cls, path: str, spaced: bool) -> Encoder:
@@ -109,9 +144,13 @@ class Encoder(dict):
         self[key] = ids
         return ids
 
+    def must_be_whole(self, text: str) -> bool:
+        odd = MARKERS.search(text) if text.isascii() else WHOLE.search(text)
+        return not self.known or odd is not None or "<|" in text
+
     def chunks(self, text: str) -> list[bytes] | None:
         """Keys of the dict in order; None if the text has to be encoded whole."""
-        if (MARKERS.search(text) if text.isascii() else WHOLE.search(text)) or "<|" in text:
+        if self.must_be_whole(text):
             return None
         raw = text.encode()
         if not self.spaced:
@@ -134,6 +173,95 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, cut))
 
 
+class WordIds:
+    """Ids of texts of a vocabulary that drops white space, all words of a slice at once.
+
+    Words that a worker has met are found by their 64-bit hashes in one sorted table, which
+    points into a pool of ids. Words of more than ``LONG`` bytes are looked up by themselves.
+    """
+
+    LONG = 64
+    _made: dict[str, WordIds] = {}
+
+    def __init__(self, path: str):
+        self.encoder = Encoder.get(path, False)
+        self.forget()
+
+    @classmethod
+    def get(cls, path: str) -> WordIds:
+        if path not in cls._made:
+            cls._made[path] = cls(path)
+        return cls._made[path]
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def new_words(self, raw: bytes, starts: list[int], ends: list[int]) -> tuple[array, list[int]]:
+        """The ids of words not met before, and the number of each."""
+        encoder, flat, n = self.encoder, array("I"), []
+        tokenize, plain = encoder.model.tokenize, encoder.known and encoder.lead == ""
+        for a, b in zip(starts, ends):
+            word = raw[a:b]
+            if plain and word.isalpha():  # ASCII letters: one piece
+                ids = [t.id for t in tokenize(word.decode())]
+                flat.extend(ids)
+                n.append(len(ids))
+            else:
+                ids = encoder[word]
+                flat.frombytes(ids)
+                n.append(len(ids) >> 2)
+        return flat, n
+
+    def add(self, ids: array, n: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number) of lists of ids that now are in the pool."""
+        n = np.array(n, dtype=np.int64)
+        end = self.used + len(ids)
+        if end > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(2 * end - self.used, np.uint32)])
+        self.pool[self.used : end] = ids
+        at, self.used = self.used + np.cumsum(n) - n, end
+        return at, n
+
+    def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        encoder = self.encoder
+        if len(self.keys) > MAX_CHUNKS:
+            self.forget()
+        if len(encoder) > MAX_CHUNKS:
+            encoder.clear()
+        whole = [i for i, t in enumerate(texts) if t and encoder.must_be_whole(t)]
+        aside = set(whole)
+        words = Words([None if i in aside else t for i, t in enumerate(texts)] if whole else texts)
+        at, n = np.zeros((2, len(words.hashes)), dtype=np.int64)
+        size = words.ends - words.starts
+        brief = size <= WordIds.LONG
+        key, first, of = np.unique(words.hashes[brief], return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[place] != key) if len(self.keys) else np.arange(len(key))
+        if len(new):
+            starts, ends = words.starts[brief][first[new]], words.ends[brief][first[new]]
+            made = self.add(*self.new_words(words.bytes.tobytes(), starts.tolist(), ends.tolist()))
+            where = np.searchsorted(self.keys, key[new])
+            self.keys = np.insert(self.keys, where, key[new])
+            self.at, self.n = (np.insert(old, where, more) for old, more in zip((self.at, self.n), made))
+            place = np.searchsorted(self.keys, key)
+        at[brief], n[brief] = self.at[place][of], self.n[place][of]
+        for i in np.flatnonzero(~brief).tolist():
+            ids = array("I", encoder[words.bytes[words.starts[i] : words.ends[i]].tobytes()])
+            (at[i],), (n[i],) = self.add(ids, [len(ids)])
+        parts = words.of
+        if whole:  # a text encoded whole stands as one word
+            ids = [array("I", encoder.whole(texts[i])) for i in whole]
+            own = self.add(sum(ids, array("I")), [len(i) for i in ids])
+            at, n = (np.insert(old, parts[whole], more) for old, more in zip((at, n), own))
+            parts = parts + np.searchsorted(whole, np.arange(len(parts)))
+        before = np.concatenate([[0], np.cumsum(n)])
+        index = np.repeat(at - before[:-1], n) + np.arange(before[-1])
+        return self.pool[index], np.diff(before[parts])
+
+
 MARKS = {b".", b",", b"!", b"?", b";", b":"}
 SPACE = {b"", b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"}
 

@@ -1,6 +1,7 @@
 """Each operator against brute force, a round trip or held-out accuracy, and on odd rows."""
 
 import itertools
+import json
 import math
 import re
 import zlib
@@ -14,7 +15,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tallymix.llm import chat, classifier, common, embeddings, huffman, jaccard, language, licenses, mixing, packing, quality_rules
+from tallymix.llm import chat, classifier, common, embeddings, huffman, jaccard, language, licenses, mixing, packing, quality_rules, tokens
 from tallymix.llm.tokens import Encoder
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +40,32 @@ def test_chunks_give_the_ids_of_the_whole_text(path, spaced):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want, repr(text)
 
 
+def test_words_at_once_give_the_ids_of_the_whole_text(monkeypatch):
+    monkeypatch.setattr(tokens.WordIds, "LONG", 6)
+    words, rng = tokens.WordIds(LOWER), np.random.default_rng(2)
+    letters = list(" \n\t aéÉB1's.,!<|ñß  İΣ́中") + ["<|endoftext|>", "\x00", "\x1c", "longerword", " "]
+    tokenizer = Tokenizer.from_file(LOWER)
+    for most in (10**6, 50):
+        monkeypatch.setattr(tokens, "MAX_CHUNKS", most)
+        for size in (0, 1, 40, 200):
+            texts = [None if rng.random() < 0.1 else "".join(rng.choice(letters, rng.integers(0, 12))) for _ in range(size)]
+            ids, n = words.encode(texts)
+            want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+            assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_other_tokenizer_files_are_not_cut(tmp_path):
+    made = json.load(open(LOWER))
+    made["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "NFKC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"String": "a b"}, "content": "ab"}]}
+    path = str(tmp_path / "other.json")
+    json.dump(made, open(path, "w"))
+    text = "a b ﬁne words a b"
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert tokens.WordIds(path).encode([text, None])[0].tolist() == want
+    assert np.frombuffer(Encoder(path, False).encode(text), "<u4").tolist() == want
+    assert not Encoder(path, False).known and Encoder(LOWER, False).known and Encoder(SPACED, True).known
+
+
 # 1 Embeddings
 
 
@@ -220,7 +247,8 @@ def test_code_lengths_are_limited_and_complete():
         ids = rng.choice(n, 3000)
         code = huffman.Code(np.arange(n) * 3, lengths)
         bits, offsets = code.encode(ids * 3)
-        assert code.decode(bits, offsets, len(ids)).tolist() == (ids * 3).tolist()
+        counts = np.minimum(huffman.STRIDE, len(ids) - huffman.STRIDE * np.arange(len(offsets)))
+        assert code.decode(bits, offsets, counts).tolist() == (ids * 3).tolist()
 
 
 def test_token_files_round_trip(spark, docs, empty):
@@ -400,6 +428,67 @@ def test_quality_held_out(spark):
     assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.9 * len(rows) > 0
 
 
+def test_packed_ngrams_come_back():
+    rng = np.random.default_rng(11)
+    for n in (0, 1, 5, 3000, 100_000):
+        g = np.unique(rng.integers(0, classifier.BUCKETS, n))
+        assert classifier.unpacked(classifier.packed(g)).tolist() == g.tolist()
+
+
+def plain_ngrams(text):
+    """Names of the n-grams of a text, by the rules as stated and without any hashing."""
+    words = WORD.findall(text)
+    kinds = [lambda c: "a" <= c <= "z" or ord(c) > 127, lambda c: "A" <= c <= "Z", lambda c: "0" <= c <= "9", lambda c: c in ".,;:'\"-()?"]
+    of = lambda c: next((k for k, f in enumerate(kinds) if f(c)), 4)
+    shape, rough, seen, pairs = [], [], set(), set()
+    for i, w in enumerate(words):
+        size = len(w.encode())
+        n = [sum(len(c.encode()) for c in w if of(c) == k) for k in range(5)]
+        shape.append((min(size, 15), *[0 if m == 0 else 3 if m == size else 2 if m > 1 else 1 for m in n]))
+        pair = (w, words[i + 1]) if i + 1 < len(words) else (w, None)
+        rough.append((n[1] == size, n[4] > 0, w in seen, pair in pairs))
+        seen.add(w)
+        pairs.add(pair)
+    m = len(words)
+    out = {("w", w) for w in words} | {("p", words[i], words[i + 1]) for i in range(m - 1)}
+    out |= {("s", s) for s in shape} | {("t", shape[i], shape[i + 1]) for i in range(m - 1)}
+    return out | {("r", *rough[i : i + 3]) for i in range(m - 2)} | {("q", *rough[i : i + 5]) for i in range(m - 4)}
+
+
+def test_ngrams_are_those_of_plain_rules(spark):
+    """As many as distinct ones by the rules, and equal where these are equal."""
+    texts = [r["text"] for r in table(spark, "documents").limit(60).collect()] + ["", "A b A b A b", "x", "É é1 --- (a) ??", "a a a a a a a"]
+    grams, named = classifier.ngrams(texts), [plain_ngrams(t) for t in texts]
+    for g, names in zip(grams, named):
+        assert len(names) - len(g) <= 0.02 * len(names) + 1  # buckets may be shared
+    for (g, a), (h, b) in itertools.combinations(zip(grams, named), 2):
+        same = len(a & b)
+        assert same <= len(np.intersect1d(g, h)) + 0.01 * len(a) + 1
+        assert len(np.intersect1d(g, h)) <= same + 0.02 * len(a) + 3
+
+
+def test_descent_solves_the_dual():
+    """Against the primal objective of a plain subgradient search and the duality gap."""
+    rng = np.random.default_rng(12)
+    ratio = np.zeros(classifier.BUCKETS)
+    ratio[:40] = rng.normal(size=40)
+    rows = [np.sort(rng.choice(40, 8, replace=False)) for _ in range(200)]
+    x = np.zeros((200, 41))
+    for i, g in enumerate(rows):
+        x[i, g], x[i, 40] = classifier.unit(g, ratio), 1.0
+    y = np.where(x[:, :20].sum(axis=1) + 0.2 * rng.normal(size=200) > 0, 1.0, -1.0)
+    w = classifier.descend(rows, y, ratio)
+    found = np.append(w[:40], w[-1])
+    objective = lambda v: 0.5 * v @ v + np.maximum(0, 1 - y * (x @ v)).sum()
+    best, v = math.inf, np.zeros(41)
+    for t in range(1, 20_000):
+        v = v - (v - (y * (y * (x @ v) < 1)) @ x) / t
+        best = min(best, objective(v))
+    assert objective(found) <= 1.02 * best
+    with pytest.raises(ValueError, match="no convergence in 1 epochs"):
+        classifier.descend(rows, y, ratio, epochs=1)
+
+
 def test_classifier_of_odd_rows(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1), (3, 1), (9, 0), (10, 0), (11, None), (None, 1), (8, 1)], "doc_id bigint, quality int")
     rows = classifier.quality(docs, labels).collect()
