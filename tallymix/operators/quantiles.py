@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymix.functions.sizing import null_safe_join, small_side
+from tallymix.functions.sizing import null_safe_join, written
+
+#: Buckets of a histogram per group and pass, as a power of two.
+BUCKET_BITS = 12
 
 
 def bounded_quantiles(
@@ -23,86 +27,93 @@ def bounded_quantiles(
     return df.groupBy(*keys).agg(q).select(*keys, *named)
 
 
+def sort_key(x: Column) -> Column:
+    """A long that orders like the double: sign, exponent and mantissa as one number.
+
+    Both zeros are 0; infinities lie beyond all finite values and NaN beyond them.
+    """
+    a = F.abs(x)
+    two = lambda e: F.pow(F.lit(2.0), e)
+    near = F.floor(F.log2(a)).cast("double")  # the logarithm may be rounded across a power of two
+    exponent = near + (a >= two(near + 1)).cast("double") - (a < two(near)).cast("double")
+    normal = exponent >= -1022
+    exponent = F.greatest(exponent, F.lit(-1022.0))
+    mantissa = (a / two(exponent) - normal.cast("double")) * F.lit(2.0**52)
+    field = F.when(normal, exponent + 1023).otherwise(F.lit(0.0))
+    bits = F.shiftleft(field.cast("long"), 52) + mantissa.cast("long")
+    top = F.lit(2047 << 52)
+    size = F.when(a == 0, F.lit(0).cast("long")).when(a == float("inf"), top).otherwise(bits)
+    return F.when(F.isnan(x), top + 1).when(x < 0, -size).otherwise(size)
+
+
+def histogram(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Buckets of (keys, part) with their counts, spans, and the values counted before them."""
+    cells = rows.groupBy(*keys, "__part", "__b").agg(
+        F.count("__k").alias("__c"), F.min("__k").alias("__lo"), F.max("__k").alias("__hi"), F.min("__x").alias("__x")
+    )
+    before = Window.partitionBy(*keys, "__part").orderBy("__b")
+    return cells.withColumn("__before", F.sum("__c").over(before) - F.col("__c"))
+
+
 def group_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    accuracy: int = 10_000,
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], bits: int = BUCKET_BITS
 ) -> DataFrame:
-    """Quantiles interpolated at (n-1)p, exact, without gathering any group.
+    """Quantiles interpolated at (n-1)p, exact, by radix histograms refined where ranks fall.
 
-    Scan 1 brackets each quantile with mergeable sketches whose rank error is at most
-    n/accuracy. Scan 2 counts what lies below a bracket and keeps only values inside
-    it (about 10/accuracy of a group), combined before the shuffle. The ranks are then
-    read off a running count over the few values kept. Groups of up to ``accuracy``
-    values are kept whole, which is bounded too.
+    The values are stored once beside their group. A pass counts them in at most 2**``bits``
+    buckets per group and part; a bucket that holds a wanted rank becomes a part of the next
+    pass, cut between the smallest and largest value found in it, and all others are left out.
+    Counts say for certain which bucket holds a rank, so there is no bracket to miss. A part
+    of up to 2**``bits`` values is cut down to single values; what a rank keeps does not grow
+    with its group. Groups of NULLs alone have NULL quantiles, NaN is the largest value.
     """
-    keys = list(keys)
-    names, ps = list(probs), [float(p) for p in probs.values()]
-    margin = 5.0 / accuracy
-    edges = F.percentile_approx(
-        "__x",
-        [max(p - margin, 0.0) for p in ps] + [min(p + margin, 1.0) for p in ps],
-        accuracy,
-    )
-    x = df.select(*keys, F.col(value).cast("double").alias("__x")).filter(F.col("__x").isNotNull())
-    sketch = x.groupBy(*keys).agg(F.count("*").alias("__n"), edges.alias("__e"))
-
-    # A bracket is open (NULL) on a side that must reach the end of the group.
-    whole = F.col("__n") <= F.lit(accuracy)
-    targets = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                ((F.col("__n") - 1) * F.lit(p)).alias("h"),
-                F.when(~whole & F.lit(p - margin > 0), F.col("__e")[i]).alias("lo"),
-                F.when(~whole & F.lit(p + margin < 1), F.col("__e")[len(ps) + i]).alias("hi"),
-            )
-            for i, p in enumerate(ps)
-        ]
-    )
-    sketch = sketch.select(*keys, targets.alias("__t"))
-
-    if keys:
-        tagged = null_safe_join(x, small_side(sketch), keys)
-    else:
-        tagged = x.withColumn("__t", sketch.select("__t").scalar())
-    kept = (
-        tagged.select(*keys, "__x", F.explode("__t").alias("__t"))
-        .filter(F.col("__t.hi").isNull() | (F.col("__x") <= F.col("__t.hi")))
-        .groupBy(
-            *keys,
-            F.col("__t.i").alias("__i"),
-            F.col("__t.h").alias("__h"),
-            F.when(F.col("__t.lo").isNull() | (F.col("__x") >= F.col("__t.lo")), F.col("__x")).alias(
-                "__x"
-            ),
-        )
-        .agg(F.count("*").alias("__c"))
-    )
-    upto = (
-        Window.partitionBy(*keys, "__i", "__h")
-        .orderBy(F.col("__x").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    below = F.floor("__h")
-    picked = (
-        kept.withColumn("__cum", F.sum("__c").over(upto))
-        .groupBy(*keys, "__i", "__h")
-        .agg(
-            F.min(F.when(F.col("__cum") > below, F.col("__x"))).alias("__a"),
-            F.min(F.when(F.col("__cum") > below + 1, F.col("__x"))).alias("__b"),
-        )
-        .select(
-            *keys,
-            "__i",
-            (
-                F.col("__a")
-                + (F.col("__h") - below) * (F.coalesce(F.col("__b"), F.col("__a")) - F.col("__a"))
-            ).alias("__q"),
-        )
-    )
-    return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("__i") == i, F.col("__q"))).alias(n) for i, n in enumerate(names)]
-    )
+    keys, names = list(keys), list(probs)
+    x = F.col(value).cast("double").alias("__x")
+    rows = written(df.select(*keys, x), "quantile-values")
+    rows = rows.withColumn("__k", F.when(F.col("__x").isNotNull(), sort_key(F.col("__x"))))
+    rows = rows.withColumns({"__part": F.lit(0).cast("long"), "__b": F.shiftright("__k", 64 - bits)})
+
+    def holders(cells: DataFrame, ranks: Column) -> DataFrame:
+        """The buckets that hold a wanted rank, with the rank's number in the bucket."""
+        inside = F.filter(ranks, lambda r: (r["rank"] >= F.col("__before")) & (r["rank"] < F.col("__before") + F.col("__c")))
+        # Values that are NULL have a bucket of their own, which keeps their group.
+        none = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("w"), F.lit(0.0).alias("f"), F.lit(0).cast("long").alias("rank")))
+        held = cells.select("*", F.explode(F.when(F.col("__b").isNull(), none).otherwise(inside)).alias("__r"))
+        span = ["__part", "__b", "__c", "__lo", "__hi", "__x"]
+        rank = (F.col("__r.rank") - F.col("__before")).alias("rank")
+        return written(held.select(*keys, *span, "__r.i", "__r.w", "__r.f", rank), "quantile-ranks")
+
+    wanted = []
+    for i, p in enumerate(probs.values()):
+        h = (F.col("__n") - 1) * F.lit(float(p))
+        for w, rank in enumerate((F.floor(h), F.least(F.floor(h) + 1, F.col("__n") - 1))):
+            wanted.append(F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), (h - F.floor(h)).alias("f"), rank.alias("rank")))
+    first = histogram(rows, keys).withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys)))
+    targets = holders(first, F.array(*wanted))
+
+    found = [targets.filter("__lo <=> __hi")]
+    while True:
+        open_ = targets.filter("__lo <> __hi")
+        if open_.isEmpty():
+            break
+        # Few values are told apart at once, others by the bits in which they may differ.
+        wide = F.length(F.bin(F.col("__hi") - F.col("__lo")))
+        shift = F.when(F.col("__c") <= 1 << bits, 0).otherwise(F.greatest(wide - bits, F.lit(0)))
+        ranks = F.collect_list(F.struct("i", "w", "f", "rank")).alias("__ranks")
+        parts = open_.groupBy(*keys, "__part", "__b", "__c", "__lo", "__hi").agg(ranks)
+        parts = parts.select(*keys, "__part", "__b", F.col("__lo").alias("__next"), shift.alias("__shift"), "__ranks")
+        rows = null_safe_join(rows, parts.drop("__ranks"), [*keys, "__part", "__b"])
+        bucket = F.expr("shiftright(__k - __next, __shift)").alias("__b")
+        rows = rows.select(*keys, "__x", "__k", F.col("__next").alias("__part"), bucket)
+        ranks = parts.select(*keys, F.col("__next").alias("__part"), "__ranks")
+        targets = holders(null_safe_join(histogram(rows, keys), ranks, [*keys, "__part"]), F.col("__ranks"))
+        found.append(targets.filter("__lo = __hi"))
+
+    every = reduce(DataFrame.union, found)
+    at = lambda i, w, c="__x": F.max(F.when((F.col("i") == i) & (F.col("w") == w), F.col(c)))
+    ends = [at(i, w).alias(f"__{w}_{i}") for i in range(len(names)) for w in (0, 1)]
+    ends += [at(i, 0, "f").alias(f"__f_{i}") for i in range(len(names))]
+    picked = every.groupBy(*keys).agg(*ends)
+    low, high, part = ([F.col(f"__{c}_{i}") for i in range(len(names))] for c in ("0", "1", "f"))
+    between = [F.when((a == b) | (f == 0), a).otherwise(a + f * (b - a)) for a, b, f in zip(low, high, part)]
+    return picked.select(*keys, *[v.alias(name) for name, v in zip(names, between)])

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ def test_quantiles_interpolate(spark, fn):
 
 
 def test_group_quantiles_equal_percentile_on_large_skewed_groups(spark, rows):
-    """Brackets in use (low accuracy), a hot group, heavy ties, a NULL key, small groups."""
+    """Several passes (few buckets), a hot group, heavy ties, a NULL key, small groups."""
     df = spark.range(60_000).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot"))
         .when(F.col("id") % 3 == 1, F.lit(None))
@@ -80,22 +81,78 @@ def test_group_quantiles_equal_percentile_on_large_skewed_groups(spark, rows):
         F.when(F.col("id") % 2 == 0, F.lit(7.0)).otherwise(F.rand(3) * 20).alias("x"),
     ).cache()
     probs = {"a": 0.0, "b": 0.025, "c": 0.3, "d": 0.5, "e": 0.975, "f": 1.0}
-    got = rows(quantiles.group_quantiles(df, ["k"], "x", probs, accuracy=200))
+    got = rows(quantiles.group_quantiles(df, ["k"], "x", probs, bits=4))
     want = rows(quantiles.bounded_quantiles(df, ["k"], "x", probs))
     assert [g[0] for g in got] == [w[0] for w in want]
     for g, w in zip(got, want):
         assert g[1:] == pytest.approx(w[1:], abs=1e-9)
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 199, 200, 201, 202, 250, 401])
-def test_group_quantiles_around_the_bracket_limit(spark, n):
+@pytest.mark.parametrize("n", [1, 2, 3, 15, 16, 17, 18, 250, 401])
+def test_group_quantiles_around_the_size_of_a_pass(spark, n):
     df = spark.range(n).select((F.col("id") * F.col("id")).cast("double").alias("x"))
     probs = {f"q{i}": i / 10 for i in range(11)}
-    got = tuple(quantiles.group_quantiles(df, [], "x", probs, accuracy=200).first())
+    got = tuple(quantiles.group_quantiles(df, [], "x", probs, bits=4).first())
     want = tuple(quantiles.bounded_quantiles(df, [], "x", probs).first())
     assert got == pytest.approx(want)
 
 
+def test_sort_keys_order_like_their_doubles(spark):
+    rng = np.random.default_rng(1)
+    bits = rng.integers(0, 1 << 64, 4000, dtype=np.uint64)
+    odd = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, -1.7976931348623157e308]
+    odd += [float("inf"), float("-inf")] + [s * 2.0**e * (1 + d) for e in range(-1022, 1024, 31) for d in (0.0, 2.0**-52, -(2.0**-53)) for s in (1, -1)]
+    x = np.concatenate([bits.view(np.float64), odd, rng.normal(size=500)])
+    x = x[~np.isnan(x)]
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").select("x", quantiles.sort_key(F.col("x")).alias("k"))
+    got = np.array([(r["x"], r["k"]) for r in df.collect()], dtype=object)
+    v, k = got[:, 0].astype(float), got[:, 1].astype(np.int64)
+    bits = np.abs(v).view(np.int64)
+    assert (k == np.where(v < 0, -bits, bits)).all()
+
+
+@pytest.mark.parametrize("bits", [3, 12])
+def test_quantiles_of_odd_values(spark, rows, bits):
+    values = {
+        "none": [None, None],
+        "some": [None, 1.0, 4.0],
+        "wide": [1e300, -1e300, 5e-324, 0.0, -0.0, 3.0] * 9,
+        "ends": [float("inf"), float("-inf"), 2.0],
+        "nans": [float("nan"), 1.0, 2.0],
+        "ties": [5.0] * 300 + [6.0],
+        None: [1.0, 2.0],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, x double")
+    got = {r["k"]: tuple(r)[1:] for r in quantiles.group_quantiles(df, ["k"], "x", {"a": 0.0, "m": 0.5, "z": 1.0}, bits).collect()}
+    assert got["none"] == (None, None, None) and got["some"] == (1.0, 2.5, 4.0) and got[None] == (1.0, 1.5, 2.0)
+    assert got["wide"] == (-1e300, 0.0, 1e300) and got["ends"] == (float("-inf"), 2.0, float("inf"))
+    assert got["nans"][:2] == (1.0, 2.0) and math.isnan(got["nans"][2]) and got["ties"] == (5.0, 5.0, 6.0)
+    nothing = df.filter("false")
+    assert quantiles.group_quantiles(nothing, ["k"], "x", {"m": 0.5}, bits).count() == 0
+    assert [tuple(r) for r in quantiles.group_quantiles(nothing, [], "x", {"m": 0.5}, bits).collect()] == [(None,)]
+
+
+def test_what_a_rank_keeps_does_not_grow(spark, monkeypatch):
+    """Rows of the tables written between passes, from 2e5 to 2e6 values in one group."""
+    kept, stored = [], quantiles.written
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "quantile-ranks":
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(quantiles, "written", counted)
+    most = []
+    for n in (200_000, 2_000_000):
+        kept.clear()
+        df = spark.range(n).select(F.rand(5).alias("x"))
+        got = quantiles.group_quantiles(df, [], "x", {"a": 0.1, "m": 0.5}).first()
+        assert got["m"] == pytest.approx(0.5, abs=0.01)
+        most.append((max(kept), len(kept)))
+    assert most[0][0] == most[1][0] == 4 and most[1][1] <= 4
+
+
 def test_unpivot_keeps_null_cells(spark, rows):
     df = spark.createDataFrame([("a", 1.0, None)], "code string, X1960 double, X1961 double")
     out = reshape.lengthen_years(df, ["code"], ["X1960", "X1961"], "v", "X")
