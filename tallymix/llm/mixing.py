@@ -8,8 +8,8 @@ of smaller budgets are subsets of it. A budget of more than the whole source tak
 row that many times whole and the rest by the threshold.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in the order; a
-null ``doc_id`` hashes like any other value. Repeated rows have one hash and are taken
-together. A row that spans the end of a budget is taken if more than half of it fits. A
+null ``doc_id`` hashes like any other value, together with the text. Rows repeated in both
+have one hash and are taken together. A row that spans the end of a budget is taken if more than half of it fits. A
 source without words has target 0. Copies of clashing columns are not made: only ``size``,
 ``source_size``, ``target`` and ``copies`` are added, in place of columns of these names.
 """
@@ -34,7 +34,9 @@ def words_of(text: str = "text") -> Column:
 
 
 def row_hash() -> Column:
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    """Of id and text: texts that share a null or repeated id are still apart."""
+    body = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))
+    digest = F.md5(body)
     return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long")
 
 
@@ -146,7 +148,7 @@ def mix_report(docs: DataFrame) -> DataFrame:
 SQL = """
 with s as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
-         ('0x' || substr(md5(coalesce(doc_id::varchar, 'null')), 1, 15))::bigint as hash
+         ('0x' || substr(md5(coalesce(doc_id::varchar, 'null') || '|' || coalesce(text, '')), 1, 15))::bigint as hash
   from documents),
 w as (select source, sum(size)::bigint as source_size,
              [5, 2, 1][1 + (row_number() over (order by source nulls last) - 1) % 3] as weight
