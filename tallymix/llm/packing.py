@@ -205,17 +205,17 @@ def pieces(docs: DataFrame, path: str, room: int = LENGTH, end: int = END) -> Da
 
 def pack(docs: DataFrame, path: str, room: int = LENGTH) -> DataFrame:
     """The pieces of ``docs`` (doc_id, text, ..) with sequence_id and offset."""
-    cut_up = stored(pieces(docs, path, room), "pieces")
+    # The salt is a row number, stored with the row: equal rows are spread as well.
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt")
+    cut_up = stored(pieces(docs, path, room).select("*", salt), "pieces")
     counts = {r["length"]: r["n"] for r in cut_up.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = packing_plan(counts, room)
 
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS))
-    salted = cut_up.withColumn("salt", salt)
-    sums = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    sums = cut_up.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("rank", F.row_number().over(within) - 1).join(sums, ["length", "salt"])
+    ranked = cut_up.withColumn("rank", F.row_number().over(within) - 1).join(sums, ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("base")).drop("base", "salt")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -162,6 +162,15 @@ def test_mix_of_odd_rows(docs, empty):
     assert sorted(mixing.mix_report(docs).collect(), key=str) == sorted(rows, key=str)
 
 
+def test_a_hot_null_id_does_not_miss_its_target(spark):
+    """A third of a source's rows have no id; its budget ends among them or elsewhere."""
+    rows = [(None if i % 3 == 0 else i, f"w{i} " * (1 + i % 9), "a") for i in range(3000)]
+    rows += [(10_000 + i, "w " * 9, s) for s, n in (("b", 900), ("c", 800)) for i in range(n)]
+    got = mixing.mix_report(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    for r in got.groupBy("source_size").agg({"taken": "sum", "target": "max"}).collect():
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 18
+
+
 # 3 Packing
 
 
@@ -234,6 +243,16 @@ def test_pieces_and_sequences(docs, empty):
     )
 
 
+def test_a_third_of_all_pieces_are_one_row(spark):
+    docs = spark.createDataFrame([(None, None) if i % 3 == 0 else (i, f"word{i} " * (i % 40)) for i in range(3000)], "doc_id bigint, text string")
+    rows = packing.pack(docs, SPACED, 64).collect()
+    ends = defaultdict(int)
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends[r["sequence_id"]]
+        ends[r["sequence_id"]] += r["length"]
+    assert max(ends.values()) <= 64 and len([r for r in rows if r["doc_id"] is None]) == 1000
+
+
 # 4 Token files
 
 
