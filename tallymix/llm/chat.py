@@ -6,8 +6,10 @@ texts and places); the hash at the last turn is the whole conversation. One whos
 that of a proper prefix of another goes, by an anti-join on the hash; of equal ones the
 smallest ``conv_id`` stays. What remains is rendered.
 
-Only hashes are windowed and joined; texts are shuffled once, for rendering. Both sides of
-the anti-join are distinct before they meet, so a first turn that a third of all
+Only hashes are windowed and joined, in ranges of the turns' order, so that a conversation of
+a third of all turns is hashed by many tasks; texts are shuffled once, for rendering. A
+rendered conversation is one value of a row and may hold as much as a row can, 2 GB. Both sides
+of the anti-join are distinct before they meet, so a first turn that a third of all
 conversations share is one row.
 
 Turns are ordered by ``turn`` (null last), ties by their content; places are counted from
@@ -22,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymix.llm.common import stored
+
 
 def two_hashes() -> list[Column]:
     """128 bits of a turn's role and text; a null differs from any text."""
@@ -30,28 +34,45 @@ def two_hashes() -> list[Column]:
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """(conv_id, place, n, p1, p2) of each turn of rows with a ``conv_id``.
+    """(conv_id, place, is_last, p1, p2) of each turn of rows with a ``conv_id``.
 
     (p1, p2) combine the hashes of the turns up to ``place``, each mixed with its own place.
+    The turns are dealt into ranges of their order, which split a long conversation; places
+    and hashes are run up within a range, and what lies before a range is added to them.
     """
+    order = [F.col("turn").asc_nulls_last(), F.col("h1"), F.col("h2")]
     narrow = turns.filter("conv_id is not null").select("conv_id", "turn", *two_hashes())
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "h1", "h2")
-    placed = narrow.withColumn("place", F.row_number().over(order).cast("long"))
-    placed = placed.withColumns({"m1": F.xxhash64("place", "h1", "h2"), "m2": F.xxhash64("h2", "place", "h1")})
-    by_place = Window.partitionBy("conv_id").orderBy("place")
-    upto = by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed.select(
+    ranged = narrow.repartitionByRange("conv_id", *order).withColumn("part", F.spark_partition_id())
+    ranged = stored(ranged, "turn-ranges")
+    key = ["conv_id", "part"]
+    # A row per conversation and range; the windows over them hold the ranges of a conversation.
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(*key).agg(F.count("*").alias("n"))
+    sizes = sizes.select(
+        *key, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy("conv_id")).alias("total")
+    )
+    own = Window.partitionBy(*key).orderBy(*order)
+    placed = ranged.withColumn("at", F.row_number().over(own)).join(sizes, key)
+    placed = placed.withColumn("place", F.col("base") + F.col("at"))
+    m1, m2 = F.xxhash64("place", "h1", "h2").alias("m1"), F.xxhash64("h2", "place", "h1").alias("m2")
+    placed = stored(placed.select(*key, "place", "total", m1, m2), "turn-places")
+    whole = placed.groupBy(*key).agg(F.bit_xor("m1").alias("x1"), F.bit_xor("m2").alias("x2"))
+    none = F.lit(0).cast("long")
+    whole = whole.select(*key, *[F.coalesce(F.bit_xor(x).over(earlier), none).alias(x) for x in ("x1", "x2")])
+    upto = Window.partitionBy(*key).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = placed.withColumns({m: F.bit_xor(m).over(upto) for m in ("m1", "m2")}).join(whole, key)
+    return run.select(
         "conv_id",
         "place",
-        F.lead("place").over(by_place).isNull().alias("is_last"),
-        F.bit_xor("m1").over(upto).alias("p1"),
-        F.bit_xor("m2").over(upto).alias("p2"),
+        (F.col("place") == F.col("total")).alias("is_last"),
+        F.col("m1").bitwiseXOR(F.col("x1")).alias("p1"),
+        F.col("m2").bitwiseXOR(F.col("x2")).alias("p2"),
     )
 
 
 def maximal(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_equal) of the conversations that prefix no other."""
-    hashed = prefix_hashes(turns)
+    hashed = stored(prefix_hashes(turns), "prefix-hashes")
     key = ["place", "p1", "p2"]
     whole = hashed.filter("is_last").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_equal"))
     inner = hashed.filter("not is_last").select(*key).distinct()

@@ -534,6 +534,21 @@ def test_snapshots_collapse(spark):
     assert chat.chats(frame.filter("false")).count() == 0
 
 
+def test_a_conversation_of_a_third_of_all_turns(spark, result):
+    """Prefix hashes of conversations cut into ranges are those of whole ones."""
+    rows = [(7, i, "user", f"t{i % 50}") for i in range(2000)]
+    rows += [(1000 + c, i, "user", f"t{i % 50}") for c, n in ((0, 1999), (1, 3), (2, 2000)) for i in range(n)]
+    rows += [(2000 + c, i, "user", f"own {c}") for c in range(40) for i in range(5)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r["conv_id"]: r for r in result(chat.chats(frame))}
+    assert set(got) == {7, *range(2000, 2040)}
+    assert (got[7]["n_turns"], got[7]["n_equal"]) == (2000, 2)
+    assert got[7]["chat"] == "".join(f"<|im_start|>user\nt{i % 50}<|im_end|>\n" for i in range(2000))
+    hashed = result(chat.prefix_hashes(frame).filter("conv_id in (7, 1000)"))
+    by = {(r["conv_id"], r["place"]): (r["p1"], r["p2"]) for r in hashed}
+    assert all(by[7, i] == by[1000, i] for i in range(1, 2000)) and len(by) == 3999
+
+
 # Pipeline
 
 
