@@ -199,7 +199,8 @@ def keep_listed(spark, d):
 @query
 def drop_listed(spark, d):
     rows = V.study(spark, d)
-    thin = quality.diversity(rows, "country", "study_id").filter(F.col("n_categories") < 60)
+    found = quality.diversity(rows, "country", "study_id")
+    thin = found.filter(F.col("n_categories") < found.agg(F.avg("n_categories")).scalar())
     return share.count_by(quality.drop_listed(rows, thin, ["country"]), ["country"])
 
 
@@ -211,8 +212,7 @@ def coverage_filter(spark, d):
 @query
 def coverage_filter_country(spark, d):
     """Groups with a NULL key: kept or dropped like any other group."""
-    rows = prep.filter_equal(V.study(spark, d), "continent", "ASIA")
-    return share.count_by(quality.coverage_filter(rows, "country", "design", 5), ["country"])
+    return share.count_by(quality.coverage_filter(V.study(spark, d), "country", "design", 5), ["country"])
 
 
 @query
@@ -282,9 +282,8 @@ def codes_missing_left(spark, d):
 
 @query
 def codes_missing_right(spark, d):
-    asia = prep.filter_equal(V.coded_study(spark, d), "continent", "ASIA")
     return quality.key_difference(
-        V.indicators(spark, d).withColumnRenamed("code", "iso3c"), asia, "iso3c"
+        V.indicators(spark, d).withColumnRenamed("code", "iso3c"), V.coded_study(spark, d), "iso3c"
     )
 
 
@@ -482,11 +481,21 @@ def empirical_logit_decade(spark, d):
     return tidy(reshape.empirical_logit(counts, "year_bin", "design", LEVELS, "After"))
 
 
+def logit_by_bin(spark, d, predictor, into):
+    rows = binning.bin_quantile(V.model_table(spark, d), predictor, 10, into)
+    counts = share.count_by(rows, [into, "design"])
+    return tidy(reshape.empirical_logit(counts, into, "design", LEVELS, "After"))
+
+
 @query
 def empirical_logit_quantile(spark, d):
-    rows = binning.bin_quantile(V.model_table(spark, d), "rd_pc_scaled", 10, "rd_bin")
-    counts = share.count_by(rows, ["rd_bin", "design"])
-    return tidy(reshape.empirical_logit(counts, "rd_bin", "design", LEVELS, "After"))
+    return logit_by_bin(spark, d, "rd_pc_scaled", "rd_bin")
+
+
+@query
+def empirical_logit_quantile_ge(spark, d):
+    """The same for the second predictor, government effectiveness."""
+    return logit_by_bin(spark, d, "ge_scaled", "ge_bin")
 
 
 @query
@@ -501,7 +510,7 @@ def pivot_fill(spark, d):
 
 @query
 def complete_grid(spark, d):
-    counts = share.count_by(V.clean_second(spark, d), ["year", "country"])
+    counts = share.count_by(V.study(spark, d), ["year", "country"])
     wanted = [f"NATION_{i}" for i in range(26)]
     return cumulative.complete_grid(counts, "year", "country", wanted)
 
@@ -579,6 +588,12 @@ def bin_quantile(spark, d):
     return share.count_by(rows, ["rd_bin", "iso3c", "year"])
 
 
+@query
+def bin_quantile_ge(spark, d):
+    rows = binning.bin_quantile(V.model_table(spark, d), "ge_scaled", 10, "ge_bin")
+    return share.count_by(rows, ["ge_bin", "iso3c", "year"])
+
+
 @query
 def bin_grid(spark, d):
     return grid_rows(spark, d).select("study_id", "lat_bin", "long_bin")
@@ -718,6 +733,12 @@ def conditional_curve_geography(spark, d):
     return tidy(predict.conditional_curve(cells, draws, design, "rd_pc_scaled", DRAWS))
 
 
+@query
+def conditional_curve_ge(spark, d):
+    cells, draws, design = fitted(spark, d, geographic)
+    return tidy(predict.conditional_curve(cells, draws, design, "ge_scaled", DRAWS))
+
+
 @query
 def average_slope(spark, d):
     cells, draws, design = fitted(spark, d)

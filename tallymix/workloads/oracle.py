@@ -108,7 +108,7 @@ VIEWS: dict[str, str] = {
         SELECT c.*, income_category,
                CASE WHEN income_category = 'H' THEN 'High income'
                     WHEN income_category IN ('L', 'LM', 'UM') THEN 'Low/Middle income' END AS income_group
-        FROM (SELECT * FROM coded WHERE year BETWEEN 1996 AND 2001) c
+        FROM (SELECT * FROM coded WHERE year BETWEEN 1995 AND 2001) c
         LEFT JOIN income i ON c.iso3c IS NOT DISTINCT FROM i.iso3c AND c.year = i.year""",
     "grouped": "SELECT * FROM with_income WHERE income_group IS NOT NULL",
     "draws_like": """
@@ -133,12 +133,18 @@ VIEWS: dict[str, str] = {
         FROM (SELECT DISTINCT year FROM study) y CROSS JOIN levels
         LEFT JOIN study s ON s.year IS NOT DISTINCT FROM y.year AND s.design = levels.design
         GROUP BY ALL""",
-    "rd_breaks": f"""
-        SELECT [{', '.join(f'quantile_cont(rd_pc_scaled, {i / 10})' for i in range(1, 10))}] AS b
-        FROM model""",
-    "rd_binned": """
-        SELECT m.*, CAST(1 + len(list_filter(b, lambda v: rd_pc_scaled > v)) AS INTEGER) AS rd_bin
-        FROM model m CROSS JOIN rd_breaks""",
+    **{
+        f"{c}_breaks": f"""
+        SELECT [{', '.join(f'quantile_cont({v}, {i / 10})' for i in range(1, 10))}] AS b
+        FROM model"""
+        for c, v in (("rd", "rd_pc_scaled"), ("ge", "ge_scaled"))
+    },
+    **{
+        f"{c}_binned": f"""
+        SELECT m.*, CAST(1 + len(list_filter(b, lambda edge: {v} > edge)) AS INTEGER) AS {c}_bin
+        FROM model m CROSS JOIN {c}_breaks"""
+        for c, v in (("rd", "rd_pc_scaled"), ("ge", "ge_scaled"))
+    },
     "boot_base": """
         SELECT study_id, synopsis, year, design, count(*) AS c FROM study GROUP BY ALL""",
     "boot": f"""
@@ -319,12 +325,13 @@ QUERIES: dict[str, str] = {
         (SELECT study_id FROM study GROUP BY study_id HAVING {n_distinct('synopsis')} >= 2)""",
     "drop_listed": f"""
         SELECT country, count(*) AS n FROM study GROUP BY country
-        HAVING NOT ({n_distinct('study_id')} < 60)""",
+        HAVING {n_distinct('study_id')} >=
+        (SELECT avg(k) FROM (SELECT {n_distinct('study_id')} AS k FROM study GROUP BY country))""",
     "coverage_filter": f"""
         SELECT {STUDY_COLUMNS} FROM study WHERE study_id IN
         (SELECT study_id FROM study GROUP BY study_id HAVING {n_distinct('design')} >= 5)""",
     "coverage_filter_country": f"""
-        SELECT country, count(*) AS n FROM study WHERE continent = 'ASIA' GROUP BY country
+        SELECT country, count(*) AS n FROM study GROUP BY country
         HAVING {n_distinct('design')} >= 5""",
     "multi_category_ids": f"""
         SELECT study_id, {n_distinct('design')} AS n_categories FROM study GROUP BY study_id
@@ -354,7 +361,7 @@ QUERIES: dict[str, str] = {
     "codes_missing_left": """
         SELECT iso3c FROM coded EXCEPT SELECT code FROM indic""",
     "codes_missing_right": """
-        SELECT code AS iso3c FROM indic EXCEPT SELECT iso3c FROM coded WHERE continent = 'ASIA'""",
+        SELECT code AS iso3c FROM indic EXCEPT SELECT iso3c FROM coded""",
     "count_by_keys": "SELECT year, synopsis, design, count(*) AS n FROM study GROUP BY ALL",
     "designs_by_year": f"SELECT year, {n_distinct('design')} AS n_categories FROM study GROUP BY year",
     "designs_by_group": f"""
@@ -437,6 +444,7 @@ QUERIES: dict[str, str] = {
         f"(SELECT * FROM {DECADES} WHERE year_bin IS NOT NULL)", "year_bin"
     ),
     "empirical_logit_quantile": logit_sql("rd_binned", "rd_bin"),
+    "empirical_logit_quantile_ge": logit_sql("ge_binned", "ge_bin"),
     "pivot_fill": """
         SELECT study_id, """ + ", ".join(
         f"""CASE WHEN count(*) FILTER (WHERE design = '{x}') = 0 THEN 1
@@ -444,7 +452,7 @@ QUERIES: dict[str, str] = {
         for x in ("After", "BA", "CI", "BACI", "Rand.exp.")
     ) + " FROM study GROUP BY study_id",
     "complete_grid": """
-        WITH n2 AS (SELECT year, country, count(*) AS n FROM pooled WHERE src = 2 GROUP BY ALL),
+        WITH n2 AS (SELECT year, country, count(*) AS n FROM study GROUP BY ALL),
         lv AS (SELECT 'NATION_' || i AS country FROM range(26) t(i)
                UNION ALL SELECT NULL WHERE EXISTS (SELECT 1 FROM n2 WHERE country IS NULL))
         SELECT y.year, lv.country, coalesce(n, 0) AS n
@@ -478,6 +486,7 @@ QUERIES: dict[str, str] = {
     "bin_five_year": f"""
         SELECT year_bin, year, count(*) AS n FROM {FIVE_YEARS} WHERE year_bin IS NOT NULL GROUP BY ALL""",
     "bin_quantile": "SELECT rd_bin, iso3c, year, count(*) AS n FROM rd_binned GROUP BY ALL",
+    "bin_quantile_ge": "SELECT ge_bin, iso3c, year, count(*) AS n FROM ge_binned GROUP BY ALL",
     "bin_grid": "SELECT study_id, lat_bin, long_bin FROM grid",
     "shorten_labels": f"""
         SELECT label, count(*) AS n, {SHORT} AS short_label

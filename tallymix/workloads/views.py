@@ -279,7 +279,7 @@ def income_long(spark: SparkSession, d: str) -> DataFrame:
 
 def with_income(spark: SparkSession, d: str) -> DataFrame:
     """Study rows of the years with income data, with class and group."""
-    rows = prep.value_range(coded_study(spark, d), "year", 1996, 2001)
+    rows = prep.value_range(coded_study(spark, d), "year", YEARS[0], YEARS[-1])
     dim = income_long(spark, d).select("iso3c", "year", "income_category")
     return linkage.class_group(
         linkage.attach(rows, dim, ["iso3c", "year"]), "income_category", S.INCOME_GROUPS, "income_group"
