@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +34,22 @@ def pack_draws(draws: DataFrame, design: Design) -> DataFrame:
     )
 
 
+def with_probabilities(rows: DataFrame, design: Design) -> DataFrame:
+    """Rows that carry ``__coef`` with the probability of each category as ``__p0``, ``__p1``, .."""
+    k = len(design.levels)
+    rows = design.with_positions(rows)
+    rows = rows.withColumns({f"__e{i}": design.score(F.col("__coef"), i) for i in range(k)})
+    top = F.greatest(*[F.col(f"__e{i}") for i in range(k)]) if k > 1 else F.col("__e0")
+    rows = rows.withColumns({f"__x{i}": F.exp(F.col(f"__e{i}") - top) for i in range(k)})
+    norm = sum((F.col(f"__x{i}") for i in range(1, k)), F.col("__x0"))
+    rows = rows.withColumn("__norm", norm)
+    rows = rows.withColumns({f"__p{i}": F.col(f"__x{i}") / F.col("__norm") for i in range(k)})
+    rows = rows.drop("__norm", *[f"__{a}{i}" for a in "ex" for i in range(k)])
+    return design.drop_positions(rows)
+
+
 def over_draws(grid: DataFrame, draws: DataFrame, design: Design, n_draws: int) -> DataFrame:
-    """Each grid row once per draw, with ``__prob``: its category probabilities.
+    """Each grid row once per draw, with its category probabilities.
 
     The packed draws are n_draws rows of categories x terms doubles. They are broadcast
     if that product is small, otherwise joined on the draw by shuffle.
@@ -43,19 +57,41 @@ def over_draws(grid: DataFrame, draws: DataFrame, design: Design, n_draws: int)
     packed = pack_draws(draws, design)
     if n_draws * len(design.levels) * len(design.terms) * 8 <= MAX_BROADCAST_BYTES:
         packed = F.broadcast(packed)
-    rows = design.with_positions(grid).withColumn(
-        "draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws)))
-    )
-    scored = rows.join(packed, "draw")
-    k = len(design.levels)
-    scored = scored.withColumns({f"__e{i}": design.score(F.col("__coef"), i) for i in range(k)})
-    top = F.greatest(*[F.col(f"__e{i}") for i in range(k)])
-    scored = scored.withColumns({f"__x{i}": F.exp(F.col(f"__e{i}") - top) for i in range(k)})
-    norm = sum((F.col(f"__x{i}") for i in range(1, k)), F.col("__x0"))
-    scored = scored.withColumn("__norm", norm)
-    scored = scored.withColumns({f"__p{i}": F.col(f"__x{i}") / F.col("__norm") for i in range(k)})
-    scored = scored.drop("__norm", *[f"__{a}{i}" for a in "ex" for i in range(k)])
-    return design.drop_positions(scored)
+    rows = grid.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
+    return with_probabilities(rows.join(packed, "draw"), design)
+
+
+def fitted_moments(
+    cells: DataFrame, draws: DataFrame, design: Design, prior_sd: float | None, centre: Mapping[str, float], n: str = "n"
+) -> DataFrame:
+    """(draw, category, term, moment): what the fits say the sums of the data must be.
+
+    The optimum of the penalised likelihood is where the expected sum of a term over the
+    rows of a category, plus the pull of the prior on its symmetric slope, is the observed
+    sum. Numeric terms are taken about ``centre``.
+    """
+    p, k = len(design.terms), len(design.levels)
+    weights = cells.groupBy("draw", *design.covariates).agg(F.sum(n).alias("__n"))
+    packed = pack_draws(draws, design)
+    rows = with_probabilities(weights.join(packed, "draw"), design)
+    x = [F.lit(1.0), *(F.col(c).cast("double") - F.lit(float(centre.get(c, 0.0))) for c in design.numeric)]
+    x += [(F.col(f) == v).cast("double") for f, vs in design.factors.items() for v in vs[1:]]
+    sums = [F.sum(F.col("__n") * F.col(f"__p{i}") * v).alias(f"__m{i}_{j}") for i in range(k) for j, v in enumerate(x)]
+    pull = 0.0 if prior_sd is None else 1.0 / prior_sd**2
+    coef = F.col("__coef")
+
+    def moment(i: int, j: int):
+        if not j:
+            return F.col(f"__m{i}_0")
+        mean = sum((coef[a * p + j] for a in range(1, k)), coef[j]) / F.lit(float(k))
+        return F.col(f"__m{i}_{j}") + F.lit(pull) * (coef[i * p + j] - mean)
+
+    each = [
+        F.struct(F.lit(c).alias("category"), F.lit(t).alias("term"), moment(i, j).alias("moment"))
+        for i, c in enumerate(design.levels)
+        for j, t in enumerate(design.terms)
+    ]
+    return rows.groupBy("draw").agg(*sums).join(packed, "draw").select("draw", F.inline(F.array(*each)))
 
 
 def by_category(design: Design, values: Sequence[Column], name: str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymix import schema as S
-from tallymix.functions.sizing import materialise
+from tallymix.functions.sizing import materialise, written
 from tallymix.models import bootstrap, compare, fit, predict, splines
 from tallymix.models.design import Design, to_cells
 from tallymix.operators import (
@@ -653,17 +653,61 @@ def multinomial_fit_geography(spark, d):
     return tidy(fit.multinomial_fit(materialise(to_cells(rows, design)), design), 4)
 
 
+def moments(rows, design, draws_of, centre):
+    """The sums that a model's fits claim for the data, by draw."""
+    cells = written(draws_of(rows, design), "moment-cells")
+    fits = fit.fit_groups(cells, "draw", DRAWS, design, "n", fit.PRIOR_SD)
+    return tidy(predict.fitted_moments(cells, fits, design, fit.PRIOR_SD, centre))
+
+
+def one_draw(rows, design):
+    return to_cells(rows, design).withColumn("draw", F.lit(1))
+
+
+def all_draws(rows, design):
+    return bootstrap.bootstrap_cells(design.check(rows), "study_id", [*design.covariates, design.category], DRAWS)
+
+
+@query
+def multinomial_fit_moments(spark, d):
+    """The penalised fit by its first-order conditions: its sums are those of the data."""
+    return moments(*temporal(spark, d), one_draw, {"year": 1998})
+
+
+@query
+def multinomial_fit_geography_moments(spark, d):
+    return moments(*geographic(spark, d), one_draw, {})
+
+
+@query
+def multinomial_draws_moments(spark, d):
+    return moments(*temporal(spark, d), all_draws, {"year": 1998})
+
+
+@query
+def epred_draws_moments(spark, d):
+    """Expected rows per draw, subfield and category: probabilities over the grid times the rows there."""
+    rows, design = temporal(spark, d)
+    cells = written(all_draws(rows, design), "moment-cells")
+    fits = fit.fit_groups(cells, "draw", DRAWS, design, "n", fit.PRIOR_SD)
+    grid = predict.covariate_grid(cells, "synopsis", "year")
+    epred = predict.epred_draws(grid, written(fits, "moment-fits"), design, DRAWS)
+    weights = cells.groupBy("draw", "synopsis", "year").agg(F.sum("n").alias("n"))
+    expected = epred.join(weights, ["draw", "synopsis", "year"]).groupBy("draw", "design")
+    return tidy(expected.agg(F.sum(F.col("n") * F.col("epred")).alias("expected")))
+
+
 @query
 def multinomial_fit_saturated(spark, d):
     rows, design = by_synopsis(spark, d)
     cells = materialise(to_cells(rows, design))
-    return tidy(fit.multinomial_fit(cells, design, prior_sd=None), 3)
+    return tidy(fit.multinomial_fit(cells, design, prior_sd=None))
 
 
 @query
 def spline_features(spark, d):
     rows = prep.complete_rows(V.study(spark, d), ["lat"])
-    return tidy(splines.spline_features(rows.select("study_id", "lat"), "lat", "lat_spline"), 4)
+    return tidy(splines.spline_features(rows.select("study_id", "lat"), "lat", "lat_spline"))
 
 
 @query
@@ -683,7 +727,7 @@ def multinomial_draws(spark, d):
 @query
 def multinomial_draws_saturated(spark, d):
     rows, design = by_synopsis(spark, d)
-    return tidy(bootstrap.multinomial_draws(rows, "study_id", design, DRAWS, prior_sd=None), 5)
+    return tidy(bootstrap.multinomial_draws(rows, "study_id", design, DRAWS, prior_sd=None))
 
 
 @query
@@ -705,20 +749,20 @@ def epred_draws_saturated(spark, d):
 @query
 def coefficient_summary_saturated(spark, d):
     _, draws, _ = fitted(spark, d, by_synopsis, prior_sd=None)
-    return tidy(predict.coefficient_summary(draws), 5)
+    return tidy(predict.coefficient_summary(draws))
 
 
 @query
 def predictive_check_saturated(spark, d):
     cells, draws, design = fitted(spark, d, by_synopsis, prior_sd=None)
-    return tidy(predict.predictive_check(cells, draws, design, DRAWS), 5)
+    return tidy(predict.predictive_check(cells, draws, design, DRAWS))
 
 
 @query
 def elpd_compare_saturated(spark, d):
     rows, by_group = by_synopsis(spark, d)
     models = {"by_group": by_group, "overall": Design("design", LEVELS)}
-    return tidy(compare.elpd_compare(materialise(rows), "study_id", models, FOLDS, prior_sd=None), 4)
+    return tidy(compare.elpd_compare(materialise(rows), "study_id", models, FOLDS, prior_sd=None))
 
 
 @query

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tallymix.models.bootstrap import poisson_edges
-from tallymix.workloads.catalogue import DRAWS, FOLDS
-from tallymix.workloads.views import YEARS
+#: The years of the test tables, and the draws and folds of the queries.
+YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
+DRAWS, FOLDS = 50, 5
+#: 2**32 times the distribution function of Poisson(1) at 0, 1, 2, ..
+EDGES = [1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609777, 4294923276, 4294962463, 4294966817, 4294967252, 4294967292, 4294967295]
 
 
 def r(expr: str, digits: int = 6) -> str:
@@ -148,8 +150,8 @@ VIEWS: dict[str, str] = {
     "boot_base": """
         SELECT study_id, synopsis, year, design, count(*) AS c FROM study GROUP BY ALL""",
     "boot": f"""
-        SELECT *, CASE {' '.join(f'WHEN h < {e} THEN {k}' for k, e in enumerate(poisson_edges()))}
-                  ELSE {len(poisson_edges())} END AS w
+        SELECT *, CASE {' '.join(f'WHEN h < {e} THEN {k}' for k, e in enumerate(EDGES))}
+                  ELSE {len(EDGES)} END AS w
         FROM (SELECT *, CAST('0x' || substr(md5(CAST(study_id AS VARCHAR) || '|' || CAST((draw - 1) // 4 AS VARCHAR)),
                                         8 * ((draw - 1) % 4) + 1, 8) AS BIGINT) AS h
               FROM boot_base CROSS JOIN
@@ -241,6 +243,19 @@ def logit_sql(source: str, key: str) -> str:
           ON a.{key} = b.{key}"""
 
 
+def moment_sql(source: str, terms: dict[str, str]) -> str:
+    """Observed sums of each term over the rows of each design: where a penalised fit must end."""
+    return " UNION ALL ".join(
+        f"""SELECT draw, design AS category, '{term}' AS term, {r(f'CAST(sum(w * {x}) AS DOUBLE)')} AS moment
+        FROM {source} GROUP BY ALL"""
+        for term, x in terms.items()
+    )
+
+
+TEMPORAL_TERMS = {"(Intercept)": "1", "year": "(year - 1998)"} | {
+    f"synopsis={v}": f"CAST(synopsis = '{v}' AS INTEGER)"
+    for v in ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "Non-English language")
+}
 DECADES = """(SELECT *, CAST(CASE WHEN year >= 1981 AND year < 1991 THEN 1981
     WHEN year >= 1991 AND year < 2001 THEN 1991 END AS INTEGER) AS year_bin FROM study)"""
 FIVE_YEARS = """(SELECT *, CASE WHEN year >= 1985 AND year < 1990 THEN '1985-'
@@ -497,37 +512,37 @@ QUERIES: dict[str, str] = {
     "multinomial_fit_saturated": f"""
         SELECT a.design AS category, CASE WHEN a.synopsis = 'AUTOMOBILE' THEN '(Intercept)'
                ELSE 'synopsis=' || a.synopsis END AS term,
-               {r("CASE WHEN a.synopsis = 'AUTOMOBILE' THEN a.v ELSE a.v - b.v END", 3)} AS estimate
+               {r("CASE WHEN a.synopsis = 'AUTOMOBILE' THEN a.v ELSE a.v - b.v END")} AS estimate
         FROM point_logit a JOIN point_logit b ON a.design = b.design AND b.synopsis = 'AUTOMOBILE'""",
     "spline_features": f"""
-        SELECT study_id, {r('lat', 4)} AS lat, {r('''(greatest(lat - a, 0) ** 3
+        SELECT study_id, {r('lat')} AS lat, {r('''(greatest(lat - a, 0) ** 3
                - greatest(lat - b, 0) ** 3 * ((c - a) / (c - b))
-               + greatest(lat - c, 0) ** 3 * ((b - a) / (c - b))) / (c - a) ** 2''', 4)} AS lat_spline
+               + greatest(lat - c, 0) ** 3 * ((b - a) / (c - b))) / (c - a) ** 2''')} AS lat_spline
         FROM study CROSS JOIN lat_knots WHERE lat IS NOT NULL""",
     "bootstrap_cells": """
         SELECT draw, year, synopsis, design, CAST(sum(c * w) AS BIGINT) AS n FROM boot
         WHERE w > 0 AND year IS NOT NULL GROUP BY ALL""",
     "multinomial_draws_saturated": f"""
-        SELECT draw, category, term, {r('estimate', 5)} AS estimate FROM boot_terms""",
+        SELECT draw, category, term, {r('estimate')} AS estimate FROM boot_terms""",
     "coefficient_summary_saturated": f"""
-        SELECT category, term, {r('avg(estimate)', 5)} AS estimate,
-               {r('stddev_samp(estimate)', 5)} AS std_error,
-               {r('quantile_cont(estimate, 0.025)', 5)} AS conf_low,
-               {r('quantile_cont(estimate, 0.975)', 5)} AS conf_high
+        SELECT category, term, {r('avg(estimate)')} AS estimate,
+               {r('stddev_samp(estimate)')} AS std_error,
+               {r('quantile_cont(estimate, 0.025)')} AS conf_low,
+               {r('quantile_cont(estimate, 0.975)')} AS conf_high
         FROM boot_terms GROUP BY category, term""",
     "predictive_check_saturated": f"""
-        SELECT e.design, {r('point', 5)} AS point, {r('lower', 5)} AS lower, {r('upper', 5)} AS upper,
+        SELECT e.design, {r('point')} AS point, {r('lower')} AS lower, {r('upper')} AS upper,
                0.95::DOUBLE AS width, 'median' AS point_type, 'qi' AS interval_type, observed
         FROM (SELECT design, quantile_cont(expected, 0.5) AS point, quantile_cont(expected, 0.025) AS lower,
                      quantile_cont(expected, 0.975) AS upper FROM boot_expected GROUP BY design) e
         JOIN (SELECT design, count(*) AS observed FROM study GROUP BY design) o ON e.design = o.design""",
     "elpd_compare_saturated": f"""
-        SELECT 'by_group' AS model, {r('a', 4)} AS elpd, {r('least(a - b, 0)', 4)} AS elpd_diff,
-               CASE WHEN a >= b THEN 0.0::DOUBLE ELSE {r('sqrt(n * (q - d * d / n) / (n - 1))', 4)} END AS se_diff
+        SELECT 'by_group' AS model, {r('a')} AS elpd, {r('least(a - b, 0)')} AS elpd_diff,
+               CASE WHEN a >= b THEN 0.0::DOUBLE ELSE {r('sqrt(n * (q - d * d / n) / (n - 1))')} END AS se_diff
         FROM fold_totals
         UNION ALL
-        SELECT 'overall', {r('b', 4)}, {r('least(b - a, 0)', 4)},
-               CASE WHEN b > a THEN 0.0::DOUBLE ELSE {r('sqrt(n * (q - d * d / n) / (n - 1))', 4)} END
+        SELECT 'overall', {r('b')}, {r('least(b - a, 0)')},
+               CASE WHEN b > a THEN 0.0::DOUBLE ELSE {r('sqrt(n * (q - d * d / n) / (n - 1))')} END
         FROM fold_totals""",
     "epred_draws_saturated": f"""
         SELECT synopsis, draw, design, {r('ln(n / sum(n) OVER (PARTITION BY draw, synopsis))')} AS log_epred
@@ -547,6 +562,19 @@ QUERIES: dict[str, str] = {
                      quantile_cont(epred, 0.975) AS ou FROM averaged GROUP BY ALL) o
         JOIN (SELECT design, quantile_cont(g, 0.5) AS gp, quantile_cont(g, 0.025) AS gl,
                      quantile_cont(g, 0.975) AS gu FROM grand GROUP BY ALL) g ON o.design = g.design""",
+    "multinomial_fit_moments": moment_sql(
+        "(SELECT 1 AS draw, design, synopsis, year, 1 AS w FROM study WHERE year IS NOT NULL)", TEMPORAL_TERMS
+    ),
+    "multinomial_fit_geography_moments": moment_sql(
+        "(SELECT 1 AS draw, *, 1 AS w FROM model)",
+        {"(Intercept)": "1", "rd_pc_scaled": "rd_pc_scaled", "ge_scaled": "ge_scaled"},
+    ),
+    "multinomial_draws_moments": moment_sql(
+        "(SELECT draw, design, synopsis, year, c * w AS w FROM boot WHERE year IS NOT NULL)", TEMPORAL_TERMS
+    ),
+    "epred_draws_moments": f"""
+        SELECT draw, design, {r('CAST(sum(c * w) AS DOUBLE)')} AS expected
+        FROM boot WHERE year IS NOT NULL GROUP BY ALL""",
     "vif": f"""
         SELECT unnest(['rd_pc_scaled', 'ge_scaled']) AS term, {r('1 / (1 - c * c)')} AS vif
         FROM (SELECT corr(rd_pc_scaled, ge_scaled) AS c FROM model)""",
