@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +29,13 @@ def poisson_edges() -> list[int]:
         k += 1
 
 
-def block_hash(cluster: Column, block: Column) -> Column:
-    """Hash of a cluster and a block of four draws: 32 hexadecimal digits, 8 per draw."""
-    key = F.concat(F.coalesce(cluster.cast("string"), F.lit("\\N")), F.lit("|"), block.cast("string"))
-    return F.md5(key)
+def block_hash(cluster: Column, block: Column, name: str | None = None) -> Column:
+    """Hash of a cluster and a block of four draws: 32 hexadecimal digits, 8 per draw.
+
+    ``name`` sets apart the weights of several cluster columns.
+    """
+    parts = [F.coalesce(cluster.cast("string"), F.lit("\\N")), F.lit("|"), block.cast("string")]
+    return F.md5(F.concat(*([F.lit(f"{name}|")] if name else []), *parts))
 
 
 def poisson_weight(h: Column) -> Column:
@@ -47,10 +51,15 @@ def poisson_weight(h: Column) -> Column:
 
 
 def bootstrap_cells(
-    df: DataFrame, cluster: str, keys: Sequence[str], draws: int, n: str = "n"
+    df: DataFrame, cluster: str | Sequence[str], keys: Sequence[str], draws: int, n: str = "n"
 ) -> DataFrame:
     """Weighted counts per (draw, keys).
 
+    With several cluster columns (nested or crossed, such as country and study) a row has a
+    weight per column and counts with their product, so that rows which share any of them
+    move together. A column name is part of its hash: equal values of two columns are
+    unrelated. A NULL is a cluster of its own.
+
     The rows are collapsed to (cluster, keys) once. Draws are then exploded and summed
     in one stage: what is shuffled after it, and returned, is bounded by draws x cells.
     The collapsed rows are spread evenly first, as each stands for ``draws`` rows of work
@@ -61,40 +70,47 @@ def bootstrap_cells(
     tasks = max(
         spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
     )
-    base = df.groupBy(cluster, *keys).agg(F.count("*").alias("__c"))
+    clusters = [cluster] if isinstance(cluster, str) else list(cluster)
+    held = [f"__cluster_{i}" for i in range(len(clusters))]
+    # A single cluster may be one of the keys as well.
+    base = df.select(*keys, *[F.col(c).alias(h) for c, h in zip(clusters, held)])
+    base = base.groupBy(*held, *keys).agg(F.count("*").alias("__c"))
     blocks = F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAWS_PER_HASH)))
     each = F.array(
         *[
             F.struct(
                 (F.col("__block") * DRAWS_PER_HASH + (i + 1)).alias("draw"),
-                F.substring("__hash", 8 * i + 1, 8).alias("__h"),
+                *[F.substring(f"__hash_{j}", 8 * i + 1, 8).alias(f"__h{j}") for j in range(len(held))],
             )
             for i in range(DRAWS_PER_HASH)
         ]
     )
+    names = [None] if len(clusters) == 1 else clusters
+    hashes = {f"__hash_{j}": block_hash(F.col(h), F.col("__block"), c) for j, (h, c) in enumerate(zip(held, names))}
+    weight = reduce(lambda x, y: x * y, [poisson_weight(F.col(f"__h{j}")) for j in range(len(held))])
     return (
-        base.repartition(tasks, F.xxhash64(cluster, *keys))
+        base.repartition(tasks, F.xxhash64(*held, *keys))
         .select("*", blocks.alias("__block"))
-        .withColumn("__hash", block_hash(F.col(cluster), F.col("__block")))
+        .withColumns(hashes)
         .select(*keys, "__c", F.inline(each))
         .filter(F.col("draw") <= draws)
         .groupBy("draw", *keys)
-        .agg(F.sum(F.col("__c") * poisson_weight(F.col("__h"))).alias(n))
+        .agg(F.sum(F.col("__c") * weight).alias(n))
         .filter(F.col(n) > 0)
     )
 
 
 def multinomial_draws(
     df: DataFrame,
-    cluster: str,
+    cluster: str | Sequence[str],
     design: Design,
     draws: int = 200,
     prior_sd: float | None = PRIOR_SD,
 ) -> DataFrame:
     """Coefficients per draw, as contrasts to the base category: (draw, category, term, estimate).
 
-    Bootstrap estimates, not a posterior. The cluster (study, or country) is one key per
-    run. The weighted cells are stored once: counting and fitting read the same table.
+    Bootstrap estimates, not a posterior. The cluster is one column (study) or several, whose
+    weights multiply (country and study). The weighted cells are stored once: counting and fitting read the same table.
     """
     keys = [*design.covariates, design.category]
     cells = written(bootstrap_cells(design.check(df), cluster, keys, draws), "draw-cells")

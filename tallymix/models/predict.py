@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
+from tallymix.functions.sizing import written
 from tallymix.models.design import Design
 from tallymix.operators.intervals import median_interval
 
 MAX_BROADCAST_BYTES = 128 * 1024 * 1024
+#: Most rows of a covariate grid, and values of its second covariate in a block.
+MAX_GRID = 1_000_000_000
+GRID_BLOCK = 10_000
 
 
 def pack_draws(draws: DataFrame, design: Design) -> DataFrame:
@@ -108,24 +116,22 @@ def probabilities(design: Design) -> list[Column]:
     return [F.col(f"__p{i}") for i in range(len(design.levels))]
 
 
-def covariate_grid(df: DataFrame, first: str, second: str) -> DataFrame:
+def covariate_grid(df: DataFrame, first: str, second: str, most: int = MAX_GRID) -> DataFrame:
     """Every distinct value of one covariate with every distinct value of another.
 
-    The second covariate's values (model levels or years) come back as one array and
-    are exploded on the distinct values of the first.
+    NULL is a value if it occurs. The distinct values of both are stored and counted; a grid
+    of more than ``most`` rows raises. Each value of the first is dealt to every block of the
+    second, and the product is an equi-join on the block.
     """
-    values = df.filter(F.col(second).isNotNull()).agg(F.sort_array(F.collect_set(second))).scalar()
-    has_null = df.agg(F.max(F.col(second).isNull())).scalar()
-    return (
-        df.select(first)
-        .distinct()
-        .select(
-            first,
-            F.explode(
-                F.when(has_null, F.array_append(values, F.lit(None))).otherwise(values)
-            ).alias(second),
-        )
-    )
+    one = written(df.select(F.col(first).alias("__a")).distinct(), "grid-values")
+    two = written(df.select(F.col(second).alias("__b")).distinct(), "grid-values")
+    n, m = one.count(), two.count()
+    if n * m > most:
+        raise ValueError(f"a grid of {n} values of {first} and {m} of {second} has more than {most} rows")
+    blocks = -(-m // GRID_BLOCK) or 1
+    block = F.pmod(F.xxhash64("__b"), F.lit(blocks)).cast("int").alias("__block")
+    dealt = one.select("__a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
+    return dealt.join(two.select("__b", block), "__block").select(F.col("__a").alias(first), F.col("__b").alias(second))
 
 
 def epred_draws(grid: DataFrame, draws: DataFrame, design: Design, n_draws: int) -> DataFrame:
@@ -221,6 +227,55 @@ def coefficient_summary(draws: DataFrame, width: float = 0.95) -> DataFrame:
     )
 
 
+def uniform(*parts: Column) -> Column:
+    """A number in (0, 1) from the md5 of its parts: 32 bits, the same in any engine."""
+    key = F.md5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("\\N")) for p in parts]))
+    return (F.conv(F.substring(key, 1, 8), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 32))
+
+
+@F.pandas_udf(LongType())
+def binomial_quantile(n: pd.Series, p: pd.Series, u: pd.Series) -> pd.Series:
+    """The smallest k whose binomial(n, p) distribution function reaches u.
+
+    The sum of probabilities runs outward from the mode, so its length is a few standard
+    deviations whatever n is, and nothing underflows.
+    """
+
+    def one(n: int, p: float, u: float) -> int:
+        if n <= 0 or p <= 0:
+            return 0
+        if p >= 1:
+            return n
+        mode = min(int((n + 1) * p), n)
+        reach = int(9 * math.sqrt(n * p * (1 - p))) + 30
+        low, high = max(mode - reach, 0), min(mode + reach, n)
+        k = np.arange(low, high + 1, dtype=float)
+        # Ratios of neighbouring probabilities, summed as logarithms from the mode.
+        step = np.log((n - k[:-1]) / (k[:-1] + 1)) + math.log(p / (1 - p))
+        log = np.concatenate([[0.0], np.cumsum(step)])
+        weight = np.exp(log - log.max())
+        upto = np.cumsum(weight)
+        return low + int(np.searchsorted(upto, u * upto[-1]))
+
+    return pd.Series([one(int(a), float(b), float(c)) for a, b, c in zip(n, p, u)], dtype="int64")
+
+
+def replicated(scored: DataFrame, design: Design, by: Sequence[str], n: str, seed: str) -> DataFrame:
+    """New counts per category of each (draw, cell): a multinomial draw of the cell's rows.
+
+    The categories take their rows one after another, each a binomial of what is left. The
+    uniform numbers are hashes of the seed, draw, cell and category, so a rerun draws the same.
+    """
+    left, rest, p = F.col(n).cast("long"), F.lit(1.0), probabilities(design)
+    out, k = scored, len(design.levels)
+    for i in range(k - 1):
+        share = F.least(F.greatest(F.try_divide(p[i], rest), F.lit(0.0)), F.lit(1.0))
+        u = uniform(F.lit(seed), F.col("draw"), *[F.col(c) for c in by], F.lit(i))
+        out = out.withColumn(f"__y{i}", binomial_quantile(left, F.coalesce(share, F.lit(0.0)), u))
+        left, rest = left - F.col(f"__y{i}"), rest - p[i]
+    return out.withColumn(f"__y{k - 1}", left)
+
+
 def predictive_check(
     cells: DataFrame,
     draws: DataFrame,
@@ -229,15 +284,26 @@ def predictive_check(
     by: Sequence[str] = (),
     width: float = 0.95,
     n: str = "n",
+    seed: str | None = None,
 ) -> DataFrame:
-    """Observed counts per category (and group) against expected counts over draws."""
+    """Observed counts per category (and group) against those the model gives over draws.
+
+    Without a seed these are expected counts, whose bands hold the uncertainty of the fit
+    alone. With one, each cell's rows are drawn anew from its probabilities in every draw
+    (``replicated``), so that the bands hold the noise of sampling as well.
+    """
     cat = design.category
     weights = cells.groupBy(*design.covariates).agg(F.sum(n).alias("__n"))
     k = len(design.levels)
+    scored = over_draws(weights, draws, design, n_draws)
+    if seed is None:
+        counts = [F.col("__n") * p for p in probabilities(design)]
+    else:
+        scored = replicated(scored, design, design.covariates, "__n", seed)
+        counts = [F.col(f"__y{i}").cast("double") for i in range(k)]
     expected = (
-        over_draws(weights, draws, design, n_draws)
-        .groupBy("draw", *by)
-        .agg(*[F.sum(F.col("__n") * p).alias(f"__s{i}") for i, p in enumerate(probabilities(design))])
+        scored.groupBy("draw", *by)
+        .agg(*[F.sum(c).alias(f"__s{i}") for i, c in enumerate(counts)])
         .select(
             "draw", *by, F.inline(by_category(design, [F.col(f"__s{i}") for i in range(k)], "expected"))
         )
@@ -251,8 +317,6 @@ def predictive_check(
 
 def variance_inflation(df: DataFrame, predictors: Sequence[str]) -> DataFrame:
     """1 / (1 - R^2) of each predictor on the others, from one pass of correlations."""
-    import numpy as np
-
     p = list(predictors)
     rows = df
     for c in p:

@@ -11,9 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tallymix.functions.expressions import only_levels
+from tallymix.functions.sizing import written
 from tallymix.operators.share import count_by
 
 
+#: Most cells of a full grid, and columns of it in a block.
+MAX_CELLS = 1_000_000_000
+GRID_BLOCK = 10_000
+
+
 def contingency(df: DataFrame, rows: str, cols: str, col_levels: Sequence[str]) -> DataFrame:
     """Two-way table of counts, zero cells kept, missing values dropped.
 
@@ -48,14 +54,24 @@ def pearson_residuals(df: DataFrame, rows: str, cols: str, threshold: float = 2.
     )
 
 
-def residual_matrix(df: DataFrame, rows: str, cols: str) -> DataFrame:
-    """Pearson residuals over the full grid of rows and columns seen, zero cells included."""
+def residual_matrix(df: DataFrame, rows: str, cols: str, most: int = MAX_CELLS) -> DataFrame:
+    """Pearson residuals over the full grid of rows and columns seen, zero cells included.
+
+    More than ``most`` cells raise.
+    """
     cells = count_by(df.filter(F.col(rows).isNotNull() & F.col(cols).isNotNull()), [rows, cols], "o")
+    cells = written(cells, "cells")
     margins = cells.groupBy(rows).agg(F.sum("o").alias("__r"))
     col_margins = cells.groupBy(cols).agg(F.sum("o").alias("__c"))
-    all_cols = col_margins.agg(F.collect_list(F.struct(cols, "__c"))).scalar()
-    total = cells.agg(F.sum("o")).scalar()
-    grid = margins.select(rows, "__r", F.inline(all_cols))
+    n, m, total = cells.agg(F.count_distinct(rows), F.count_distinct(cols), F.sum("o")).first()
+    if n * m > most:
+        raise ValueError(f"{n} values of {rows} and {m} of {cols} make more than {most} cells")
+    # Rows are dealt to every block of columns: the full grid as an equi-join on the block.
+    blocks = -(-m // GRID_BLOCK) or 1
+    block = F.pmod(F.xxhash64(cols), F.lit(blocks)).cast("int").alias("__block")
+    dealt = margins.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
+    grid = dealt.join(col_margins.select("*", block), "__block").drop("__block")
+    total = F.lit(float(total or 0))
     observed = cells.select(rows, cols, "o")
     out = grid.join(observed, [rows, cols], "left").withColumn("observed", F.coalesce("o", F.lit(0)))
     expected = F.col("__r") * (F.col("__c") / total)

@@ -78,10 +78,13 @@ def linked(
     }
 
 
-def model(rows: DataFrame, cluster: str = "study_id", n_draws: int = 200) -> dict[str, DataFrame]:
-    """design ~ spending + effectiveness; the cluster is the study or the country."""
+def model(
+    rows: DataFrame, cluster: str | Sequence[str] = ("iso3c", "study_id"), n_draws: int = 200
+) -> dict[str, DataFrame]:
+    """design ~ spending + effectiveness; rows of a country, and of a study, move together."""
     names = ["rd_pc_scaled", "ge_scaled"]
-    rows = materialise(rows.select(*dict.fromkeys([cluster, "design", *names])))
+    clusters = [cluster] if isinstance(cluster, str) else list(cluster)
+    rows = materialise(rows.select(*dict.fromkeys([*clusters, "design", *names])))
     design = Design("design", S.DESIGN_LEVELS, names)
     cells = materialise(to_cells(rows, design))
     draws = materialise(bootstrap.multinomial_draws(rows, cluster, design, n_draws))

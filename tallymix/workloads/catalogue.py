@@ -684,6 +684,27 @@ def multinomial_draws_moments(spark, d):
     return moments(*temporal(spark, d), all_draws, {"year": 1998})
 
 
+NESTED = ["country", "study_id"]
+
+
+@query
+def bootstrap_cells_nested(spark, d):
+    """Rows of a country, and rows of a study, move together: the weights multiply."""
+    rows, design = temporal(spark, d)
+    return bootstrap.bootstrap_cells(rows, NESTED, [*design.covariates, design.category], DRAWS)
+
+
+@query
+def multinomial_draws_nested_moments(spark, d):
+    """Draws of the geographic model under both groupings, by their first-order conditions."""
+    rows, design = geographic(spark, d)
+
+    def draws_of(rows, design):
+        return bootstrap.bootstrap_cells(design.check(rows), ["iso3c", "study_id"], [*design.covariates, design.category], DRAWS)
+
+    return moments(rows, design, draws_of, {})
+
+
 @query
 def epred_draws_moments(spark, d):
     """Expected rows per draw, subfield and category: probabilities over the grid times the rows there."""
@@ -758,6 +779,19 @@ def predictive_check_saturated(spark, d):
     return tidy(predict.predictive_check(cells, draws, design, DRAWS))
 
 
+@query
+def predictive_check_replicated_saturated(spark, d):
+    """Bands that hold sampling noise: each cell's rows are drawn anew in every draw."""
+    cells, draws, design = fitted(spark, d, by_synopsis, prior_sd=None)
+    return tidy(predict.predictive_check(cells, draws, design, DRAWS, seed="check"))
+
+
+@query
+def predictive_check_replicated(spark, d):
+    cells, draws, design = fitted(spark, d)
+    return tidy(predict.predictive_check(cells, draws, design, DRAWS, ["synopsis"], seed="check"))
+
+
 @query
 def elpd_compare_saturated(spark, d):
     rows, by_group = by_synopsis(spark, d)
@@ -838,7 +872,7 @@ def coefficient_summary(spark, d):
 @query
 def predictive_check(spark, d):
     cells, draws, design = fitted(spark, d)
-    return tidy(predict.predictive_check(cells, draws, design, DRAWS, ["synopsis"]), 3)
+    return tidy(predict.predictive_check(cells, draws, design, DRAWS, ["synopsis"]))
 
 
 @query

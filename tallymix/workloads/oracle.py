@@ -13,6 +13,50 @@ def r(expr: str, digits: int = 6) -> str:
     return f"(round({expr}, {digits}) + 0.0)"
 
 
+def replication_views(levels: list[str]) -> dict[str, str]:
+    """Rows of a subfield drawn anew, category by category, by summing binomial probabilities."""
+    out = {
+        "boot_p": """
+        SELECT draw, synopsis, design, n / sum(n) OVER (PARTITION BY draw, synopsis) AS p FROM boot_syn""",
+        "rep_left_0": """
+        SELECT draw, synopsis, rows_seen AS n_left, 1.0::DOUBLE AS rest
+        FROM (SELECT DISTINCT draw, synopsis FROM boot_syn)
+        JOIN (SELECT synopsis, count(*) AS rows_seen FROM study GROUP BY ALL) USING (synopsis)""",
+    }
+    for i, level in enumerate(levels[:-1]):
+        out[f"rep_share_{i}"] = f"""
+        SELECT l.*, coalesce(p, 0) AS p, least(greatest(coalesce(p / rest, 0), 0), 1) AS s,
+               (CAST('0x' || substr(md5('check|' || l.draw || '|' || l.synopsis || '|{i}'), 1, 8) AS BIGINT) + 0.5)
+               / 4294967296.0 AS u
+        FROM rep_left_{i} l LEFT JOIN boot_p b
+          ON b.draw = l.draw AND b.synopsis = l.synopsis AND b.design = '{level}'"""
+        out[f"rep_sum_{i}"] = f"""
+        SELECT *, sum(exp(lgamma(n_left + 1) - lgamma(k + 1) - lgamma(n_left - k + 1) + k * ln(s)
+                          + (n_left - k) * ln(1 - s))) OVER (PARTITION BY draw, synopsis ORDER BY k) AS f
+        FROM (SELECT *, unnest(range(0, n_left + 1)) AS k FROM rep_share_{i} WHERE s > 0 AND s < 1)"""
+        out[f"rep_{i}"] = f"""
+        SELECT q.*, CASE WHEN s <= 0 THEN 0 WHEN s >= 1 THEN n_left ELSE y END AS y
+        FROM rep_share_{i} q LEFT JOIN
+             (SELECT draw, synopsis, min(k) AS y FROM rep_sum_{i} WHERE f >= u GROUP BY ALL) USING (draw, synopsis)"""
+        out[f"rep_left_{i + 1}"] = f"""
+        SELECT draw, synopsis, n_left - y AS n_left, rest - p AS rest FROM rep_{i}"""
+    each = [f"SELECT draw, '{level}' AS design, y FROM rep_{i}" for i, level in enumerate(levels[:-1])]
+    each.append(f"SELECT draw, '{levels[-1]}', n_left FROM rep_left_{len(levels) - 1}")
+    out["rep_counts"] = f"""
+        SELECT draw, design, CAST(sum(y) AS DOUBLE) AS expected FROM ({' UNION ALL '.join(each)}) GROUP BY ALL"""
+    return out
+
+
+def digits(key: str) -> str:
+    """Eight hexadecimal digits of a cluster and a draw, four draws to a hash."""
+    h = f"md5({key} || '|' || CAST((draw - 1) // 4 AS VARCHAR))"
+    return f"CAST('0x' || substr({h}, 8 * ((draw - 1) % 4) + 1, 8) AS BIGINT)"
+
+
+def poisson_sql(h: str) -> str:
+    return f"(CASE {' '.join(f'WHEN {h} < {e} THEN {k}' for k, e in enumerate(EDGES))} ELSE {len(EDGES)} END)"
+
+
 # Common table expressions, each with the names of those it reads.
 VIEWS: dict[str, str] = {
     "placed": """
@@ -156,6 +200,16 @@ VIEWS: dict[str, str] = {
                                         8 * ((draw - 1) % 4) + 1, 8) AS BIGINT) AS h
               FROM boot_base CROSS JOIN
               (SELECT CAST(unnest(range(1, {DRAWS + 1})) AS INTEGER) AS draw))""",
+    "boot_nested": f"""
+        SELECT b.*, draw, c * {poisson_sql(digits("'country|' || coalesce(country, '\\N')"))}
+                      * {poisson_sql(digits("'study_id|' || study_id"))} AS m
+        FROM (SELECT country, study_id, synopsis, year, design, count(*) AS c
+              FROM study WHERE year IS NOT NULL GROUP BY ALL) b CROSS JOIN
+             (SELECT CAST(unnest(range(1, {DRAWS + 1})) AS INTEGER) AS draw)""",
+    "boot_model": f"""
+        SELECT b.*, draw, {poisson_sql(digits("'iso3c|' || coalesce(iso3c, '\\N')"))}
+                      * {poisson_sql(digits("'study_id|' || study_id"))} AS m
+        FROM model b CROSS JOIN (SELECT CAST(unnest(range(1, {DRAWS + 1})) AS INTEGER) AS draw)""",
     "boot_syn": """
         SELECT draw, synopsis, design, sum(c * w) AS n FROM boot GROUP BY ALL""",
     "boot_logit": """
@@ -174,6 +228,7 @@ VIEWS: dict[str, str] = {
               FROM boot_syn)
         JOIN (SELECT synopsis, count(*) AS rows_seen FROM study GROUP BY ALL) USING (synopsis)
         GROUP BY ALL""",
+    **replication_views(["After", "BA", "CI", "BACI", "Rand.exp."]),
     "folds": f"""
         SELECT synopsis, design, CAST('0x' || substr(md5(CAST(study_id AS VARCHAR)), 1, 8) AS BIGINT)
                % {FOLDS} AS fold FROM study""",
@@ -530,6 +585,12 @@ QUERIES: dict[str, str] = {
                {r('quantile_cont(estimate, 0.025)')} AS conf_low,
                {r('quantile_cont(estimate, 0.975)')} AS conf_high
         FROM boot_terms GROUP BY category, term""",
+    "predictive_check_replicated_saturated": f"""
+        SELECT e.design, {r('point')} AS point, {r('lower')} AS lower, {r('upper')} AS upper,
+               0.95::DOUBLE AS width, 'median' AS point_type, 'qi' AS interval_type, observed
+        FROM (SELECT design, quantile_cont(expected, 0.5) AS point, quantile_cont(expected, 0.025) AS lower,
+                     quantile_cont(expected, 0.975) AS upper FROM rep_counts GROUP BY design) e
+        JOIN (SELECT design, count(*) AS observed FROM study GROUP BY design) o ON e.design = o.design""",
     "predictive_check_saturated": f"""
         SELECT e.design, {r('point')} AS point, {r('lower')} AS lower, {r('upper')} AS upper,
                0.95::DOUBLE AS width, 'median' AS point_type, 'qi' AS interval_type, observed
@@ -572,6 +633,13 @@ QUERIES: dict[str, str] = {
     "multinomial_draws_moments": moment_sql(
         "(SELECT draw, design, synopsis, year, c * w AS w FROM boot WHERE year IS NOT NULL)", TEMPORAL_TERMS
     ),
+    "bootstrap_cells_nested": """
+        SELECT draw, year, synopsis, design, CAST(sum(m) AS BIGINT) AS n FROM boot_nested
+        GROUP BY ALL HAVING sum(m) > 0""",
+    "multinomial_draws_nested_moments": moment_sql(
+        "(SELECT draw, design, rd_pc_scaled, ge_scaled, m AS w FROM boot_model)",
+        {"(Intercept)": "1", "rd_pc_scaled": "rd_pc_scaled", "ge_scaled": "ge_scaled"},
+    ),
     "epred_draws_moments": f"""
         SELECT draw, design, {r('CAST(sum(c * w) AS DOUBLE)')} AS expected
         FROM boot WHERE year IS NOT NULL GROUP BY ALL""",

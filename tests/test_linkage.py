@@ -162,3 +162,13 @@ def test_group_against_grand_mean(spark):
             "high": "Higher than average", "low": "Lower than average", "mid": "Not significant",
         }
         assert {r["g"]: r["is_significant"] for r in out} == {"high": True, "low": True, "mid": False}
+
+
+@pytest.mark.parametrize("block", [1, 10_000])
+def test_the_full_grid_is_bounded(spark, monkeypatch, block):
+    monkeypatch.setattr(association, "GRID_BLOCK", block)
+    df = cells(spark, {("p", "x"): 5, ("p", "y"): 7, ("q", "x"): 9, ("r", "z"): 3})
+    assert association.residual_matrix(df, "a", "b").count() == 9
+    assert association.residual_matrix(df.filter("false"), "a", "b").count() == 0
+    with pytest.raises(ValueError, match="more than 8 cells"):
+        association.residual_matrix(df, "a", "b", most=8)

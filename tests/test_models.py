@@ -304,3 +304,72 @@ def test_models_come_best_first(spark, data):
     rows = compare.elpd_compare(data, "study", models, 3).collect()
     assert [r["model"] for r in rows] == ["full", "same", "none"]
     assert rows[0]["elpd_diff"] == 0.0 and rows[1]["se_diff"] == 0.0 and rows[2]["elpd_diff"] < 0 < rows[2]["se_diff"]
+
+
+def test_weights_of_two_clusters_multiply(spark, data):
+    """A row's weight is the product of the weights its country and its study have alone."""
+    rows = data.withColumn("place", F.col("study") % 7)
+    keys = ["place", "study"]
+    both = {(r["draw"], r["place"], r["study"]): r["n"] for r in bootstrap.bootstrap_cells(rows, ["place", "study"], keys, 6).collect()}
+    count = {(r["place"], r["study"]): r["n"] for r in rows.groupBy(*keys).agg(F.count("*").alias("n")).collect()}
+    one = lambda c: F.concat(F.lit(c + "|"), F.col(c).cast("string"))
+    draws = spark.range(1, 7).select(F.col("id").cast("int").alias("draw"))
+    block = F.floor((F.col("draw") - 1) / 4).cast("int")
+
+    def weight(c):
+        h = F.md5(F.concat(one(c), F.lit("|"), block.cast("string")))
+        return bootstrap.poisson_weight(F.substr(h, (8 * ((F.col("draw") - 1) % 4) + 1).cast("int"), F.lit(8)))
+
+    alone = rows.select(*keys).distinct().crossJoin(draws).select("draw", *keys, (weight("place") * weight("study")).alias("w"))
+    want = {(r["draw"], r["place"], r["study"]): r["w"] * count[r["place"], r["study"]] for r in alone.collect()}
+    assert both == {k: v for k, v in want.items() if v}
+    assert any(r > 2 for r in want.values())
+
+
+def binomial_by_sums(n, p, u):
+    total = 0.0
+    for k in range(n + 1):
+        total += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if total >= u:
+            return k
+    return n
+
+
+def test_binomial_quantiles(spark):
+    rng = np.random.default_rng(0)
+    cases = [(int(n), float(p), float(u)) for n in (0, 1, 2, 17, 400) for p in (0.0, 1e-6, 0.03, 0.5, 0.97, 1.0) for u in rng.random(6)]
+    df = spark.createDataFrame(cases, "n bigint, p double, u double").withColumn("k", predict.binomial_quantile("n", "p", "u"))
+    assert [r["k"] for r in df.collect()] == [0 if p <= 0 else n if p >= 1 else binomial_by_sums(n, p, u) for n, p, u in cases]
+    big = spark.range(4000).select(F.lit(10**9).cast("long").alias("n"), F.lit(0.25).alias("p"), ((F.col("id") + 0.5) / 4000).alias("u"))
+    z = np.array([r[0] for r in big.select((predict.binomial_quantile("n", "p", "u") - 0.25e9) / math.sqrt(10**9 * 0.1875)).collect()])
+    assert abs(z.mean()) < 0.01 and abs(z.std() - 1) < 0.01 and (np.diff(z) >= 0).all()
+
+
+def test_replicated_cells_keep_their_rows_and_widen_the_bands(spark, data):
+    cells = to_cells(data, FULL)
+    draws = fit.fit_groups(cells.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(60)))), "draw", 60, FULL)
+    weights = cells.groupBy("year", "g").agg(F.sum("n").alias("__n"))
+    new = predict.replicated(predict.over_draws(weights, draws, FULL, 60), FULL, ["year", "g"], "__n", "a").collect()
+    assert all(r["__y0"] + r["__y1"] + r["__y2"] == r["__n"] and min(r["__y0"], r["__y1"], r["__y2"]) >= 0 for r in new)
+    mean = np.mean([r["__y0"] - r["__n"] * r["__p0"] for r in new])
+    assert abs(mean) < 1.0
+    # All draws are the same fit here: expected counts have no spread, drawn ones do.
+    still = predict.predictive_check(cells, draws, FULL, 60).collect()
+    drawn = predict.predictive_check(cells, draws, FULL, 60, seed="a").collect()
+    assert all(r["upper"] - r["lower"] < 1e-6 for r in still)
+    for r in drawn:
+        spread = math.sqrt(r["observed"] * (1 - r["observed"] / 6000))
+        assert 2.0 * spread < r["upper"] - r["lower"] < 6.0 * spread
+    again = predict.predictive_check(cells, draws, FULL, 60, seed="a").collect()
+    assert sorted(map(str, again)) == sorted(map(str, drawn))
+
+
+@pytest.mark.parametrize("block", [1, 3, 10_000])
+def test_grids_are_whole_and_bounded(spark, monkeypatch, block):
+    monkeypatch.setattr(predict, "GRID_BLOCK", block)
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "b"), (2, None), (4, "c")], "x int, s string")
+    got = {tuple(r) for r in predict.covariate_grid(df, "x", "s").collect()}
+    assert got == {(x, s) for x in (1, 2, None, 4) for s in ("a", "b", "c", None)}
+    assert predict.covariate_grid(df.filter("false"), "x", "s").count() == 0
+    with pytest.raises(ValueError, match="more than 15 rows"):
+        predict.covariate_grid(df, "x", "s", most=15)
