@@ -3,15 +3,79 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from math import ceil
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tallymix.functions.expressions import lookup
-from tallymix.functions.sizing import null_safe_join, small_side
+from tallymix.functions.sizing import null_safe_join, written
 
-PATTERNS_PER_BLOCK = 1_000
+#: Letters of a required literal that a name and a pattern are joined on.
+GRAM = 3
+#: Most patterns without such a literal: each of them is tried on every name.
+MAX_LOOSE = 1_000
+#: Upper and lower case of the letters that literals are made of.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def required_literals(pattern: str) -> list[list[str]] | None:
+    """Per alternative of a pattern, runs of plain letters that every match holds, lower-cased.
+
+    Cautious: whatever is not plainly required ends a run, and a pattern that is not
+    understood has None.
+    """
+    done, runs, run, i, depth = [], [], "", 0, 0
+    while i < len(pattern):
+        c, i = pattern[i], i + 1
+        if c == "\\":
+            if i == len(pattern) or pattern[i] in "QE":
+                return None
+            c, i = (pattern[i] if not pattern[i].isalnum() else ""), i + 1
+            plain = False  # an escaped mark is left out of runs
+        elif c == "(":
+            if pattern[i : i + 1] == "?" and not pattern.startswith("(?i)", i - 1):
+                return None
+            depth, plain = depth + 1, False
+        elif c == ")":
+            depth, plain = depth - 1, False
+        elif c == "[":
+            end = pattern.find("]", i + 1 + (pattern[i : i + 1] == "^"))
+            if end < 0 or "[" in pattern[i:end] or "\\" in pattern[i:end]:
+                return None
+            i, plain = end + 1, False
+        elif c == "|" and depth == 0:
+            done.append([*runs, run])
+            runs, run = [], ""
+            continue
+        else:
+            plain = depth == 0 and c.isascii() and (c.isalnum() or c == " ")
+        if i < len(pattern) and pattern[i] in "?*{":
+            plain = False  # what comes before may be absent
+            if pattern[i] == "{":
+                i = pattern.find("}", i) + 1
+                if not i:
+                    return None
+        if plain:
+            run += c.lower()
+        else:
+            runs, run = [*runs, run], ""
+    return [*done, [*runs, run]] if depth == 0 else None
+
+
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def literal_grams(pattern: pd.Series) -> pd.Series:
+    """Per alternative, the grams of its required literals; NULL if an alternative has none."""
+
+    def grams(text):
+        parts = required_literals(text)
+        if parts is None:
+            return None
+        each = [sorted({r[i : i + GRAM] for r in runs for i in range(len(r) - GRAM + 1)}) for runs in parts]
+        return each if all(each) else None
+
+    return pattern.map(grams)
 
 
 def match_names(
@@ -19,25 +83,46 @@ def match_names(
 ) -> DataFrame:
     """Code of each name: the matching pattern of lowest priority, else the override.
 
-    The crosswalk (pattern, code, priority) is read as arrays of a bounded number of
-    patterns, and each name is tested inside its own row, so no (name, pattern) pairs
-    are made. A larger crosswalk becomes more arrays.
+    The crosswalk (pattern, code, priority) is an index. A pattern that spells one whole
+    name is joined on that name. Any other is joined on a run of ``GRAM`` letters that all
+    its matches hold, the one fewest names have, and only names with that run are tried.
+    The few patterns without such a run are tried on every name, at most ``MAX_LOOSE``.
     """
-    blocks = max(1, ceil(crosswalk.count() / PATTERNS_PER_BLOCK))
-    slots = [f"__patterns_{b}" for b in range(blocks)]
-    for b, slot in enumerate(slots):
-        part = crosswalk.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b)
-        names = names.withColumn(
-            slot, part.agg(F.collect_list(F.struct("priority", code, "pattern"))).scalar()
-        )
-    best = [
-        F.array_min(F.filter(slot, lambda p: F.rlike(F.col(name), p["pattern"]))) for slot in slots
-    ]
-    first = best[0] if blocks == 1 else F.array_min(F.array_compact(F.array(*best)))
-    found = names.withColumn("__hit", first)
-    return found.withColumn(
-        code, F.coalesce(F.col(f"__hit.{code}"), lookup(F.col(name), overrides))
-    ).drop("__hit", *slots)
+    names = written(names.select(F.col(name).alias("__name")), "names")
+    cross = crosswalk.select("pattern", F.col(code).alias("__code"), "priority")
+    exact = F.regexp_extract("pattern", r"^\^([A-Za-z0-9 _,'-]+)\$$", 1)
+    cross = cross.withColumns({"__exact": exact, "__grams": literal_grams("pattern")})
+    cross = written(cross.withColumn("__id", F.monotonically_increasing_id()), "patterns")
+
+    # The end of a pattern also matches before one last line end.
+    key = F.regexp_replace("__name", "(\r\n|[\n\r\u0085\u2028\u2029])$", "")
+    whole = names.withColumn("__exact", key).join(cross.filter("__exact <> ''"), "__exact")
+
+    starts = F.sequence(F.lit(1), F.length("__name") - (GRAM - 1))
+    cut = F.transform(starts, lambda i: F.translate(F.substr("__name", i, F.lit(GRAM)), UPPER, LOWER))
+    held = names.filter(F.length("__name") >= GRAM).select("__name", F.explode(F.array_distinct(cut)).alias("__gram"))
+    wanted = cross.filter("__exact = '' and __grams is not null").select("__id", F.posexplode("__grams").alias("__part", "__any"))
+    wanted = wanted.select("__id", "__part", F.explode("__any").alias("__gram"))
+    counts = held.join(wanted.select("__gram").distinct(), "__gram", "left_semi").groupBy("__gram").count()
+    # A gram no name has rules its alternative out; the join drops it.
+    rarest = wanted.join(counts, "__gram", "left").groupBy("__id", "__part")
+    rarest = rarest.agg(F.min_by("__gram", F.coalesce("count", F.lit(0))).alias("__gram"))
+    some = held.join(rarest, "__gram").select("__name", "__id").distinct().join(cross, "__id")
+
+    loose = cross.filter("__exact = '' and __grams is null")
+    n = loose.count()
+    if n > MAX_LOOSE:
+        raise ValueError(f"{n} patterns have no {GRAM} letters that all their matches hold; at most {MAX_LOOSE} may")
+    tried = some.select("__name", "pattern", "__code", "priority")
+    if n:
+        every = names.withColumn("__one", F.lit(1)).join(loose.withColumn("__one", F.lit(1)), "__one")
+        tried = tried.unionByName(every.select("__name", "pattern", "__code", "priority"))
+    hits = tried.filter(F.rlike("__name", F.col("pattern"))).unionByName(whole.select("__name", "pattern", "__code", "priority"))
+    best = hits.groupBy("__name").agg(F.min(F.struct("priority", "__code", "pattern"))["__code"].alias("__hit"))
+    found = null_safe_join(names, best, ["__name"], "left")
+    return found.select(
+        F.col("__name").alias(name), F.coalesce("__hit", lookup(F.col("__name"), overrides)).alias(code)
+    )
 
 
 def standardise_names(
@@ -49,7 +134,7 @@ def standardise_names(
 ) -> DataFrame:
     """Add a standard code to each row; patterns run on the distinct names only."""
     names = match_names(df.select(name).distinct(), name, crosswalk, overrides, code)
-    return null_safe_join(df, small_side(names), [name], "left")
+    return null_safe_join(df, names, [name], "left")
 
 
 def join_indicators(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:

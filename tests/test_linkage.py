@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,9 +48,7 @@ def test_skewed_key_joins_the_same_with_and_without_broadcast(spark, max_rows):
     assert out.filter("w = 1").count() == 1000
 
 
-@pytest.mark.parametrize("per_block", [1000, 1])
-def test_names_by_priority_then_override(spark, rows, monkeypatch, per_block):
-    monkeypatch.setattr(linkage, "PATTERNS_PER_BLOCK", per_block)
+def test_names_by_priority_then_override(spark, rows):
     df = spark.createDataFrame(
         [("United Kingdom",), ("UK",), ("Czech Republic",), ("Atlantis",), ("NA",), (None,), ("UK",)],
         "country string",
@@ -172,3 +171,40 @@ def test_the_full_grid_is_bounded(spark, monkeypatch, block):
     assert association.residual_matrix(df.filter("false"), "a", "b").count() == 0
     with pytest.raises(ValueError, match="more than 8 cells"):
         association.residual_matrix(df, "a", "b", most=8)
+
+
+def test_required_literals():
+    of = linkage.required_literals
+    has = lambda p: [{r for r in runs if r} for runs in of(p)]
+    assert has("(?i)^united.?kingdom$") == [{"united", "kingdom"}]
+    assert has("ab|cd(e|f)gh") == [{"ab"}, {"cd", "gh"}]
+    assert has("colou?rs*x+y{0,2}z") == [{"colo", "r", "x", "z"}]
+    assert has("a[bc]d\\.e\\w") == [{"a", "d", "e"}]
+    assert of("(?<!x)abc") is None and of("(abc") is None and of("\\Qa\\E") is None and of("[a") is None
+
+
+def test_matches_are_those_of_trying_every_pattern(spark):
+    rng = np.random.default_rng(3)
+    syllables = ["land", "Ko", "re", "stan", "GUI", "nea", " of ", "is", "St.", "é", "-", "an"]
+    word = lambda: "".join(rng.choice(syllables, rng.integers(1, 5)))
+    names = sorted({word() for _ in range(250)} | {"", "UK", "UK\n", "ab", "United Kingdom"})
+    marks = ["^{}$", "(?i){}", "{}", "^{}", "{}.*x?", "(?i)^(the )?{}$", "{}|zzz", "[Kk]o.{{0,3}}{}", "\\b{}", "{}+", "(?!x){}"]
+    patterns = [(rng.choice(marks).format(word().replace(".", "\\.")), f"c{i}", int(rng.integers(0, 9))) for i in range(120)]
+    patterns += [("^UK$", "GBR", 0), ("^..$", "TWO", 5), ("(?i)KINGDOM", "GBR", 1)]
+    df = spark.createDataFrame([(n,) for n in names] + [(None,)], "country string")
+    cross = spark.createDataFrame(patterns, "pattern string, iso3c string, priority int")
+    got = {r["country"]: r["iso3c"] for r in linkage.match_names(df, "country", cross, {"ab": "OVR", "": "OVR"}, "iso3c").collect()}
+    pairs = df.crossJoin(cross).filter(F.rlike("country", F.col("pattern")))
+    best = pairs.groupBy("country").agg(F.min(F.struct("priority", "iso3c", "pattern"))["iso3c"].alias("iso3c"))
+    want = {r["country"]: r["iso3c"] for r in best.collect()}
+    over = {"ab": "OVR", "": "OVR"}
+    assert got == {n: want.get(n, over.get(n)) for n in [*names, None]}
+    assert len(set(want)) > 100
+
+
+def test_too_many_loose_patterns_raise(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "MAX_LOOSE", 1)
+    df = spark.createDataFrame([("x",)], "country string")
+    cross = spark.createDataFrame([(".x", "A", 1), ("y.", "B", 2)], "pattern string, iso3c string, priority int")
+    with pytest.raises(ValueError, match="2 patterns have no 3 letters"):
+        linkage.match_names(df, "country", cross, {}, "iso3c")
