@@ -51,6 +51,8 @@ GROUPS = 128
 FINE = 512
 #: What the largest byte stands for: any count from 255 on, so that bounds stay bounds.
 MANY = 1 << 20
+#: Characters of texts hashed together, and pairs of points looked at together.
+SLICE, PAIRS = 1 << 19, 1 << 15
 #: Points of a posting list in a block; longer lists are joined block by block.
 BLOCK = 2_000
 FANOUT = 16
@@ -72,7 +74,7 @@ def set_hash(s: np.ndarray) -> int:
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     texts = batch.column("text").to_pylist()
-    for a, b in slices(texts):
+    for a, b in slices(texts, SLICE):
         for i, s in enumerate(shingles(Words(texts[a:b]), WIDTH), a):
             yield i, s
 
@@ -251,11 +253,21 @@ def tree_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.bincount(block)
         small = (size <= FANOUT)[block] & (i == j)
         at = np.flatnonzero(small)
-        found = []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+        def keep_likely(a: np.ndarray, b: np.ndarray) -> None:
+            """Pairs that no earlier list gives and whose finer counts allow for a link."""
+            for i in range(0, len(a), PAIRS):
+                x, y = a[i : i + PAIRS], b[i : i + PAIRS]
+                new = ~met_before(key[x], firsts[x], firsts[y])
+                x, y = x[new], y[new]
+                near = may_link(lambda k: fine[x[k]], lambda k: fine[y[k]], n[x], n[y])
+                found.append((x[near], y[near]))
+
         if len(at):
             numbered = np.unique(block[at], return_inverse=True)[1]
             a, b = small_joins(counts[at], n[at], comp[at], numbered)
-            found.append((at[a], at[b]))
+            keep_likely(at[a], at[b])
         start = np.cumsum(size) - size
         for k in np.unique(block[~small]).tolist():
             own = np.arange(start[k], start[k] + size[k])
@@ -264,12 +276,9 @@ def tree_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             one = Tree(counts[left], n[left], comp[left])
             two = one if i[own[0]] == j[own[0]] else Tree(counts[right], n[right], comp[right])
-            found += [(left[a], right[b]) for a, b in one.join(two)]
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, int) for k in (0, 1))
-        keep = ~met_before(key[a], firsts[a], firsts[b])
-        a, b = a[keep], b[keep]
-        keep = may_link(lambda k: fine[a[k]], lambda k: fine[b[k]], n[a], n[b])
-        a, b = a[keep], b[keep]
+            for a, b in one.join(two):
+                keep_likely(left[a], right[b])
+        a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         pairs = np.stack([np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])], axis=1)
         pairs = np.unique(pairs, axis=0) if len(pairs) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -332,9 +341,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     routed = docs.select("text").mapInArrow(routing_rows, "shingle bigint, class bigint, n bigint")
 
     # Routing shingles that at least two classes have, then the classes with enough of them.
-    # Half a class's hash tells two classes apart well enough to see that there are two.
-    half = routed.select("shingle", (F.shiftright("class", 32)).cast("int").alias("half"))
-    shared = half.groupBy("shingle").agg(F.min("half").alias("x"), F.max("half").alias("y"))
+    shared = routed.groupBy("shingle").agg(F.min("class").alias("x"), F.max("class").alias("y"))
     shared = shared.filter("x <> y").select("shingle")
     posted = routed.join(shared, "shingle").groupBy("class", "shingle").agg(F.first("n").alias("n"))
     posted = stored(posted, "posted")
