@@ -48,16 +48,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, repeated rows included.
 
-    Rows are told apart by a number of their own, as ``doc_id`` may be null or repeated.
+    Rows are told apart by ``doc_id`` where it is a key; where it is null or repeated, by a
+    number of their own, for which the rows are stored once more.
     """
 
     def keep(rows: DataFrame) -> DataFrame:
-        rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+        unclear = rows.groupBy("doc_id").count().filter("doc_id is null or count > 1")
+        if unclear.isEmpty():
+            rows = rows.withColumn("__row", F.col("doc_id"))
+        else:
+            rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered")
         groups = jaccard.near_copies(rows.select(F.col("__row").alias("doc_id"), "text"))
         first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__row"))
         return rows.join(first, "__row", "left_semi")
 
-    return set_aside(docs, ["text"], keep)
+    return set_aside(docs, ["doc_id", "text"], keep)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
