@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymix.functions.expressions import literals, only_levels
-from tallymix.functions.sizing import materialise
+from tallymix.functions.sizing import materialise, null_safe_join, written
 from tallymix.operators.share import count_by
 
 
@@ -114,18 +114,36 @@ def cumulative_distinct(
             *[F.count_if(F.col("__kind") == out).alias(out) for out in values]
         )
     )
-    steps = news.agg(F.sort_array(F.collect_set(order))).scalar()
     known = news.filter(F.col(category).isNotNull())
-    start = known.groupBy(category).agg(F.min(order).alias("__start")).withColumn("__steps", steps)
-    empty = start.select(
-        category,
-        F.explode(F.filter("__steps", lambda s: s >= F.col("__start"))).alias(order),
-        *[F.lit(0).cast("long").alias(out) for out in values],
-    )
-    full = (
-        known.unionByName(empty).groupBy(category, order).agg(*[F.sum(o).alias(o) for o in values])
-    )
-    return full.withColumns({o: running_total(o, [category], order) for o in values})
+    # The steps lie in ranges of their order. A category is dealt to the ranges from its own
+    # first step on, and meets the steps of a range by a join on its number.
+    steps = news.select(order).distinct().repartitionByRange(F.col(order))
+    steps = written(steps.withColumn("__part", F.spark_partition_id()), "steps")
+    last = steps.agg(F.max("__part")).first()[0] or 0
+    known = known.join(steps, order)
+    first = F.min(F.struct(order, "__part")).alias("__first")
+    dealt = known.groupBy(category).agg(first)
+    to_end = F.explode(F.sequence(F.col("__first.__part"), F.lit(last))).alias("__part")
+    empty = dealt.select(category, F.col(f"__first.{order}").alias("__start"), to_end).join(steps, "__part")
+    empty = empty.filter(F.col(order) >= F.col("__start"))
+    empty = empty.select(category, "__part", order, *[F.lit(0).cast("long").alias(out) for out in values])
+    full = known.select(*empty.columns).unionByName(empty)
+    full = written(full.groupBy(category, "__part", order).agg(*[F.sum(o).alias(o) for o in values]), "step-counts")
+    return prefix_sums(full, list(values), category, order, "__part")
+
+
+def prefix_sums(df: DataFrame, columns: Sequence[str], by: str, order: str, part: str) -> DataFrame:
+    """Running sums of columns per ``by``, in the order of the ranges ``part`` and within them.
+
+    A window holds the steps of one range, another the ranges of one ``by``: neither holds
+    all steps. NULLs of ``order`` come last.
+    """
+    earlier = Window.partitionBy(by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(by, part).agg(*[F.sum(c).alias(c) for c in columns])
+    totals = totals.select(by, part, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"__before_{c}") for c in columns])
+    within = df.withColumns({c: running_total(c, [by, part], order) for c in columns})
+    both = null_safe_join(within, totals, [by, part])
+    return both.select(by, order, *[(F.col(c) + F.col(f"__before_{c}")).alias(c) for c in columns])
 
 
 def cumulative_max(curves: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -221,3 +221,29 @@ def test_cumulative_distinct_against_brute_force(spark, rows):
     assert rows(out) == sorted(want)
     final = cumulative.cumulative_max(out, ["n_country", "n_continent"])
     assert rows(final) == [(2, 2)]
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_running_distinct_counts_of_many_steps(spark, parts):
+    """Thousands of steps in several ranges, against sets that grow row by row."""
+    rng = np.random.default_rng(6)
+    rows = [(str(rng.choice(list("abc"))), int(t), None if rng.random() < 0.05 else int(rng.integers(0, 400))) for t in rng.integers(0, 3000, 4000)]
+    rows += [(None, 5, 1), ("a", None, 2), ("late", 2999, 3)]
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "c string, t int, v int")
+        got = {(r["c"], r["t"]): r["n"] for r in cumulative.cumulative_distinct(df, "c", "t", {"n": "v"}).collect()}
+        assert cumulative.cumulative_distinct(df.filter("false"), "c", "t", {"n": "v"}).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    steps, want = sorted({t for c, t, _ in rows if t is not None}), {}
+    for c in ("a", "b", "c", "late"):
+        seen = set()
+        for t in steps:
+            seen |= {v for x, y, v in rows if x == c and y == t}
+            if seen:
+                want[c, t] = len(seen)
+    assert got == want
