@@ -68,6 +68,14 @@ def no_negative_zero(column: Column) -> Column:
     return column + F.lit(0.0)
 
 
+def is_listed(column: str, levels: Sequence[str]) -> Column:
+    """Whether the column is one of the levels: false for NULL, raising for any other value."""
+    c = F.col(column)
+    text = F.concat(F.lit(f"{column} outside the given levels: "), c.cast("string"))
+    other = F.raise_error(text).cast("boolean")
+    return F.when(c.isNull(), F.lit(False)).when(c.isin(list(levels)), F.lit(True)).otherwise(other)
+
+
 def only_levels(column: str, levels: Sequence[str]) -> Column:
     """The column, raising on a value outside the list. NULL is not outside."""
     c = F.col(column)

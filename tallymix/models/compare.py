@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymix.functions.sizing import null_safe_join, written
 from tallymix.models.design import Design
-from tallymix.models.fit import PRIOR_SD, fit_groups
+from tallymix.models.fit import PRIOR_SD, fit_groups, multinomial_fit
 from tallymix.models.predict import by_category, over_draws, probabilities
 
 
@@ -72,7 +74,11 @@ def elpd_compare(
         keys = ["fold", *design.covariates, design.category]
         scores = held_out_scores(cells, design, folds, f"__{name}", prior_sd)
         scored = null_safe_join(scored, scores, keys)
-    w = F.col("n")
+    return ranked(scored, list(models), F.col("n"))
+
+
+def ranked(scored: DataFrame, models: list[str], w: Column) -> DataFrame:
+    """Models by the sum of their scores ``__<model>``, each row standing for ``w`` of them."""
     # All that is compared are sums over the cells: one evaluation, one row.
     pairs = [(a, b) for a in models for b in models]
     sums = scored.agg(
@@ -89,5 +95,108 @@ def elpd_compare(
         spread = max(q - d * d / total, 0.0) if total else None
         out.append((m, sums[f"e_{m}"], d, math.sqrt(total * spread / (total - 1)) if total > 1 else None))
     out.sort(key=lambda r: (-(r[1] or 0.0), r[0]))
-    frame = df.sparkSession.createDataFrame(out, "model string, elpd double, elpd_diff double, se_diff double")
+    frame = scored.sparkSession.createDataFrame(out, "model string, elpd double, elpd_diff double, se_diff double")
     return frame.coalesce(1)
+
+
+class Local:
+    """A design's likelihood near its optimum: residual sums and curvature of some cells.
+
+    Parameters are the contrasts, category by category; numeric terms are taken about
+    ``centre``, at which the intercepts in ``beta`` hold.
+    """
+
+    def __init__(self, design: Design, beta: np.ndarray, centre: np.ndarray, prior_sd: float | None):
+        self.design, self.beta, self.centre = design, beta, centre
+        k, p = len(design.levels) - 1, len(design.terms)
+        free = np.eye(p)
+        free[0, 0] = 0.0
+        # The ridge acts on symmetric slopes: contrasts less their share of the mean.
+        self.ridge = np.kron(np.eye(k) - 1.0 / (k + 1), free) * (0.0 if prior_sd is None else prior_sd**-2.0)
+
+    def counts(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """(model matrix, counts per category) of cells with columns __n0, __n1, .."""
+        x = self.design.matrix(pdf)
+        x[:, 1 : len(self.centre) + 1] -= self.centre
+        return x, pdf[[f"__n{i}" for i in range(len(self.design.levels))]].to_numpy(dtype=float)
+
+    def log_probabilities(self, x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+        eta = np.column_stack([np.zeros(len(x)), x @ beta.T])
+        eta -= eta.max(axis=1, keepdims=True)
+        return eta - np.log(np.exp(eta).sum(axis=1, keepdims=True))
+
+    def sums(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(gradient, curvature) of the log likelihood of these cells."""
+        p = np.exp(self.log_probabilities(x, self.beta))[:, 1:]
+        w, k, t = y.sum(axis=1), self.beta.shape[0], self.beta.shape[1]
+        gradient = ((y[:, 1:] - w[:, None] * p).T @ x).ravel()
+        curvature = np.zeros((k, t, k, t))
+        for a in range(k):
+            for b in range(k):
+                curvature[a, :, b, :] = (x * (w * p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ x
+        return gradient, curvature.reshape(k * t, k * t)
+
+    def left_out(self, x: np.ndarray, y: np.ndarray, whole: np.ndarray) -> float:
+        """Log score of cells under the fit without them, by one Newton step from the full fit."""
+        gradient, own = self.sums(x, y)
+        step = np.linalg.solve(whole + self.ridge - own, gradient)
+        return float((y * self.log_probabilities(x, self.beta - step.reshape(self.beta.shape))).sum())
+
+
+def by_level(cells: DataFrame, keys: list[str], design: Design) -> DataFrame:
+    """One row per (keys, covariates) with the count of each category."""
+    counts = [F.sum(F.when(F.col(design.category) == v, F.col("n")).otherwise(0)).alias(f"__n{i}") for i, v in enumerate(design.levels)]
+    return cells.groupBy(*keys, *design.covariates).agg(*counts)
+
+
+def study_scores(cells: DataFrame, study: str, design: Design, prior_sd: float | None, name: str) -> DataFrame:
+    """(study, rows, score): held-out log score of each study under the fit without it.
+
+    One fit. Its curvature is summed by Spark over the cells; a task then takes a study's
+    own sums off and makes one Newton step, which is near the refit where no study rules the
+    fit. A study is as many cells as it has covariate values, however many rows.
+    """
+    fits = multinomial_fit(cells.groupBy(*design.covariates, design.category).agg(F.sum("n").alias("n")), design, prior_sd=prior_sd)
+    got = {(r["category"], r["term"]): r["estimate"] for r in fits.collect()}  # categories x terms
+    beta = np.array([[got[c, t] for t in design.terms] for c in design.levels[1:]])
+    means = cells.agg(F.sum("n"), *[F.sum(F.col("n") * F.col(c).cast("double")) for c in design.numeric]).first()
+    centre = np.array([v / means[0] for v in means[1:]])
+    beta[:, 0] += beta[:, 1 : len(centre) + 1] @ centre
+    near, size = Local(design, beta, centre, prior_sd), beta.size
+
+    def curvatures(batches):
+        total = np.zeros((size, size))
+        for pdf in batches:
+            total += near.sums(*near.counts(pdf))[1]
+        yield pd.DataFrame({"i": np.arange(size), "v": list(total)})
+
+    rows = by_level(cells, [], design).mapInPandas(curvatures, "i int, v array<double>")
+    rows = rows.select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    whole = np.zeros((size, size))
+    for r in rows.collect():  # parameters x parameters
+        whole[r["i"], r["j"]] = r["v"]
+
+    def scored(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = near.counts(pdf)
+        return pd.DataFrame({"__study": pdf["__study"].iloc[:1], "__rows": int(y.sum()), name: near.left_out(x, y, whole)})
+
+    own = by_level(cells, [study], design).withColumn("__study", F.col(study).cast("string"))
+    return own.groupBy("__study").applyInPandas(scored, f"__study string, __rows bigint, {name} double")
+
+
+def elpd_loo(df: DataFrame, study: str, models: dict[str, Design], prior_sd: float | None = PRIOR_SD) -> DataFrame:
+    """Models by approximate leave-one-study-out log score, best first.
+
+    ``se_diff`` is that of a sum over studies: sqrt(S var(d)).
+    """
+    designs = list(models.values())
+    for m in designs:
+        df = m.check(df)
+    covariates = list(dict.fromkeys(c for m in designs for c in m.covariates))
+    cells = df.groupBy(study, *covariates, designs[0].category).agg(F.count("*").alias("n"))
+    cells = written(cells, "study-cells")
+    every = None
+    for name, design in models.items():
+        scores = study_scores(cells, study, design, prior_sd, f"__{name}")
+        every = scores if every is None else null_safe_join(every, scores.drop("__rows"), ["__study"])
+    return ranked(written(every, "study-scores"), list(models), F.lit(1))

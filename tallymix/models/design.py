@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymix.functions.expressions import only_levels
+from tallymix.functions.expressions import is_listed
 
 INTERCEPT = "(Intercept)"
 
@@ -38,10 +38,10 @@ class Design:
 
         A category or factor level outside the lists raises, naming it.
         """
-        for c, vs in {self.category: self.levels, **self.factors}.items():
-            df = df.withColumn(c, only_levels(c, vs))
-        for c in (self.category, *self.covariates):
+        for c in self.numeric:
             df = df.filter(F.col(c).isNotNull())
+        for c, vs in {self.category: self.levels, **self.factors}.items():
+            df = df.filter(is_listed(c, vs))
         return df
 
     def matrix(self, pdf: pd.DataFrame) -> np.ndarray:

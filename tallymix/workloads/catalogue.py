@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tallymix import schema as S
 from tallymix.functions.sizing import materialise, written
-from tallymix.models import bootstrap, compare, fit, predict, splines
+from tallymix.models import bootstrap, compare, estimator, fit, predict, splines
 from tallymix.models.design import Design, to_cells
 from tallymix.operators import (
     association,
@@ -799,6 +799,23 @@ def elpd_compare_saturated(spark, d):
     return tidy(compare.elpd_compare(materialise(rows), "study_id", models, FOLDS, prior_sd=None))
 
 
+@query
+def elpd_loo_saturated(spark, d):
+    """Left-out studies by one Newton step, in models whose step can be written in SQL."""
+    rows, by_group = by_synopsis(spark, d)
+    models = {"by_group": by_group, "overall": Design("design", LEVELS)}
+    return tidy(compare.elpd_loo(rows, "study_id", models, prior_sd=None))
+
+
+@query
+def elpd_loo(spark, d):
+    """Linear against curved in the year."""
+    rows, linear = temporal(spark, d)
+    rows = splines.spline_features(materialise(rows), "year", "year_spline")
+    curved = Design("design", LEVELS, ["year", "year_spline"], {"synopsis": V.SYNOPSES})
+    return tidy(compare.elpd_loo(rows, "study_id", {"linear": linear, "spline": curved}))
+
+
 @query
 def conditional_curve(spark, d):
     cells, draws, design = fitted(spark, d)
@@ -897,5 +914,17 @@ def keep_fit(spark, d):
     )
 
 
+@query
+def keep_fit_saturated(spark, d):
+    """A model written, read back and asked for the probabilities of every subfield."""
+    rows, design = by_synopsis(spark, d)
+    model = estimator.Multinomial(design, prior_sd=None).fit(materialise(to_cells(rows, design)))
+    path = fresh_path(spark, "model")
+    model.write().save(path)
+    found = estimator.MultinomialModel.load(path).transform(prep.distinct_values(rows, ["synopsis"]))
+    each = [F.struct(F.lit(v).alias("design"), F.ln(F.col("probability")[i]).alias("log_probability")) for i, v in enumerate(LEVELS)]
+    return tidy(found.select("synopsis", F.inline(F.array(*each))))
+
+
 def all_queries() -> dict[str, Query]:
     return dict(_QUERIES)

@@ -246,6 +246,24 @@ VIEWS: dict[str, str] = {
         SELECT sum(n) AS n, sum(n * by_group) AS a, sum(n * overall) AS b,
                sum(n * (by_group - overall)) AS d, sum(n * (by_group - overall) ** 2) AS q
         FROM fold_scores""",
+    **{
+        f"loo_{name}": f"""
+        SELECT study_id, sum(y * (eta - lse)) AS score FROM (
+          SELECT *, ln(sum(exp(eta)) OVER (PARTITION BY study_id, grp)) AS lse FROM (
+            SELECT s.study_id, s.grp, coalesce(c.y, 0) AS y,
+                   ln(p) - coalesce(c.y, 0) / (p * (total - rows_own)) AS eta
+            FROM (SELECT study_id, {key} AS grp, count(*) AS rows_own FROM study GROUP BY ALL) s
+            JOIN (SELECT {key} AS grp, design, count(*) / sum(count(*)) OVER (PARTITION BY {key}) AS p,
+                         sum(count(*)) OVER (PARTITION BY {key}) AS total FROM study GROUP BY {key}, design) g ON g.grp = s.grp
+            LEFT JOIN (SELECT study_id, {key} AS grp, design, count(*) AS y FROM study GROUP BY ALL) c
+              ON c.study_id = s.study_id AND c.grp = s.grp AND c.design = g.design))
+        GROUP BY study_id"""
+        for name, key in (("group", "synopsis"), ("overall", "'all'"))
+    },
+    "loo_totals": """
+        SELECT count(*) AS n, sum(a.score) AS a, sum(b.score) AS b, sum(a.score - b.score) AS d,
+               sum((a.score - b.score) ** 2) AS q
+        FROM loo_group a JOIN loo_overall b ON a.study_id IS NOT DISTINCT FROM b.study_id""",
     "point_logit": """
         SELECT a.synopsis, a.design, ln(a.n / b.n) AS v
         FROM (SELECT synopsis, design, count(*) AS n FROM study GROUP BY ALL) a
@@ -605,6 +623,17 @@ QUERIES: dict[str, str] = {
         SELECT 'overall', {r('b')}, {r('least(b - a, 0)')},
                CASE WHEN b > a THEN 0.0::DOUBLE ELSE {r('sqrt(n * (q - d * d / n) / (n - 1))')} END
         FROM fold_totals""",
+    "elpd_loo_saturated": f"""
+        SELECT 'by_group' AS model, {r('a')} AS elpd, {r('least(a - b, 0)')} AS elpd_diff,
+               CASE WHEN a >= b THEN 0.0::DOUBLE ELSE {r('sqrt(n * (q - d * d / n) / (n - 1))')} END AS se_diff
+        FROM loo_totals
+        UNION ALL
+        SELECT 'overall', {r('b')}, {r('least(b - a, 0)')},
+               CASE WHEN b > a THEN 0.0::DOUBLE ELSE {r('sqrt(n * (q - d * d / n) / (n - 1))')} END
+        FROM loo_totals""",
+    "keep_fit_saturated": f"""
+        SELECT synopsis, design, {r('ln(count(*) / sum(count(*)) OVER (PARTITION BY synopsis))')} AS log_probability
+        FROM study GROUP BY synopsis, design""",
     "epred_draws_saturated": f"""
         SELECT synopsis, draw, design, {r('ln(n / sum(n) OVER (PARTITION BY draw, synopsis))')} AS log_epred
         FROM boot_syn""",

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallymix.models import bootstrap, compare, fit, predict, splines
+from tallymix.models import bootstrap, compare, estimator, fit, predict, splines
 from tallymix.models.design import Design, to_cells
 from tallymix.sources import tables
 
@@ -373,3 +373,44 @@ def test_grids_are_whole_and_bounded(spark, monkeypatch, block):
     assert predict.covariate_grid(df.filter("false"), "x", "s").count() == 0
     with pytest.raises(ValueError, match="more than 15 rows"):
         predict.covariate_grid(df, "x", "s", most=15)
+
+
+@pytest.mark.parametrize("prior_sd", [None, 2.5])
+def test_left_out_studies_against_refits(spark, data, prior_sd):
+    """One Newton step is within 0.02 a study of fitting all others anew; ordered, best first."""
+    few = data.filter("study < 40")
+    design = Design("d", LEVELS, ["year"], {"g": ["g1", "g2", "g3"]})
+    cells = few.groupBy("study", "year", "g", "d").agg(F.count("*").alias("n"))
+    got = {r["__study"]: r["s"] for r in compare.study_scores(cells, "study", design, prior_sd, "s").collect()}
+    pdf = few.groupBy("study", "year", "g", "d").agg(F.count("*").alias("n")).toPandas()
+    assert len(got) == 40
+    for study in (0, 7, 23, 39):
+        rest, own = pdf[pdf["study"] != study], pdf[pdf["study"] == study]
+        beta = as_matrix(fit_frame(rest, design, "n", prior_sd).to_dict("records"), design)
+        eta = np.column_stack([np.zeros(len(own)), design.matrix(own) @ beta.T])
+        logp = eta - np.log(np.exp(eta).sum(axis=1, keepdims=True))
+        want = sum(n * logp[i, LEVELS.index(d)] for i, (d, n) in enumerate(zip(own["d"], own["n"])))
+        assert got[str(study)] == pytest.approx(want, abs=0.02)
+    models = {"none": Design("d", LEVELS), "full": design}
+    rows = compare.elpd_loo(data, "study", models, prior_sd).collect()
+    assert [r["model"] for r in rows] == ["full", "none"] and rows[1]["elpd_diff"] < 0 < rows[1]["se_diff"]
+
+
+def test_a_model_read_in_another_session_predicts_the_same(spark, data, tmp_path):
+    cells = to_cells(data, FULL)
+    model = estimator.Multinomial(FULL).fit(cells)
+    path = str(tmp_path / "model")
+    model.write().save(path)
+    with pytest.raises(Exception, match="exist|EXISTS"):
+        model.write().save(path)
+    model.write().overwrite().save(path)
+    grid = [(2001, "g1"), (2006, "g3")]
+    want = [r["probability"] for r in model.transform(spark.createDataFrame(grid, "year int, g string")).collect()]
+    other = spark.newSession()
+    found = estimator.MultinomialModel.load(path)
+    assert found.design.terms == model.design.terms and list(found.design.levels) == LEVELS
+    got = [r["probability"] for r in found.transform(spark.createDataFrame(grid, "year int, g string")).collect()]
+    assert got == want and all(sum(p) == pytest.approx(1) for p in got)
+    assert other.read.parquet(f"{path}/coefficients").count() == 8
+    with pytest.raises(Exception, match="g outside the given levels"):
+        found.transform(spark.createDataFrame([(2001, "g9")], "year int, g string")).collect()
