@@ -67,15 +67,15 @@ def fit(rows: DataFrame, n_draws: int = 200) -> Fit:
     return Fit(design, cells, draws, n_draws)
 
 
-def linear_or_spline(rows: DataFrame, folds: int = 10) -> DataFrame:
-    """Held-out score of the linear model against a spline in year."""
+def linear_or_spline(rows: DataFrame) -> DataFrame:
+    """Leave-one-study-out score of the linear model against a spline in year."""
     rows = splines.spline_features(materialise(rows), "year", "year_spline")
     groups = {"synopsis": factor_levels(rows, "synopsis")}
     models = {
         "linear": Design("design", S.DESIGN_LEVELS, ["year"], groups),
         "spline": Design("design", S.DESIGN_LEVELS, ["year", "year_spline"], groups),
     }
-    return compare.elpd_compare(rows, "study_id", models, folds)
+    return compare.elpd_loo(rows, "study_id", models)
 
 
 def subfields_against_mean(model: Fit) -> DataFrame:
@@ -97,6 +97,7 @@ def analyse(study: DataFrame, first: int = FIRST_YEAR, last: int = LAST_YEAR, n_
         "coefficients": predict.coefficient_summary(model.draws),
         "curve": predict.conditional_curve(model.cells, model.draws, model.design, "year", n_draws),
         "slope": predict.average_slope(model.cells, model.draws, model.design, "year", n_draws),
-        "check": predict.predictive_check(model.cells, model.draws, model.design, n_draws),
+        "check": predict.predictive_check(model.cells, model.draws, model.design, n_draws, seed="check"),
+        "linear_or_spline": linear_or_spline(rows),
         "subfields": subfields_against_mean(model),
     }

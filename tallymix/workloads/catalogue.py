@@ -77,6 +77,29 @@ def load_indicators(spark, d):
     )
 
 
+@query
+def load_income(spark, d):
+    """Income classes as a declared wide table of text, read back from CSV with its missing token."""
+    path = fresh_path(spark, "income")
+    tables.write_table(V.income_wide(spark, d), path, "csv")
+    return tables.read_csv(spark, path, S.income_schema(V.YEARS))
+
+
+@query
+def load_prepared_studies(spark, d):
+    """The central table kept as CSV with text for missing values, read as declared."""
+    path = fresh_path(spark, "studies")
+    tables.write_table(V.study(spark, d), path, "csv")
+    return tidy(tables.read_csv(spark, path, S.STUDY))
+
+
+@query
+def table_head(spark, d):
+    """The first rows of the central table by all of its columns."""
+    rows = V.study(spark, d)
+    return tidy(tables.head(rows, [F.col(c).asc_nulls_last() for c in rows.columns]))
+
+
 @query
 def write_summary(spark, d):
     path = fresh_path(spark, "summary")

@@ -365,6 +365,15 @@ QUERIES: dict[str, str] = {
         SELECT name AS country_name, code AS country_code,
         {', '.join(f'''{r(f"max(CASE WHEN year = {y} THEN rd_percent END)")} AS X{y}''' for y in YEARS)}
         FROM rd_long GROUP BY name, code""",
+    "load_income": f"""
+        SELECT iso3c, name,
+        {', '.join(f"""max(CASE WHEN year = {y} THEN income_category END) AS "{y}" """ for y in YEARS)}
+        FROM income GROUP BY iso3c, name""",
+    "load_prepared_studies": f"SELECT {STUDY_COLUMNS} FROM study",
+    "table_head": f"""
+        SELECT {STUDY_COLUMNS} FROM (SELECT * FROM study ORDER BY study_id NULLS LAST, synopsis NULLS LAST,
+        year NULLS LAST, design NULLS LAST, continent NULLS LAST, country NULLS LAST, lat NULLS LAST,
+        long NULLS LAST LIMIT 6)""",
     "write_summary": f"""
         SELECT synopsis, design, count(*) AS n,
                {r('count(*) / sum(count(*)) OVER (PARTITION BY synopsis)')} AS share

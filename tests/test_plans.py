@@ -52,16 +52,22 @@ def test_geographic(spark, study):
     link = geographic.linked(study, V.crosswalk(spark, SF), dim, V.NAME_OVERRIDES)
     assert link["merged"].count() == study.count()
     assert [r[0] for r in link["unmatched_names"].collect()] == ["NATION_21"]
-    out = geographic.model(link["model_rows"], "iso3c", n_draws=10)
-    assert all(df.count() > 0 for df in out.values())
-    assert all(df.count() > 0 for df in geographic.continent_shares(study).values())
-    grid = geographic.map_counts(study)
+    out = geographic.analyse(
+        study, V.crosswalk(spark, SF), dim, V.income_wide(spark, SF), V.NAME_OVERRIDES, n_draws=10, income_years=(1995, 2001)
+    )
+    may_be_empty = {"codes_without_indicator"}
+    assert all(df.count() > 0 or name in may_be_empty for name, df in out.items())
+    assert [r["model"] for r in out["linear_or_spline"].orderBy(F.desc("elpd")).collect()] == [r["model"] for r in out["linear_or_spline"].collect()]
+    assert out["curve_ge_scaled"].count() == 500 and out["logit_ge_scaled"].count() == 40
+    missing = {(r["iso3c"], r["country"]) for r in out["missing_income"].collect()}
+    assert missing == {("N11", "NATION_11")}
+    grid = out["map_counts"]
     whole = grid.filter(F.col("design") == "All designs").agg(F.sum("n_studies")).first()[0]
     assert whole == study.filter("lat is not null and long is not null and continent is not null").count()
-    assert geographic.places_over_time(link["coded"]).count() > 0
-    test = geographic.income_test(link["coded"], V.income_wide(spark, SF), (1995, 2001))
-    squares = test["residual_matrix"].agg(F.sum(F.pow("pearson_residual", F.lit(2.0)))).first()[0]
-    assert test["test"].first()["statistic"] == pytest.approx(squares)
+    most = out["places_over_time"].agg(F.max("cum_countries")).first()[0]
+    assert out["most_places"].first()["max_cum_countries"] == most
+    squares = out["residual_matrix"].agg(F.sum(F.pow("pearson_residual", F.lit(2.0)))).first()[0]
+    assert out["test"].first()["statistic"] == pytest.approx(squares)
 
 
 def final_plan(df):
