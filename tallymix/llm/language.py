@@ -35,6 +35,8 @@ SWITCH = 20.0
 STRETCH = 128
 #: Entries of a table of words x languages x languages.
 ROOM = 1 << 24
+#: Most languages of a model: a megabyte of broadcast table is four of them.
+MOST_LANGUAGES = 1_000
 #: A language is a candidate for a script from this share of its letters on.
 SHARE = 0.001
 UND = "und"
@@ -123,7 +125,10 @@ class Model:
 
 
 def learn(docs: DataFrame) -> Model:
-    """The model of rows (text, lang) without nulls."""
+    """The model of rows (text, lang) without nulls; more than ``MOST_LANGUAGES`` values raise."""
+    some = docs.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if some > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: tags are not clean")
     counts = docs.select("text", "lang").mapInArrow(counted, "lang string, kind int, at bigint, n bigint")
     table = counts.groupBy("lang", "kind", "at").agg(F.sum("n").alias("n")).toArrow()
     lang, kind, at, n = (table.column(c).to_numpy() for c in ("lang", "kind", "at", "n"))

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 WHITE = " \t\n\x0b\x0c\r"
 KEEP = 0.5
-ROUNDS = 200
+#: Most rounds of expectation-maximisation; they end when no posterior moves by ``CLOSE``.
+ROUNDS = 5_000
 CLOSE = 1e-9
 #: Votes that every rate starts with, so that none is 0 or 1.
 PRIOR = 1.0
@@ -163,8 +164,8 @@ def fit(patterns: list[tuple[tuple[int | None, ...], int]]) -> dict:
         moved = max((abs(a - b) for a, b in zip(new, post)), default=0.0)
         post = new
         if moved < CLOSE:
-            break
-    return {"share": share, "rates": rates}
+            return {"share": share, "rates": rates}
+    raise ValueError(f"votes did not settle in {ROUNDS} rounds: the last moved a posterior by {moved:.1e}")
 
 
 def posterior(votes: tuple[int | None, ...], share: float, rates: list[tuple[float, float]]) -> float:
