@@ -6,7 +6,7 @@ import os
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallymix.session import ensure_checkpoints, shared_dir
@@ -32,6 +32,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """``written``, with aggregates of the rows taken while they are written: no job more."""
+    seen = Observation()
+    out = written(df.observe(seen, *[c.alias(k) for k, c in measures.items()]), name)
+    return out, seen.get
+
+
 def small_side(
     df: DataFrame,
     max_rows: int = MAX_BROADCAST_ROWS,

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymix.functions.sizing import written
+from tallymix.functions.sizing import written, written_with
 from tallymix.models.design import Design
 
 PRIOR_SD = 2.5
@@ -173,19 +173,20 @@ def fit_groups(
         by, zeros.alias("trial"), zeros.alias("base"), zeros.alias("step"),
         F.lit(1.0).alias("rate"), F.lit(float("-inf")).alias("value"), F.lit("open").alias("state"),
     )
-    state, done = written(state, "fit-state"), []
-    left = {"open": state.count()}
+    count = {k: F.count_if(F.col("state") == k) for k in ("open", "done", "stuck")}
+    done: list[DataFrame] = []
+    state, left = written_with(state, "fit-state", **count)
     for _ in range(steps):
-        if not left.get("open") or left.get("stuck"):
+        if not left["open"] or left["stuck"]:
             break
         sums = derivatives(rows.join(state.select(by, "trial"), by), by, design)
         sums, last = sums.repartition(tasks, by), state.repartition(tasks, by)
-        new = written(sums.groupBy(by).cogroup(last.groupBy(by)).applyInPandas(advance, schema), "fit-state")
-        left = dict(new.groupBy("state").count().collect())
-        if left.get("done"):
+        new = sums.groupBy(by).cogroup(last.groupBy(by)).applyInPandas(advance, schema)
+        new, left = written_with(new, "fit-state", **count)
+        if left["done"]:
             done.append(new.filter("state = 'done'"))
         state = new.filter("state <> 'done'")
-    if left.get("open") or left.get("stuck"):
+    if left["open"] or left["stuck"]:
         bad = [r[0] for r in state.select(by).orderBy(by).limit(5).collect()]
         raise ValueError(f"no convergence for {by} {bad}")
     if not done:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
-from tallymix.functions.sizing import null_safe_join, written
+from tallymix.functions.sizing import null_safe_join, written, written_with
 
 #: Buckets of a histogram per group and pass, as a power of two.
 BUCKET_BITS = 12
@@ -27,29 +30,32 @@ def bounded_quantiles(
     return df.groupBy(*keys).agg(q).select(*keys, *named)
 
 
-def sort_key(x: Column) -> Column:
-    """A long that orders like the double: sign, exponent and mantissa as one number.
+#: Sort keys of infinity; NaN comes after it.
+TOP = 2047 << 52
+
+
+@F.pandas_udf(LongType())
+def sort_key(x: pd.Series) -> pd.Series:
+    """A long that orders like the double: its bits, negated below zero.
 
     Both zeros are 0; infinities lie beyond all finite values and NaN beyond them.
     """
-    a = F.abs(x)
-    two = lambda e: F.pow(F.lit(2.0), e)
-    near = F.floor(F.log2(a)).cast("double")  # the logarithm may be rounded across a power of two
-    exponent = near + (a >= two(near + 1)).cast("double") - (a < two(near)).cast("double")
-    normal = exponent >= -1022
-    exponent = F.greatest(exponent, F.lit(-1022.0))
-    mantissa = (a / two(exponent) - normal.cast("double")) * F.lit(2.0**52)
-    field = F.when(normal, exponent + 1023).otherwise(F.lit(0.0))
-    bits = F.shiftleft(field.cast("long"), 52) + mantissa.cast("long")
-    top = F.lit(2047 << 52)
-    size = F.when(a == 0, F.lit(0).cast("long")).when(a == float("inf"), top).otherwise(bits)
-    return F.when(F.isnan(x), top + 1).when(x < 0, -size).otherwise(size)
+    v = x.to_numpy(dtype=np.float64)
+    bits = np.abs(v).view(np.int64)
+    return pd.Series(np.where(np.isnan(v), TOP + 1, np.where(v < 0, -bits, bits)))
+
+
+@F.pandas_udf(DoubleType())
+def key_value(k: pd.Series) -> pd.Series:
+    """The double of a sort key."""
+    bits = k.to_numpy(dtype=np.int64)
+    return pd.Series(np.where(bits < 0, -1.0, 1.0) * np.abs(bits).view(np.float64))
 
 
 def histogram(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Buckets of (keys, part) with their counts, spans, and the values counted before them."""
     cells = rows.groupBy(*keys, "__part", "__b").agg(
-        F.count("__k").alias("__c"), F.min("__k").alias("__lo"), F.max("__k").alias("__hi"), F.min("__x").alias("__x")
+        F.count("__k").alias("__c"), F.min("__k").alias("__lo"), F.max("__k").alias("__hi")
     )
     before = Window.partitionBy(*keys, "__part").orderBy("__b")
     return cells.withColumn("__before", F.sum("__c").over(before) - F.col("__c"))
@@ -68,20 +74,20 @@ def group_quantiles(
     with its group. Groups of NULLs alone have NULL quantiles, NaN is the largest value.
     """
     keys, names = list(keys), list(probs)
-    x = F.col(value).cast("double").alias("__x")
-    rows = written(df.select(*keys, x), "quantile-values")
-    rows = rows.withColumn("__k", F.when(F.col("__x").isNotNull(), sort_key(F.col("__x"))))
+    x = F.col(value).cast("double")
+    rows = written(df.select(*keys, F.when(x.isNotNull(), sort_key(x)).alias("__k")), "quantile-values")
     rows = rows.withColumns({"__part": F.lit(0).cast("long"), "__b": F.shiftright("__k", 64 - bits)})
 
-    def holders(cells: DataFrame, ranks: Column) -> DataFrame:
+    def holders(cells: DataFrame, ranks: Column) -> tuple[DataFrame, dict]:
         """The buckets that hold a wanted rank, with the rank's number in the bucket."""
         inside = F.filter(ranks, lambda r: (r["rank"] >= F.col("__before")) & (r["rank"] < F.col("__before") + F.col("__c")))
         # Values that are NULL have a bucket of their own, which keeps their group.
         none = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("w"), F.lit(0.0).alias("f"), F.lit(0).cast("long").alias("rank")))
         held = cells.select("*", F.explode(F.when(F.col("__b").isNull(), none).otherwise(inside)).alias("__r"))
-        span = ["__part", "__b", "__c", "__lo", "__hi", "__x"]
+        span = ["__part", "__b", "__c", "__lo", "__hi"]
         rank = (F.col("__r.rank") - F.col("__before")).alias("rank")
-        return written(held.select(*keys, *span, "__r.i", "__r.w", "__r.f", rank), "quantile-ranks")
+        held = held.select(*keys, *span, "__r.i", "__r.w", "__r.f", rank)
+        return written_with(held, "quantile-ranks", open=F.count_if(F.col("__lo") < F.col("__hi")))
 
     wanted = []
     for i, p in enumerate(probs.values()):
@@ -89,13 +95,11 @@ def group_quantiles(
         for w, rank in enumerate((F.floor(h), F.least(F.floor(h) + 1, F.col("__n") - 1))):
             wanted.append(F.struct(F.lit(i).alias("i"), F.lit(w).alias("w"), (h - F.floor(h)).alias("f"), rank.alias("rank")))
     first = histogram(rows, keys).withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys)))
-    targets = holders(first, F.array(*wanted))
+    targets, left = holders(first, F.array(*wanted))
 
     found = [targets.filter("__lo <=> __hi")]
-    while True:
+    while left["open"]:
         open_ = targets.filter("__lo <> __hi")
-        if open_.isEmpty():
-            break
         # Few values are told apart at once, others by the bits in which they may differ.
         wide = F.length(F.bin(F.col("__hi") - F.col("__lo")))
         shift = F.when(F.col("__c") <= 1 << bits, 0).otherwise(F.greatest(wide - bits, F.lit(0)))
@@ -104,12 +108,15 @@ def group_quantiles(
         parts = parts.select(*keys, "__part", "__b", F.col("__lo").alias("__next"), shift.alias("__shift"), "__ranks")
         rows = null_safe_join(rows, parts.drop("__ranks"), [*keys, "__part", "__b"])
         bucket = F.expr("shiftright(__k - __next, __shift)").alias("__b")
-        rows = rows.select(*keys, "__x", "__k", F.col("__next").alias("__part"), bucket)
+        rows = rows.select(*keys, "__k", F.col("__next").alias("__part"), bucket)
         ranks = parts.select(*keys, F.col("__next").alias("__part"), "__ranks")
-        targets = holders(null_safe_join(histogram(rows, keys), ranks, [*keys, "__part"]), F.col("__ranks"))
+        targets, left = holders(null_safe_join(histogram(rows, keys), ranks, [*keys, "__part"]), F.col("__ranks"))
         found.append(targets.filter("__lo = __hi"))
 
-    every = reduce(DataFrame.union, found)
+    # A bucket of one value: its key is the value. A NaN out of Python would be a NULL.
+    lo = F.col("__lo")
+    one = F.when(lo > TOP, F.lit(float("nan"))).when(lo.isNotNull(), key_value(F.coalesce(lo, F.lit(0).cast("long"))))
+    every = reduce(DataFrame.union, found).withColumn("__x", one)
     at = lambda i, w, c="__x": F.max(F.when((F.col("i") == i) & (F.col("w") == w), F.col(c)))
     ends = [at(i, w).alias(f"__{w}_{i}") for i in range(len(names)) for w in (0, 1)]
     ends += [at(i, 0, "f").alias(f"__f_{i}") for i in range(len(names))]
