@@ -134,15 +134,14 @@ def test_quantiles_of_odd_values(spark, rows, bits):
 
 def test_what_a_rank_keeps_does_not_grow(spark, monkeypatch):
     """Rows of the tables written between passes, from 2e5 to 2e6 values in one group."""
-    kept, stored = [], quantiles.written
+    kept, stored = [], quantiles.written_with
 
-    def counted(df, name):
-        out = stored(df, name)
-        if name == "quantile-ranks":
-            kept.append(out.count())
-        return out
+    def counted(df, name, **measures):
+        out, seen = stored(df, name, **measures)
+        kept.append(out.count())
+        return out, seen
 
-    monkeypatch.setattr(quantiles, "written", counted)
+    monkeypatch.setattr(quantiles, "written_with", counted)
     most = []
     for n in (200_000, 2_000_000):
         kept.clear()
