@@ -32,6 +32,8 @@ from tallymix.workloads import views as V
 LEVELS = S.DESIGN_LEVELS
 DRAWS = 50
 FOLDS = 5
+#: The number of draws the studies this library is for keep; the other queries take fewer.
+MANY_DRAWS = 4_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -676,10 +678,10 @@ def multinomial_fit_geography(spark, d):
     return tidy(fit.multinomial_fit(materialise(to_cells(rows, design)), design), 4)
 
 
-def moments(rows, design, draws_of, centre):
+def moments(rows, design, draws_of, centre, draws=DRAWS):
     """The sums that a model's fits claim for the data, by draw."""
     cells = written(draws_of(rows, design), "moment-cells")
-    fits = fit.fit_groups(cells, "draw", DRAWS, design, "n", fit.PRIOR_SD)
+    fits = fit.fit_groups(cells, "draw", draws, design, "n", fit.PRIOR_SD)
     return tidy(predict.fitted_moments(cells, fits, design, fit.PRIOR_SD, centre))
 
 
@@ -728,6 +730,18 @@ def multinomial_draws_nested_moments(spark, d):
     return moments(rows, design, draws_of, {})
 
 
+@query
+def multinomial_many_draws_moments(spark, d):
+    """As many draws as the studies keep, each by its first-order conditions."""
+    rows, design = temporal(spark, d)
+
+    def draws_of(rows, design):
+        keys = [*design.covariates, design.category]
+        return bootstrap.bootstrap_cells(design.check(rows), "study_id", keys, MANY_DRAWS)
+
+    return moments(rows, design, draws_of, {"year": 1998}, MANY_DRAWS)
+
+
 @query
 def epred_draws_moments(spark, d):
     """Expected rows per draw, subfield and category: probabilities over the grid times the rows there."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 #: The years of the test tables, and the draws and folds of the queries.
 YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
-DRAWS, FOLDS = 50, 5
+DRAWS, MANY_DRAWS, FOLDS = 50, 4000, 5
 #: 2**32 times the distribution function of Poisson(1) at 0, 1, 2, ..
 EDGES = [1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609777, 4294923276, 4294962463, 4294966817, 4294967252, 4294967292, 4294967295]
 
@@ -210,6 +210,11 @@ VIEWS: dict[str, str] = {
         SELECT b.*, draw, {poisson_sql(digits("'iso3c|' || coalesce(iso3c, '\\N')"))}
                       * {poisson_sql(digits("'study_id|' || study_id"))} AS m
         FROM model b CROSS JOIN (SELECT CAST(unnest(range(1, {DRAWS + 1})) AS INTEGER) AS draw)""",
+    "boot_many": f"""
+        SELECT draw, year, synopsis, design, sum(c * w) AS w
+        FROM (SELECT b.*, draw, {poisson_sql(digits("study_id"))} AS w FROM boot_base b CROSS JOIN
+              (SELECT CAST(unnest(range(1, {MANY_DRAWS + 1})) AS INTEGER) AS draw) WHERE year IS NOT NULL)
+        GROUP BY ALL HAVING sum(c * w) > 0""",
     "boot_syn": """
         SELECT draw, synopsis, design, sum(c * w) AS n FROM boot GROUP BY ALL""",
     "boot_logit": """
@@ -678,6 +683,7 @@ QUERIES: dict[str, str] = {
         "(SELECT draw, design, rd_pc_scaled, ge_scaled, m AS w FROM boot_model)",
         {"(Intercept)": "1", "rd_pc_scaled": "rd_pc_scaled", "ge_scaled": "ge_scaled"},
     ),
+    "multinomial_many_draws_moments": moment_sql("boot_many", TEMPORAL_TERMS),
     "epred_draws_moments": f"""
         SELECT draw, design, {r('CAST(sum(c * w) AS DOUBLE)')} AS expected
         FROM boot WHERE year IS NOT NULL GROUP BY ALL""",
