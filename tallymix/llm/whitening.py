@@ -5,9 +5,10 @@ eigenvectors of the covariance V of all vectors are found without forming V:
 
 1. One pass sums the integers exactly; a second sums the squares about the mean (the trace).
 2. A block Q of ``BLOCK`` columns per wanted component is filtered: a Chebyshev polynomial of
-   V, small on the unwanted spectrum [0, b] and steep above it, is applied by its three-term
+   V, small on the unwanted spectrum [a, b] and steep above it, is applied by its three-term
    recurrence. A step needs one distributed pass, which sums Xc' (Xc Q) over blocks of rows,
-   Xc being the centred integers. b is the smallest Ritz value of the block.
+   Xc being the centred integers. b is the smallest Ritz value of the block; a is a bound
+   from a few Lanczos steps with one vector (were it too high, the filter would only be weaker).
 3. The block is made orthonormal by QR, and a Rayleigh-Ritz step on Q' V Q gives values and
    vectors. The product V Q it needs is the first step of the next filter as well.
 4. This goes on until each wanted pair is certified: the residual ``|V q - e q|`` is at most
@@ -43,6 +44,8 @@ COMPONENTS = 8
 #: Columns of the iterated block per wanted component.
 BLOCK = 4
 DEGREE = 10
+#: Steps that look for the lower end of the spectrum.
+LANCZOS = 8
 #: Largest growth of the first direction over the last in one filter.
 SPREAD = 1e6
 #: Certified residual, and residual at rounding level, as shares of the largest eigenvalue.
@@ -103,20 +106,39 @@ def chebyshev_growth(t: float, degree: int) -> float:
     return math.cosh(min(degree * math.acosh(max(t, 1.0)), 700.0))
 
 
-def filter_degree(first: float, last: float, b: float) -> int:
+def filter_degree(first: float, last: float, a: float, b: float) -> int:
     """The highest degree that keeps the growth at ``first`` within SPREAD of that at ``last``."""
-    at = lambda e: 2 * e / b - 1
+    at = lambda e: (2 * e - a - b) / (b - a)
     for degree in range(DEGREE, 1, -1):
         if chebyshev_growth(at(first), degree) <= SPREAD * chebyshev_growth(at(last), degree):
             return degree
     return 1
 
 
+def lowest_value(product: Callable[[np.ndarray], np.ndarray], d: int, steps: int = LANCZOS) -> float:
+    """About the smallest eigenvalue of V, from below: a Ritz value less its residual, at least 0."""
+    q = np.zeros((d, 0))
+    v = np.random.default_rng(1).normal(size=d)
+    diagonal, off = [], []
+    for _ in range(min(steps, d)):
+        q = np.column_stack([q, v / np.linalg.norm(v)])
+        v = product(q[:, -1:])[:, 0]
+        diagonal.append(float(q[:, -1] @ v))
+        for _ in range(2):  # stay orthogonal to what there is
+            v = v - q @ (q.T @ v)
+        off.append(float(np.linalg.norm(v)))
+        if off[-1] <= 1e-12 * max(map(abs, diagonal)):
+            break
+    value, vector = np.linalg.eigh(np.diag(diagonal) + np.diag(off[:-1], 1) + np.diag(off[:-1], -1))
+    return max(float(value[0]) - off[-1] * abs(float(vector[-1, 0])), 0.0)
+
+
 def leading_pairs(product: Callable[[np.ndarray], np.ndarray], d: int, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(values, vectors, residuals) of the ``wanted`` largest eigenvalues of V, given V Q."""
     m = min(d, BLOCK * wanted)
     q = np.linalg.qr(np.random.default_rng(0).normal(size=(d, m)))[0]
-    best, stalls, passes = math.inf, 0, 0
+    best, stalls, passes = math.inf, 0, LANCZOS
+    lowest = lowest_value(product, d) if m < d else 0.0
     while True:
         vq = product(q)
         passes += 1
@@ -136,10 +158,12 @@ def leading_pairs(product: Callable[[np.ndarray], np.ndarray], d: int, wanted: i
         if b <= 1e-14 * top:  # the block spans the whole range of V; one more product cleans it
             q = np.linalg.qr(np.where(np.linalg.norm(vq, axis=0) > 1e-13 * top, vq, q))[0]
             continue
-        # T_1, T_2, .. of (2 V / b - 1), each scaled like the columns it acts on.
-        before, now = q, (2 / b) * vq - q
-        for _ in range(filter_degree(value[0], value[wanted - 1], b) - 1):
-            before, now = now, 2 * ((2 / b) * product(now) - now) - before
+        # T_1, T_2, .. of (2 V - a - b) / (b - a), each scaled like the columns it acts on.
+        a = min(lowest, 0.95 * b)
+        mapped = lambda vx, x: (2 * vx - (a + b) * x) / (b - a)
+        before, now = q, mapped(vq, q)
+        for _ in range(filter_degree(value[0], value[wanted - 1], a, b) - 1):
+            before, now = now, 2 * mapped(product(now), now) - before
             passes += 1
             size = np.linalg.norm(now, axis=0)
             before, now = before / size, now / size
