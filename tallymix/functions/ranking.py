@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymix.functions.sizing import materialise
+from tallymix.functions.sizing import checkpointed
 
 
 def with_position(df: DataFrame, order: Sequence[Column], into: str) -> DataFrame:
@@ -16,7 +16,7 @@ def with_position(df: DataFrame, order: Sequence[Column], into: str) -> DataFram
     A range-partitioned sort is stored once; a row's position is its place in its
     partition plus the sizes of the partitions before it.
     """
-    stored = materialise(df.orderBy(*order)).withColumn("__id", F.monotonically_increasing_id())
+    stored = checkpointed(df.orderBy(*order)).withColumn("__id", F.monotonically_increasing_id())
     stored = stored.withColumns(
         {
             "__part": F.shiftright("__id", 33),

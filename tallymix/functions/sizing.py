@@ -1,4 +1,4 @@
-"""Broadcasting behind a measured size."""
+"""Stored intermediates and null-safe joins."""
 
 from __future__ import annotations
 
@@ -11,21 +11,24 @@ from pyspark.sql import functions as F
 
 from tallymix.session import ensure_checkpoints, shared_dir
 
-MAX_BROADCAST_ROWS = 2_000_000
-MAX_BROADCAST_BYTES = 128 * 1024 * 1024
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute and cut the lineage with partitions and their order as they are."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage, in the cluster's shared folder."""
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return written(df, "rows")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Compute once: written to the cluster's shared folder and read again.
 
-    Unlike a checkpoint, what is read has the size of its files, not the estimate of the
-    plan it came from, so loops over joins keep plans and their estimates small.
+    An eager checkpoint computes its rows twice, and keeps the size estimate of the plan it
+    came from. What is read here has the size of its files, so loops over joins keep plans
+    and their estimates small.
     """
     path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
@@ -39,24 +42,6 @@ def written_with(df: DataFrame, name: str, **measures: Column) -> tuple[DataFram
     return out, seen.get
 
 
-def small_side(
-    df: DataFrame,
-    max_rows: int = MAX_BROADCAST_ROWS,
-    max_bytes: int = MAX_BROADCAST_BYTES,
-) -> DataFrame:
-    """A join side, marked for broadcast only if its measured size allows it.
-
-    The side is computed once and its rows and text width are measured. Beyond the
-    bounds it comes back unmarked and Spark shuffles the join, splitting hot keys at
-    run time (adaptive skew join).
-    """
-    df = materialise(df)
-    rows, size = df.agg(
-        F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
-    ).first()
-    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys match each other; the keys appear once.
 
