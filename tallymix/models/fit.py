@@ -168,9 +168,14 @@ def fit_groups(
         now = [int(last[by].iloc[0]), *(x.ravel().tolist() for x in (trial, base, step)), *rest]
         return pd.DataFrame([now], columns=last.columns)
 
+    # Intercepts start at the log shares of the categories, slopes at zero.
+    logs = [F.log(F.sum(f"__y{a}") + 0.5) for a in range(k)]
+    mean = sum(logs[1:], logs[0]) / F.lit(float(k))
     zeros = F.array_repeat(F.lit(0.0), k * p)
-    state = rows.select(F.col(by).cast("int").alias(by)).distinct().select(
-        by, zeros.alias("trial"), zeros.alias("base"), zeros.alias("step"),
+    slopes = F.array_repeat(F.lit(0.0), p - 1)
+    start = F.concat(*[x for log in logs for x in (F.array(log - mean), slopes)])
+    state = rows.groupBy(F.col(by).cast("int").alias(by)).agg(start.alias("trial")).select(
+        by, "trial", zeros.alias("base"), zeros.alias("step"),
         F.lit(1.0).alias("rate"), F.lit(float("-inf")).alias("value"), F.lit("open").alias("state"),
     )
     count = {k: F.count_if(F.col("state") == k) for k in ("open", "done", "stuck")}

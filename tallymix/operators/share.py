@@ -49,7 +49,8 @@ def composition(
     counts = count_by(df, [*within, category], n, distinct_id)
     out = share_within(counts, within, n, name, scale)
     if total:
-        out = out.withColumn(total, F.sum(n).over(Window.partitionBy(*within)))
+        whole = F.sum(n).over(Window.partitionBy(*within)) if within else counts.agg(F.sum(n)).scalar()
+        out = out.withColumn(total, whole)
     return out
 
 
