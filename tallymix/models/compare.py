@@ -14,6 +14,9 @@ from tallymix.models.design import Design
 from tallymix.models.fit import PRIOR_SD, fit_groups, multinomial_fit
 from tallymix.models.predict import by_category, over_draws, probabilities
 
+# Numbers a task holds at once in each of its arrays of curvatures.
+BLOCK = 1 << 20
+
 
 def fold_of(cluster: str, folds: int) -> Column:
     """Fold 1..folds of a cluster; all its rows are held out together."""
@@ -114,74 +117,143 @@ class Local:
         # The ridge acts on symmetric slopes: contrasts less their share of the mean.
         self.ridge = np.kron(np.eye(k) - 1.0 / (k + 1), free) * (0.0 if prior_sd is None else prior_sd**-2.0)
 
-    def counts(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """(model matrix, counts per category) of cells with columns __n0, __n1, .."""
+    def counts(self, pdf: pd.DataFrame, levels: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(model matrix, counts per category) of cells with columns __n0, __n1, .. for ``levels``."""
         x = self.design.matrix(pdf)
         x[:, 1 : len(self.centre) + 1] -= self.centre
-        return x, pdf[[f"__n{i}" for i in range(len(self.design.levels))]].to_numpy(dtype=float)
+        return x, pdf[[f"__n{levels.index(v)}" for v in self.design.levels]].to_numpy(dtype=float)
 
-    def log_probabilities(self, x: np.ndarray, beta: np.ndarray) -> np.ndarray:
-        eta = np.column_stack([np.zeros(len(x)), x @ beta.T])
+    def log_probabilities(self, eta: np.ndarray) -> np.ndarray:
+        eta = np.column_stack([np.zeros(len(eta)), eta])
         eta -= eta.max(axis=1, keepdims=True)
         return eta - np.log(np.exp(eta).sum(axis=1, keepdims=True))
 
-    def sums(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(gradient, curvature) of the log likelihood of these cells."""
-        p = np.exp(self.log_probabilities(x, self.beta))[:, 1:]
-        w, k, t = y.sum(axis=1), self.beta.shape[0], self.beta.shape[1]
-        gradient = ((y[:, 1:] - w[:, None] * p).T @ x).ravel()
-        curvature = np.zeros((k, t, k, t))
-        for a in range(k):
-            for b in range(k):
-                curvature[a, :, b, :] = (x * (w * p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ x
-        return gradient, curvature.reshape(k * t, k * t)
-
-    def left_out(self, x: np.ndarray, y: np.ndarray, whole: np.ndarray) -> float:
-        """Log score of cells under the fit without them, by one Newton step from the full fit."""
-        gradient, own = self.sums(x, y)
-        step = np.linalg.solve(whole + self.ridge - own, gradient)
-        return float((y * self.log_probabilities(x, self.beta - step.reshape(self.beta.shape))).sum())
-
-
-def by_level(cells: DataFrame, keys: list[str], design: Design) -> DataFrame:
-    """One row per (keys, covariates) with the count of each category."""
-    counts = [F.sum(F.when(F.col(design.category) == v, F.col("n")).otherwise(0)).alias(f"__n{i}") for i, v in enumerate(design.levels)]
-    return cells.groupBy(*keys, *design.covariates).agg(*counts)
-
-
-def study_scores(cells: DataFrame, study: str, design: Design, prior_sd: float | None, name: str) -> DataFrame:
-    """(study, rows, score): held-out log score of each study under the fit without it.
-
-    One fit. Its curvature is summed by Spark over the cells; a task then takes a study's
-    own sums off and makes one Newton step, which is near the refit where no study rules the
-    fit. A study is as many cells as it has covariate values, however many rows.
-    """
+    def tiles(self, x: np.ndarray, y: np.ndarray, of: np.ndarray):
+        """Some rows at a time: (x, y, groups that occur in them, where these begin). ``of`` rises."""
+        tile = max(1, BLOCK // x.shape[1] ** 2)
+        for at in range(0, len(x), tile):
+            own = of[at : at + tile]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            yield x[at : at + tile], y[at : at + tile], own[first], first
+
+    def sums(self, x: np.ndarray, y: np.ndarray, of: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+        """(gradient, curvature) of the log likelihood of the cells of each group 0, 1, .."""
+        k, t = self.beta.shape
+        gradient, curvature = np.zeros((groups, k, t)), np.zeros((groups, k, t, k, t))
+        for xs, ys, which, first in self.tiles(x, y, of):
+            p, w = np.exp(self.log_probabilities(xs @ self.beta.T))[:, 1:], ys.sum(axis=1)
+            gradient[which] += np.add.reduceat((ys[:, 1:] - w[:, None] * p)[:, :, None] * xs[:, None, :], first)
+            squares = xs[:, :, None] * xs[:, None, :]
+            for a in range(k):
+                for b in range(a, k):
+                    block = np.add.reduceat(squares * (w * p[:, a] * ((a == b) - p[:, b]))[:, None, None], first)
+                    curvature[which, a, :, b, :] += block
+                    if a != b:
+                        curvature[which, b, :, a, :] += block
+        return gradient.reshape(groups, k * t), curvature.reshape(groups, k * t, k * t)
+
+    def left_out(self, x: np.ndarray, y: np.ndarray, of: np.ndarray, groups: int, whole: np.ndarray) -> np.ndarray:
+        """Log score of each group under the fit without it, by one Newton step from the full fit."""
+        gradient, own = self.sums(x, y, of, groups)
+        step = np.linalg.solve(whole + self.ridge - own, gradient[:, :, None])
+        beta, scores = self.beta - step.reshape(groups, *self.beta.shape), np.zeros(groups)
+        for xs, ys, which, first in self.tiles(x, y, of):
+            each = np.repeat(beta[which], np.diff(first, append=len(xs)), axis=0)
+            eta = (each @ xs[:, :, None])[:, :, 0]
+            scores[which] += np.add.reduceat((ys * self.log_probabilities(eta)).sum(axis=1), first)
+        return scores
+
+
+def by_level(cells: DataFrame, keys: list[str], category: str, levels: list[str]) -> DataFrame:
+    """One row per keys with the count of each category."""
+    counts = [F.sum(F.when(F.col(category) == v, F.col("n")).otherwise(0)).alias(f"__n{i}") for i, v in enumerate(levels)]
+    return cells.groupBy(*keys).agg(*counts)
+
+
+def near_fit(cells: DataFrame, design: Design, prior_sd: float | None) -> tuple[Local, np.ndarray]:
+    """The fit to all cells and its curvature, which Spark sums over the cells."""
     fits = multinomial_fit(cells.groupBy(*design.covariates, design.category).agg(F.sum("n").alias("n")), design, prior_sd=prior_sd)
     got = {(r["category"], r["term"]): r["estimate"] for r in fits.collect()}  # categories x terms
     beta = np.array([[got[c, t] for t in design.terms] for c in design.levels[1:]])
     means = cells.agg(F.sum("n"), *[F.sum(F.col("n") * F.col(c).cast("double")) for c in design.numeric]).first()
     centre = np.array([v / means[0] for v in means[1:]])
     beta[:, 0] += beta[:, 1 : len(centre) + 1] @ centre
-    near, size = Local(design, beta, centre, prior_sd), beta.size
+    near, size, levels = Local(design, beta, centre, prior_sd), beta.size, list(design.levels)
 
     def curvatures(batches):
         total = np.zeros((size, size))
         for pdf in batches:
-            total += near.sums(*near.counts(pdf))[1]
+            total += near.sums(*near.counts(pdf, levels), np.zeros(len(pdf), dtype=int), 1)[1][0]
         yield pd.DataFrame({"i": np.arange(size), "v": list(total)})
 
-    rows = by_level(cells, [], design).mapInPandas(curvatures, "i int, v array<double>")
+    rows = by_level(cells, design.covariates, design.category, levels).mapInPandas(curvatures, "i int, v array<double>")
     rows = rows.select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
     whole = np.zeros((size, size))
     for r in rows.collect():  # parameters x parameters
         whole[r["i"], r["j"]] = r["v"]
+    return near, whole
+
+
+def whole_studies(batches):
+    """Frames of whole studies, from batches in the order of ``__study``: a study may span batches."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        if held and held[-1]["__study"].iloc[-1] != pdf["__study"].iloc[0]:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        codes = pd.factorize(pdf["__study"], use_na_sentinel=False)[0]
+        last = int(np.argmax(codes == codes[-1]))
+        if last:
+            yield pd.concat([*held, pdf[:last]], ignore_index=True)
+            held = []
+        held.append(pdf[last:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def left_out_scores(cells: DataFrame, study: str, models: dict[str, Design], prior_sd: float | None) -> DataFrame:
+    """(study, rows, a score per model): held-out log score of each study under the fit without it.
+
+    One fit a model. A task takes the own sums of its studies off the curvature of the fit and
+    makes one Newton step each, which is near the refit where no study rules the fit. Studies
+    meet whole in sorted partitions and are stepped many at a time; a study is as many cells
+    as it has covariate values, however many rows.
+    """
+    near = {name: near_fit(cells, design, prior_sd) for name, design in models.items()}
+    levels = list(dict.fromkeys(v for m in models.values() for v in m.levels))
+    widest = max(local.beta.size for local, _ in near.values())
+    most = max(1, BLOCK // widest**2)
+
+    def scored(batches):
+        for pdf in whole_studies(batches):
+            codes = pd.factorize(pdf["__study"], use_na_sentinel=False)[0]
+            first = np.flatnonzero(np.diff(codes, prepend=-1))
+            ends = np.append(first, len(pdf))
+            made = {name: (local, *local.counts(pdf, levels), whole) for name, (local, whole) in near.items()}
+            for at in range(0, len(first), most):
+                now = slice(ends[at], ends[min(at + most, len(first))])
+                of, studies = codes[now] - at, min(most, len(first) - at)
+                out = {"__study": pdf["__study"].iloc[first[at : at + most]].to_numpy()}
+                for name, (local, x, y, whole) in made.items():
+                    out["__rows"] = np.bincount(of, weights=y[now].sum(axis=1), minlength=studies).astype("int64")
+                    out[name] = local.left_out(x[now], y[now], of, studies, whole)
+                yield pd.DataFrame(out)
+
+    covariates = list(dict.fromkeys(c for m in models.values() for c in m.covariates))
+    spark = cells.sparkSession
+    # An explicit number of tasks: by their bytes alone few would be left, and a cell is work for a task.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = cells.withColumn("__study", F.col(study).cast("string")).repartition(tasks, "__study")
+    own = by_level(own, ["__study", *covariates], next(iter(models.values())).category, levels).sortWithinPartitions("__study")
+    scores = ", ".join(f"{name} double" for name in models)
+    return own.mapInPandas(scored, f"__study string, __rows bigint, {scores}")
 
-    def scored(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = near.counts(pdf)
-        return pd.DataFrame({"__study": pdf["__study"].iloc[:1], "__rows": int(y.sum()), name: near.left_out(x, y, whole)})
 
-    own = by_level(cells, [study], design).withColumn("__study", F.col(study).cast("string"))
-    return own.groupBy("__study").applyInPandas(scored, f"__study string, __rows bigint, {name} double")
+def study_scores(cells: DataFrame, study: str, design: Design, prior_sd: float | None, name: str) -> DataFrame:
+    """``left_out_scores`` of one model."""
+    return left_out_scores(cells, study, {name: design}, prior_sd)
 
 
 def elpd_loo(df: DataFrame, study: str, models: dict[str, Design], prior_sd: float | None = PRIOR_SD) -> DataFrame:
@@ -195,8 +267,5 @@ def elpd_loo(df: DataFrame, study: str, models: dict[str, Design], prior_sd: flo
     covariates = list(dict.fromkeys(c for m in designs for c in m.covariates))
     cells = df.groupBy(study, *covariates, designs[0].category).agg(F.count("*").alias("n"))
     cells = written(cells, "study-cells")
-    every = None
-    for name, design in models.items():
-        scores = study_scores(cells, study, design, prior_sd, f"__{name}")
-        every = scores if every is None else null_safe_join(every, scores.drop("__rows"), ["__study"])
-    return ranked(written(every, "study-scores"), list(models), F.lit(1))
+    scores = left_out_scores(cells, study, {f"__{name}": m for name, m in models.items()}, prior_sd)
+    return ranked(scores, list(models), F.lit(1))

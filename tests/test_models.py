@@ -396,6 +396,30 @@ def test_left_out_studies_against_refits(spark, data, prior_sd):
     assert [r["model"] for r in rows] == ["full", "none"] and rows[1]["elpd_diff"] < 0 < rows[1]["se_diff"]
 
 
+def test_left_out_studies_are_whole_and_stepped_together(spark, data, monkeypatch):
+    """A study over several batches, null or not, has one score; no Python call per study."""
+    design = Design("d", LEVELS, ["year"], {"g": ["g1", "g2", "g3"]})
+    rows = data.withColumn("study", F.when(F.col("study") < 9, F.lit(None)).otherwise(F.col("study")))
+    cells = rows.groupBy("study", "year", "g", "d").agg(F.count("*").alias("n")).cache()
+    other = Design("d", LEVELS[::-1], [], {"g": ["g1", "g2", "g3"]})
+    plan = compare.left_out_scores(cells, "study", {"__a": design, "__b": other}, 2.5)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in text and "FlatMapGroupsInPandas" not in text and text.count("Exchange hashpartitioning(__study") == 1
+    want = {r["__study"]: tuple(r) for r in plan.collect()}
+    assert len(want) == 392 and sum(r[1] for r in want.values()) == 6000 and want[None][1] == 135
+    one = {r["__study"]: r["__b"] for r in compare.study_scores(cells, "study", other, 2.5, "__b").collect()}
+    assert all(one[k] == pytest.approx(r[3]) for k, r in want.items())
+    monkeypatch.setattr(compare, "BLOCK", 1)  # a study at a time
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+        small = {r["__study"]: tuple(r) for r in compare.left_out_scores(cells, "study", {"__a": design, "__b": other}, 2.5).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert small.keys() == want.keys()
+    assert all(small[k][1:] == pytest.approx(r[1:]) for k, r in want.items())
+
+
 def test_a_model_read_in_another_session_predicts_the_same(spark, data, tmp_path):
     cells = to_cells(data, FULL)
     model = estimator.Multinomial(FULL).fit(cells)
