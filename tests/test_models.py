@@ -1,6 +1,8 @@
+import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -326,6 +328,33 @@ def test_weights_of_two_clusters_multiply(spark, data):
     assert any(r > 2 for r in want.values())
 
 
+@pytest.mark.parametrize("held", [1, 40, 1 << 24])
+def test_clusters_are_hashed_once_for_all_their_cells(monkeypatch, held):
+    """Every weight is that of the plain formula, whatever a task holds; a cluster's cells share its hashes."""
+    prefixes = [b"7|", b"8|", b"\\N|"]
+    cells = [(p, y, d, 1 + i % 3) for p in prefixes for i, (y, d) in enumerate((y, d) for y in (1, 2, None) for d in "ab")]
+    names, draws, calls = ["c", "y", "d", "__c"], 10, []
+    table = pa.table({n: pa.array([r[i] for r in cells]) for i, n in enumerate(names)})
+    whole = bootstrap.cluster_weights(prefixes, draws)
+    for p, row in zip(prefixes, whole):
+        for i, w in enumerate(row):
+            h = hashlib.md5(p + str(i // 4).encode()).hexdigest()[8 * (i % 4) :][:8]
+            assert w == sum(int(h, 16) >= e for e in bootstrap.poisson_edges())
+    monkeypatch.setattr(bootstrap, "HELD_SUMS", held)
+    monkeypatch.setattr(bootstrap, "md5", lambda b: calls.append(b) or hashlib.md5(b))
+    got = {}
+    for batch in bootstrap.weighted_cells(table.to_batches(), ["y", "d"], ["c"], draws):
+        for r in batch.to_pylist():
+            key = (r["draw"], r["y"], r["d"])
+            got[key] = got.get(key, 0) + r["__n"]
+    want = {}
+    for p, y, d, c in cells:
+        for i, w in enumerate(whole[prefixes.index(p)]):
+            want[i + 1, y, d] = want.get((i + 1, y, d), 0) + int(w) * c
+    assert got == {k: v for k, v in want.items() if v}
+    assert held < 1 << 24 or len(calls) == len(prefixes) * 3
+
+
 def binomial_by_sums(n, p, u):
     total = 0.0
     for k in range(n + 1):
