@@ -449,6 +449,22 @@ def test_left_out_studies_are_whole_and_stepped_together(spark, data, monkeypatc
     assert all(small[k][1:] == pytest.approx(r[1:]) for k, r in want.items())
 
 
+def test_sums_by_study_in_tiles(monkeypatch):
+    """Gradients, curvatures and scores of many groups at once are those of each alone, in any tiles."""
+    rng, of = np.random.default_rng(3), np.repeat([0, 1, 2], [1, 6, 4])
+    near = compare.Local(SATURATED, rng.normal(size=(2, 3)), np.zeros(0), None)
+    x, y = np.column_stack([np.ones(11), rng.integers(0, 2, (11, 2))]), rng.integers(0, 5, (11, 3)).astype(float)
+    whole = 50 * np.eye(6)
+    alone = [near.sums(x[of == i], y[of == i], np.zeros((of == i).sum(), dtype=int), 1) for i in range(3)]
+    scores = [near.left_out(x[of == i], y[of == i], np.zeros((of == i).sum(), dtype=int), 1, whole)[0] for i in range(3)]
+    for block in (1, 30, 1 << 20):
+        monkeypatch.setattr(compare, "BLOCK", block)
+        gradient, curvature = near.sums(x, y, of, 3)
+        assert gradient == pytest.approx(np.array([g[0] for g, _ in alone]))
+        assert curvature == pytest.approx(np.array([c[0] for _, c in alone]))
+        assert near.left_out(x, y, of, 3, whole) == pytest.approx(np.array(scores))
+
+
 def test_a_model_read_in_another_session_predicts_the_same(spark, data, tmp_path):
     cells = to_cells(data, FULL)
     model = estimator.Multinomial(FULL).fit(cells)

@@ -152,3 +152,12 @@ def test_group_order_positions(spark, rows):
     got = share.group_order(df, "g", "c", "a").collect()
     want = sorted(got, key=lambda r: (-r["share"], r["g"]))
     assert [r["position"] for r in want] == list(range(1, 101))
+
+
+def test_closed_levels_name_their_column_once(spark):
+    """Nested recodings must not double with every step: what is generated from them stays small."""
+    df = spark.createDataFrame([("A",), ("z",), (None,)], "held string")
+    out = prep.ordered_domain(df, "held", ["A", "B"]).withColumnRenamed("held", "c")
+    assert sorted(map(str, (r[0] for r in out.collect()))) == ["A", "None", "None"]
+    step = prep.ordered_domain(df, "held", ["A", "B"])._jdf.queryExecution().analyzed().toString().split("\n")[0]
+    assert step.split(" AS ")[0].count("held#") == 1
