@@ -19,14 +19,20 @@ How a link is found
    the copy edited least. A group of thousands of near copies collapses here without
    forming its pairs. Pairs that meet under one pivot in fewer lists than a link needs
    are left to the second round, which finds every link.
-5. Second round: each posting list that still has several components gets a packed R-tree
-   over its points, joined with itself; node pairs below the bound, out of the size range
-   or within one component are pruned. Pairs of points are bounded once more by the
-   ``FINE`` counts that the groups are sums of. Long lists are cut into blocks of bounded
-   size and all pairs of blocks are joined; lists of the same members, as the shingles of
-   one shared passage have, are joined once. Each class carries its first lists, and a
+5. Second round: shingles are put in one order, rare ones first. Linked sets share so many
+   that each can leave its commonest ones out, and from the first shingle that they share
+   either has enough left (``rest``) to share. Each posting list that still has several
+   components gets a packed R-tree over its points, joined with itself; node pairs below
+   the bounds, out of the size range or within one component are pruned. Pairs of points
+   are bounded once more by the ``FINE`` counts that the groups are sums of.
+6. Lists of more than ``LONG`` members, such as those of a passage that many texts quote,
+   are not joined: their classes are listed anew by the shingles of their whole sets, of
+   which those that three quarters of a set follow in the order need no list. A text is on
+   a list of its quoted passage then only if little else is in it. Lists that are long even
+   so are cut into blocks of bounded size and all pairs of blocks are joined.
+7. Lists of the same members are joined once. Each class carries its first lists, and a
    list passes over pairs that meet in one of them before it.
-6. Survivors of both rounds are verified on the full sets.
+8. Survivors of both rounds are verified on the full sets.
 
 Nulls: a null or wordless text has an empty set and no links. Rows with a null or repeated
 ``doc_id`` take part like others; a component's id is its smallest non-null ``doc_id``.
@@ -35,11 +41,11 @@ Equal rows stay as they are. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymix.llm.common import Words, components, likely_rows, mix, shingles, stored
@@ -56,9 +62,13 @@ SLICE, PAIRS = 1 << 19, 1 << 15
 #: Points of a posting list in a block; longer lists are joined block by block.
 BLOCK = 2_000
 FANOUT = 16
-#: Lists of a class, lowest first, that travel with it: a pair that meets in one of them is
+#: Members up to which a posting list of routing shingles is joined: a leaf of the tree.
+LONG = FANOUT
+#: Lists of a class, rarest first, that travel with it: a pair that meets in one of them is
 #: not given again by a later list. Pairs that meet in none of them may be given twice.
 FIRSTS = 8
+#: Stands for no list.
+NONE = 2**63 - 1
 
 
 def first_shared(n):
@@ -66,6 +76,16 @@ def first_shared(n):
     return n // 12 + 1
 
 
+def routed_spare(n: np.ndarray) -> np.ndarray:
+    """Of sets of n shingles, the routing ones less all; linked ones share as many fewer by routing."""
+    return n // 4 + first_shared(n) - n
+
+
+def whole_spare(n: np.ndarray) -> np.ndarray:
+    """The same where all shingles of the sets are listed."""
+    return np.zeros_like(n)
+
+
 def set_hash(s: np.ndarray) -> int:
     with np.errstate(over="ignore"):
         total = mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum() + np.uint64(len(s))
@@ -151,18 +171,32 @@ def may_link(fine_a, fine_b, n_a, n_b, step: int = 4_000) -> np.ndarray:
     return out
 
 
+def enough_left(rest_a, rest_b, spare_a, spare_b, n_sum) -> np.ndarray:
+    """Whether a list may be the first that linked sets of these sizes have in common."""
+    return 7 * (np.minimum(rest_a, rest_b) - np.minimum(spare_a, spare_b)) >= 3 * n_sum
+
+
 class Tree:
     """A packed R-tree: points sorted by component and size, ``FANOUT`` to a node.
 
-    Each level holds the largest coordinates, the smallest and largest set size and the
-    component (-1: several) of its nodes; level 0 holds the points themselves.
+    Each level holds the largest coordinates, the smallest and largest set size, the
+    component (-1: several), the largest rest and the least spare of its nodes; level 0
+    holds the points themselves. Without ``rest`` the list says nothing of what is left.
     """
 
-    def __init__(self, counts: np.ndarray, n: np.ndarray, comp: np.ndarray):
+    def __init__(
+        self,
+        counts: np.ndarray,
+        n: np.ndarray,
+        comp: np.ndarray,
+        rest: np.ndarray | None = None,
+        spare: np.ndarray | None = None,
+    ):
         self.order = np.lexsort((n, comp))
-        self.levels = [(counts[self.order], n[self.order], n[self.order], comp[self.order])]
+        rest, spare = n if rest is None else rest, np.zeros_like(n) if spare is None else spare
+        self.levels = [tuple(x[self.order] for x in (counts, n, n, comp, rest, spare))]
         while len(self.levels[-1][1]) > 1:
-            top, low, high, c = self.levels[-1]
+            top, low, high, c, rest, spare = self.levels[-1]
             at = np.arange(0, len(low), FANOUT)
             one = np.minimum.reduceat(c, at) == np.maximum.reduceat(c, at)
             mixed = np.logical_or.reduceat(c == -1, at)
@@ -172,6 +206,8 @@ class Tree:
                     np.minimum.reduceat(low, at),
                     np.maximum.reduceat(high, at),
                     np.where(one & ~mixed, c[at], -1),
+                    np.maximum.reduceat(rest, at),
+                    np.minimum.reduceat(spare, at),
                 )
             )
 
@@ -183,11 +219,13 @@ class Tree:
             if len(a) > 20_000:
                 stack += [(la, lb, a[i : i + 20_000], b[i : i + 20_000]) for i in range(0, len(a), 20_000)]
                 continue
-            ta, lo_a, hi_a, ca = (x[a] for x in self.levels[la])
-            tb, lo_b, hi_b, cb = (x[b] for x in other.levels[lb])
+            lo_a, hi_a, ca, rest_a, spare_a = (x[a] for x in self.levels[la][1:])
+            lo_b, hi_b, cb, rest_b, spare_b = (x[b] for x in other.levels[lb][1:])
             keep = (4 * hi_a >= 3 * lo_b) & (4 * hi_b >= 3 * lo_a) & ((ca != cb) | (ca == -1))
-            a, b, ta, tb, low = a[keep], b[keep], ta[keep], tb[keep], (lo_a + lo_b)[keep]
-            keep = 7 * np.minimum(ta, tb).sum(axis=1, dtype=np.int64) >= 3 * low
+            keep &= enough_left(rest_a, rest_b, spare_a, spare_b, lo_a + lo_b)
+            a, b, low = a[keep], b[keep], (lo_a + lo_b)[keep]
+            shared = np.minimum(self.levels[la][0][a], other.levels[lb][0][b]).sum(axis=1, dtype=np.int64)
+            keep = 7 * shared >= 3 * low
             a, b = a[keep], b[keep]
             if not len(a):
                 continue
@@ -209,7 +247,7 @@ class Tree:
         return child[child < size], with_[child < size]
 
 
-def small_joins(counts, n, comp, list_of) -> tuple[np.ndarray, np.ndarray]:
+def small_joins(counts, n, comp, rest, spare, list_of) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of lists that fit into one leaf each, all lists at once.
 
     ``list_of`` numbers the list of each row, and rows of a list stand together.
@@ -220,6 +258,7 @@ def small_joins(counts, n, comp, list_of) -> tuple[np.ndarray, np.ndarray]:
     a = np.repeat(np.arange(len(n)), place)
     b = np.arange(len(a)) - np.repeat(np.cumsum(place) - place, place) + np.repeat(start[list_of], place)
     keep = (comp[a] != comp[b]) & (4 * n[a] >= 3 * n[b]) & (4 * n[b] >= 3 * n[a])
+    keep &= enough_left(rest[a], rest[b], spare[a], spare[b], n[a] + n[b])
     a, b = a[keep], b[keep]
     good = np.zeros(len(a), dtype=bool)
     for i in range(0, len(a), 20_000):
@@ -228,26 +267,36 @@ def small_joins(counts, n, comp, list_of) -> tuple[np.ndarray, np.ndarray]:
     return a[good], b[good]
 
 
-def met_before(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the first lists (rows of ``a`` and ``b``) have one below ``key`` in common."""
-    out = np.zeros(len(key), dtype=bool)
-    for i in range(0, len(key), 50_000):
-        x, y, k = a[i : i + 50_000], b[i : i + 50_000], key[i : i + 50_000]
+def earlier(key: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Those of the first lists of each row that come before its list ``key``; else ``NONE``."""
+    own = firsts == key[:, None]
+    at = np.where(own.any(axis=1), own.argmax(axis=1), FIRSTS)
+    return np.where(np.arange(FIRSTS) < at[:, None], firsts, NONE)
+
+
+def met_before(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the earlier lists (rows of ``a`` and ``b``) have one in common."""
+    out = np.zeros(len(a), dtype=bool)
+    for i in range(0, len(a), 50_000):
+        x, y = a[i : i + 50_000], b[i : i + 50_000]
         same = (x[:, :, None] == y[:, None, :]).any(axis=2)
-        out[i : i + 50_000] = (same & (x < k[:, None])).any(axis=1)
+        out[i : i + 50_000] = (same & (x != NONE)).any(axis=1)
     return out
 
 
-def tree_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tree_join(
+    batches: Iterator[pa.RecordBatch], spare_of: Callable[[np.ndarray], np.ndarray]
+) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of each block; rows come sorted by (shingle, i, j)."""
 
     def join(rows: pa.Table) -> pa.RecordBatch:
         fine = fine_counts(rows["counts"])
         counts = fine.reshape(len(fine), -1, GROUPS).sum(axis=1, dtype=np.int32)
         firsts = pa.concat_arrays(rows["firsts"].chunks).flatten().to_numpy().reshape(-1, FIRSTS)
-        n, comp, cls, part, i, j, key = (
-            rows[c].to_numpy() for c in ("n", "component", "class", "part", "i", "j", "shingle")
+        n, comp, cls, part, i, j, key, rest = (
+            rows[c].to_numpy() for c in ("n", "component", "class", "part", "i", "j", "shingle", "rest")
         )
+        before, spare = earlier(key, firsts), spare_of(n)
         new = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         block = np.cumsum(np.concatenate([[0], new]))
         size = np.bincount(block)
@@ -259,14 +308,14 @@ def tree_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Pairs that no earlier list gives and whose finer counts allow for a link."""
             for i in range(0, len(a), PAIRS):
                 x, y = a[i : i + PAIRS], b[i : i + PAIRS]
-                new = ~met_before(key[x], firsts[x], firsts[y])
+                new = ~met_before(before[x], before[y])
                 x, y = x[new], y[new]
                 near = may_link(lambda k: fine[x[k]], lambda k: fine[y[k]], n[x], n[y])
                 found.append((x[near], y[near]))
 
         if len(at):
             numbered = np.unique(block[at], return_inverse=True)[1]
-            a, b = small_joins(counts[at], n[at], comp[at], numbered)
+            a, b = small_joins(counts[at], n[at], comp[at], rest[at], spare[at], numbered)
             keep_likely(at[a], at[b])
         start = np.cumsum(size) - size
         for k in np.unique(block[~small]).tolist():
@@ -274,9 +323,8 @@ def tree_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left, right = own[part[own] == i[own]], own[part[own] == j[own]]
             if not len(left) or not len(right):
                 continue
-            one = Tree(counts[left], n[left], comp[left])
-            two = one if i[own[0]] == j[own[0]] else Tree(counts[right], n[right], comp[right])
-            for a, b in one.join(two):
+            one, two = (Tree(*(x[side] for x in (counts, n, comp, rest, spare))) for side in (left, right))
+            for a, b in one.join(one if i[own[0]] == j[own[0]] else two):
                 keep_likely(left[a], right[b])
         a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
         pairs = np.stack([np.minimum(cls[a], cls[b]), np.maximum(cls[a], cls[b])], axis=1)
@@ -332,6 +380,62 @@ def verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return both.filter(7 * overlap >= 3 * (F.size("shingles_a") + F.size("shingles_b"))).select("a", "b")
 
 
+def ranked(rows: DataFrame) -> DataFrame:
+    """``rest``: how many of its class's rows a row has from itself on, rare shingles first."""
+    back = Window.partitionBy("class").orderBy(F.desc("often"), F.desc("shingle"))
+    return rows.withColumn("rest", F.row_number().over(back).cast("long"))
+
+
+def open_lists(rows: DataFrame) -> DataFrame:
+    """``rows`` of the lists that have several components, with their ``size``.
+
+    Of lists with the same members the first in the order is kept: the first list that two
+    classes have in common is the first of those with its members, too.
+    """
+    lists = rows.groupBy("shingle").agg(
+        F.min("component").alias("x"),
+        F.max("component").alias("y"),
+        F.count("*").alias("size"),
+        F.bit_xor(F.xxhash64("class")).alias("members"),
+        F.min("often").alias("often"),
+    )
+    first = F.min(F.struct("often", "shingle"))["shingle"].alias("shingle")
+    lists = lists.filter("x <> y").groupBy("x", "y", "size", "members").agg(first)
+    return rows.join(lists.select("shingle", "size"), "shingle")
+
+
+def whole_lists(classes: DataFrame, points: DataFrame) -> DataFrame:
+    """Rows of the lists of ``classes`` (class, component) by the shingles of their whole sets.
+
+    Linked sets of different components share three quarters of the larger one at least, and
+    nothing but shingles that several components have; so each needs no list for as many less
+    one of its commonest.
+    """
+    rows = points.select("class", "n", "shingles").join(classes, "class")
+    rows = rows.select("class", "n", "component", F.explode("shingles").alias("shingle"))
+    often = rows.groupBy("shingle").agg(
+        F.count("*").alias("often"), F.min("component").alias("x"), F.max("component").alias("y")
+    )
+    rows = rows.join(often.filter("x <> y").select("shingle", "often"), "shingle")
+    return ranked(rows).filter("4 * rest >= 3 * n")
+
+
+def by_trees(rows: DataFrame, points: DataFrame, spare_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Candidate pairs (a, b) of the lists of ``rows``."""
+    lists = F.sort_array(F.collect_list(F.struct("rest", "shingle")), asc=False)
+    lists = F.concat(F.transform(lists, lambda x: x["shingle"]), F.array_repeat(F.lit(NONE), FIRSTS))
+    firsts = rows.groupBy("class").agg(F.slice(lists, 1, FIRSTS).alias("firsts"))
+    rows = rows.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    rows = rows.join(points.select("class", "counts").join(firsts, "class"), "class")
+    rows = rows.select("shingle", "i", "j", "part", "class", "component", "n", "rest", "counts", "firsts")
+    blocks = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    join = tree_join
+    return blocks.mapInArrow(lambda batches: join(batches, spare_of), "a bigint, b bigint")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of ``docs`` (doc_id, text, ..)."""
     docs = docs.select("doc_id", "text")
@@ -341,15 +445,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
     routed = docs.select("text").mapInArrow(routing_rows, "shingle bigint, class bigint, n bigint")
 
     # Routing shingles that at least two classes have, then the classes with enough of them.
-    shared = routed.groupBy("shingle").agg(F.min("class").alias("x"), F.max("class").alias("y"))
-    shared = shared.filter("x <> y").select("shingle")
-    posted = routed.join(shared, "shingle").groupBy("class", "shingle").agg(F.first("n").alias("n"))
-    posted = stored(posted, "posted")
+    shared = routed.groupBy("shingle").agg(
+        F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("often")
+    )
+    shared = shared.filter("x <> y").select("shingle", "often")
+    posted = routed.join(shared, "shingle").groupBy("class", "shingle")
+    posted = stored(posted.agg(F.first("n").alias("n"), F.first("often").alias("often")), "posted")
     smallest = F.ceil(F.col("n") * 3 / 4).cast("long")
     likely = posted.groupBy("class", "n").agg(F.count("*").alias("found"))
-    likely = likely.filter(F.col("found") >= F.floor(smallest / 12) + 1)
+    fewest = F.floor(smallest / 12) + 1
+    likely = likely.filter(F.col("found") >= fewest)
     likely = likely.select("class", (F.col("found") / F.col("n")).alias("shared"))
-    posted = stored(posted.join(likely, "class"), "likely-posted")
+    posted = stored(ranked(posted.join(likely, "class")), "likely-posted")
 
     # Points of those classes, from the text of one document each.
     first = classes.join(likely, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
@@ -372,26 +479,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     merged = components(links.union(own)).select(F.col("node").alias("class"), "component")
 
     # Second round: R-trees over the lists that still have several components.
-    rows = posted.select("shingle", "class").join(merged, "class")
-    open_ = rows.groupBy("shingle").agg(
-        F.min("component").alias("x"),
-        F.max("component").alias("y"),
-        F.count("*").alias("size"),
-        F.bit_xor(F.xxhash64("class")).alias("members"),
-    )
-    open_ = open_.filter("x <> y").groupBy("x", "y", "size", "members").agg(F.min("shingle").alias("shingle"))
-    open_ = open_.select("shingle", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
-    rows = stored(rows.join(open_, "shingle"), "open-lists")
-    last = F.array_repeat(F.lit(2**63 - 1), FIRSTS)
-    lists = F.concat(F.sort_array(F.collect_list("shingle")), last)
-    firsts = rows.groupBy("class").agg(F.slice(lists, 1, FIRSTS).alias("firsts"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
-    rows = rows.join(points.select("class", "n", "counts").join(firsts, "class"), "class")
-    rows = rows.select("shingle", "i", "j", "part", "class", "component", "n", "counts", "firsts")
-    blocks = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
-    found = blocks.mapInArrow(tree_join, "a bigint, b bigint").distinct()
+    rows = posted.filter(F.col("rest") >= fewest).select("shingle", "class", "n", "often", "rest")
+    rows = stored(open_lists(rows.join(merged, "class")), "open-lists")
+    crowded = rows.filter(F.col("size") > LONG).select("class", "component").distinct()
+    whole = stored(open_lists(whole_lists(crowded, points)), "open-lists")
+    found = by_trees(rows.filter(F.col("size") <= LONG), points, routed_spare)
+    found = found.union(by_trees(whole, points, whole_spare)).distinct()
     links = links.union(stored(verified(found, points), "links"))
 
     groups = components(links).select(F.col("node").alias("class"), "component")
